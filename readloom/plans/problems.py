@@ -19,7 +19,7 @@ QUERIES = {"p4_found": p4_found}
 SQL = {
     "p4_found": """
 WITH e AS (
-  SELECT panel_id, contig, x >> 32 AS s, x & 4294967295 AS t
+  SELECT DISTINCT panel_id, contig, x >> 32 AS s, x & 4294967295 AS t
   FROM (SELECT panel_id, contig, unnest(a) AS x FROM bed_reglist) WHERE x IS NOT NULL
 ), o AS (
   SELECT *, max(t) OVER (PARTITION BY panel_id, contig ORDER BY s, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p
