@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.llm.groups import link_groups
+from readloom.llm.survivor import Field, choose_survivors
 from readloom.session import ship, table
 
 
@@ -22,9 +23,76 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(F.col("member.l").alias("library_id"), F.col("member.b").alias("barcode"), F.col("group.b").alias("group_barcode"))
 
 
-QUERIES = {"p3_found": p3_found}
+#: Trust in a family's QC letter, worst to best; the statement of the problem ranks it before size and age.
+QC_TRUST = {"0": 0.5, "1": 1.0}
+
+
+def _kingfisher(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, Column], Column, Column]:
+    """The records with their barcode spelled alike, soundness of the three value fields, trust and age in days."""
+    k = table(spark, sf_dir, "kingfisher").withColumn("barcode", spelled("barcode"))
+    want = F.col("readlen") * 5
+    full = lambda c: (F.size(c) == want) & F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull()) & ((F.array_max(c) != 0) | (F.array_min(c) != 0))
+    sound = {
+        "nuc_counts": full("nuc_counts"),
+        "phred_sums": full("phred_sums"),
+        "max_phreds": (F.length("max_phreds") == want) & F.col("max_phreds").rlike("[^#]"),
+    }
+    trust = F.when(F.col("pass_fail") == "1", QC_TRUST["1"]).when(F.col("pass_fail") == "0", QC_TRUST["0"]).otherwise(0.0)
+    age = F.datediff(F.lit("2024-01-01").cast("date"), F.col("written_at")).cast("double")
+    return k, sound, trust, age
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record each field of a family survives from: trust of the QC letter, then size, then recency, then id."""
+    k, sound, trust, _ = _kingfisher(spark, sf_dir)
+    got = choose_survivors(k, ["library_id", "barcode"], "kf_id", [Field(n, c) for n, c in sound.items()], prefer=[trust, F.col("fm"), F.col("written_at")])
+    return got.select("library_id", "barcode", *[F.col(f"{n}_id").alias(f"{n}_kf") for n in sound])
+
+
+def p2_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Survivors by votes alone: trust times recency decay, summed per equal value of a field."""
+    k, sound, trust, age = _kingfisher(spark, sf_dir)
+    fields = [Field(n, c, F.col(n)) for n, c in sound.items()]
+    got = choose_survivors(k, ["library_id", "barcode"], "kf_id", fields, trust=trust, age_days=age, half_life_days=90.0)
+    return got.select("library_id", "barcode", *[F.col(f"{n}_id").alias(f"{n}_kf") for n in sound], *[F.round(f"{n}_votes", 6).alias(f"{n}_votes") for n in sound])
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p2_votes": p2_votes}
 
 SQL = {
+    "p2_found": """
+WITH k AS (
+  SELECT DISTINCT kf_id, library_id, upper(trim(barcode)) AS barcode, fm, written_at, nuc_counts, phred_sums, max_phreds,
+    CASE pass_fail WHEN '1' THEN 1.0 WHEN '0' THEN 0.5 ELSE 0.0 END AS trust, datediff('day', CAST(written_at AS DATE), DATE '2024-01-01') AS age,
+    len(nuc_counts) = 5 * readlen AND len(list_filter(nuc_counts, lambda x: x IS NULL)) = 0 AND (list_max(nuc_counts) <> 0 OR list_min(nuc_counts) <> 0) AS s0,
+    len(phred_sums) = 5 * readlen AND len(list_filter(phred_sums, lambda x: x IS NULL)) = 0 AND (list_max(phred_sums) <> 0 OR list_min(phred_sums) <> 0) AS s1,
+    length(max_phreds) = 5 * readlen AND trim(max_phreds, '#') <> '' AS s2
+  FROM kingfisher WHERE library_id IS NOT NULL AND barcode IS NOT NULL
+)
+SELECT g.library_id, g.barcode, nuc_counts_kf, phred_sums_kf, max_phreds_kf
+FROM (SELECT library_id, barcode FROM k GROUP BY ALL HAVING count(DISTINCT kf_id) > 1) g
+LEFT JOIN (SELECT library_id, barcode, arg_max(kf_id, row(trust, coalesce(fm, -1), written_at, kf_id)) AS nuc_counts_kf FROM k WHERE s0 GROUP BY ALL) f0 USING (library_id, barcode)
+LEFT JOIN (SELECT library_id, barcode, arg_max(kf_id, row(trust, coalesce(fm, -1), written_at, kf_id)) AS phred_sums_kf FROM k WHERE s1 GROUP BY ALL) f1 USING (library_id, barcode)
+LEFT JOIN (SELECT library_id, barcode, arg_max(kf_id, row(trust, coalesce(fm, -1), written_at, kf_id)) AS max_phreds_kf FROM k WHERE s2 GROUP BY ALL) f2 USING (library_id, barcode)
+""",
+    "p2_votes": """
+WITH k AS (
+  SELECT DISTINCT kf_id, library_id, upper(trim(barcode)) AS barcode, fm, written_at, nuc_counts, phred_sums, max_phreds,
+    CASE pass_fail WHEN '1' THEN 1.0 WHEN '0' THEN 0.5 ELSE 0.0 END AS trust, datediff('day', CAST(written_at AS DATE), DATE '2024-01-01') AS age,
+    len(nuc_counts) = 5 * readlen AND len(list_filter(nuc_counts, lambda x: x IS NULL)) = 0 AND (list_max(nuc_counts) <> 0 OR list_min(nuc_counts) <> 0) AS s0,
+    len(phred_sums) = 5 * readlen AND len(list_filter(phred_sums, lambda x: x IS NULL)) = 0 AND (list_max(phred_sums) <> 0 OR list_min(phred_sums) <> 0) AS s1,
+    length(max_phreds) = 5 * readlen AND trim(max_phreds, '#') <> '' AS s2
+  FROM kingfisher WHERE library_id IS NOT NULL AND barcode IS NOT NULL
+)
+SELECT g.library_id, g.barcode, nuc_counts_kf, phred_sums_kf, max_phreds_kf, nuc_counts_votes, phred_sums_votes, max_phreds_votes
+FROM (SELECT library_id, barcode FROM k GROUP BY ALL HAVING count(DISTINCT kf_id) > 1) g
+LEFT JOIN (SELECT library_id, barcode, arg_max(id, row(v, id)) AS nuc_counts_kf, round(max(v), 6) AS nuc_counts_votes FROM (
+  SELECT library_id, barcode, nuc_counts, sum(w) AS v, arg_max(kf_id, row(w, kf_id)) AS id FROM (SELECT *, trust * power(2.0, -age / 90.0) AS w FROM k) WHERE s0 GROUP BY ALL) GROUP BY ALL) f0 USING (library_id, barcode)
+LEFT JOIN (SELECT library_id, barcode, arg_max(id, row(v, id)) AS phred_sums_kf, round(max(v), 6) AS phred_sums_votes FROM (
+  SELECT library_id, barcode, phred_sums, sum(w) AS v, arg_max(kf_id, row(w, kf_id)) AS id FROM (SELECT *, trust * power(2.0, -age / 90.0) AS w FROM k) WHERE s1 GROUP BY ALL) GROUP BY ALL) f1 USING (library_id, barcode)
+LEFT JOIN (SELECT library_id, barcode, arg_max(id, row(v, id)) AS max_phreds_kf, round(max(v), 6) AS max_phreds_votes FROM (
+  SELECT library_id, barcode, max_phreds, sum(w) AS v, arg_max(kf_id, row(w, kf_id)) AS id FROM (SELECT *, trust * power(2.0, -age / 90.0) AS w FROM k) WHERE s2 GROUP BY ALL) GROUP BY ALL) f2 USING (library_id, barcode)
+""",
     "p3_found": """
 WITH RECURSIVE e AS (
   SELECT DISTINCT library_id, upper(trim(barcode_a)) AS a, upper(trim(barcode_b)) AS b FROM barcode_matches
