@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.llm.groups import link_groups
+from readloom.llm.near_dup import near_duplicates
 from readloom.llm.survivor import Field, choose_survivors
 from readloom.session import ship, table
 
@@ -15,6 +16,13 @@ def spelled(c: str) -> Column:
     return F.upper(F.trim(F.col(c)))
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of reads of one molecule: barcodes within 2 edits (as they are or rotated), 6-letter sets half alike."""
+    reads = table(spark, sf_dir, "reads_marked")
+    got = near_duplicates(reads, "read_id", ["library_id", "mate"], spelled("barcode"), F.upper("seq"))
+    return got.select(F.col("id_a").alias("read_id_a"), F.col("id_b").alias("read_id_b"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group of every barcode of barcode_matches in its library."""
     m = table(spark, sf_dir, "barcode_matches")
@@ -57,7 +65,7 @@ def p2_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("library_id", "barcode", *[F.col(f"{n}_id").alias(f"{n}_kf") for n in sound], *[F.round(f"{n}_votes", 6).alias(f"{n}_votes") for n in sound])
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p2_votes": p2_votes}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p2_votes": p2_votes}
 
 SQL = {
     "p2_found": """
