@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.llm.groups import link_groups
+from readloom.llm.mixing import mix_sources
 from readloom.llm.near_dup import near_duplicates
+from readloom.llm.percentiles import combine, exact_percentiles, summarise
 from readloom.llm.survivor import Field, choose_survivors
-from readloom.session import ship, table
+from readloom.llm.tokens import encode_corpus, token_counts
+from readloom.session import cut, table
 
 
 def spelled(c: str) -> Column:
@@ -65,7 +68,62 @@ def p2_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("library_id", "barcode", *[F.col(f"{n}_id").alias(f"{n}_kf") for n in sound], *[F.round(f"{n}_votes", 6).alias(f"{n}_votes") for n in sound])
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p2_votes": p2_votes}
+PERCENTILES = [0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
+DEPTHS = ["raw_counts", "collapsed_counts", "singleton_counts"]
+
+
+def _depth_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per counted value: library, contig, run day, field, value. A row delivered twice counts once."""
+    d = table(spark, sf_dir, "depth_aux").select("depth_id", "library_id", "contig", F.to_date("run_at").alias("run_day"), *DEPTHS)
+    once = d.groupBy("depth_id").agg(*[F.first(c).alias(c) for c in d.columns[1:]])
+    long = once.select("library_id", "contig", "run_day", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("a")) for c in DEPTHS])).alias("x"))
+    return long.select("library_id", "contig", "run_day", "x.field", F.explode("x.a").alias("value"))
+
+
+def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact percentiles of the three depth fields per library and contig; the error is 0."""
+    got = exact_percentiles(_depth_values(spark, sf_dir), ["library_id", "contig", "field"], "value", PERCENTILES)
+    return got.select("library_id", "contig", "field", "q", "n", "value", F.lit(0).cast("bigint").alias("rank_error"))
+
+
+def p5_combined_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same percentiles from summaries of single run days, with the bound of the rank error."""
+    keys = ["library_id", "contig", "field"]
+    return combine(summarise(_depth_values(spark, sf_dir), keys, ["run_day"], "value"), keys, PERCENTILES).select(*keys, "q", "n", "value", "rank_error")
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every post by byte_bpe_50k."""
+    return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents")
+    sized = token_counts(docs, ["doc_id", "source"], "text").withColumnRenamed("n_tokens", "size")
+    return mix_sources(cut(sized, "sizes"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest selection of posts in which every source present holds its target share of the tokens."""
+    return _mixed(spark, sf_dir)[0].select("doc_id", "source", F.col("size").alias("n_tokens"), "repeats")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that p7_mix reaches."""
+    return _mixed(spark, sf_dir)[1].withColumnRenamed("available", "available_tokens").withColumnRenamed("taken", "taken_tokens")
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_votes": p2_votes,
+    "p3_found": p3_found,
+    "p5_percentiles": p5_percentiles,
+    "p5_combined_days": p5_combined_days,
+    "p6_ids": p6_ids,
+    "p7_mix": p7_mix,
+    "p7_shares": p7_shares,
+}
 
 SQL = {
     "p2_found": """
@@ -112,5 +170,18 @@ r AS (
   SELECT r.library_id, r.barcode, u.b FROM r JOIN u ON u.library_id = r.library_id AND u.a = r.other
 )
 SELECT library_id, barcode, min(other) AS group_barcode FROM r GROUP BY ALL
+""",
+    "p5_percentiles": """
+WITH d AS (SELECT DISTINCT depth_id, library_id, contig, raw_counts, collapsed_counts, singleton_counts FROM depth_aux),
+v AS (
+  SELECT library_id, contig, 'raw_counts' AS field, unnest(raw_counts) AS value FROM d
+  UNION ALL SELECT library_id, contig, 'collapsed_counts', unnest(collapsed_counts) FROM d
+  UNION ALL SELECT library_id, contig, 'singleton_counts', unnest(singleton_counts) FROM d
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY library_id, contig, field ORDER BY value) AS k, count(*) OVER (PARTITION BY library_id, contig, field) AS n
+  FROM v WHERE value IS NOT NULL AND library_id IS NOT NULL AND contig IS NOT NULL
+)
+SELECT library_id, contig, field, q, n, value, CAST(0 AS BIGINT) AS rank_error
+FROM r, (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95, 0.99]::DOUBLE[]) AS q) WHERE k = greatest(1, ceil(q * n))
 """,
 }
