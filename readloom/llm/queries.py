@@ -11,6 +11,7 @@ from readloom.llm.near_dup import near_duplicates
 from readloom.llm.percentiles import combine, exact_percentiles, summarise
 from readloom.llm.survivor import Field, choose_survivors
 from readloom.llm.tokens import encode_corpus, token_counts
+from readloom.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
 from readloom.session import cut, table
 
 
@@ -113,6 +114,26 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1].withColumnRenamed("available", "available_tokens").withColumnRenamed("taken", "taken_tokens")
 
 
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of abuse, hate or sexual content for every post."""
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "doc_labels")))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The posts whose score reaches the threshold."""
+    return p8_scores(spark, sf_dir).where(F.col("score") >= THRESHOLD).select("doc_id")
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts and flagged posts per source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    flagged = p8_scores(spark, sf_dir).where(F.col("score") >= THRESHOLD).select("doc_id", F.lit(1).alias("f"))
+    n = F.count("*").alias("n_docs")
+    bad = F.coalesce(F.sum("f"), F.lit(0)).alias("n_flagged")
+    return docs.join(flagged, "doc_id", "left").groupBy("source").agg(n, bad).withColumn("rate", F.col("n_flagged") / F.col("n_docs"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -123,6 +144,9 @@ QUERIES = {
     "p6_ids": p6_ids,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_scores": p8_scores,
+    "p8_rates": p8_rates,
 }
 
 SQL = {
