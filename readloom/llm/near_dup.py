@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.setjoin import Sets, direct, flat_letters, gram_parity, metric_join, ranges, within_edits
+from readloom.llm.setjoin import EditCheck, Sets, direct, arrow_letters, distinct, gram_parity, metric_join, ranges, rotated
 from readloom.session import cut, ship
 
 #: Letters at the start and at the end of a barcode by which candidates meet; what lies between is the third piece.
@@ -50,13 +50,13 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, role, bid = (t[c].to_numpy() for c in ("key", "role", "bid"))
     ids, first, code = np.unique(bid, return_index=True, return_inverse=True)
     count = t["n"].to_numpy()[first]
-    texts = t["b"].take(pa.array(first)).to_pylist()
+    fp, off = arrow_letters(t["b"].combine_chunks().take(pa.array(first)))
+    fr = rotated(fp, off)
     del t, bid
-    fp, off = flat_letters(texts)
-    fr, _ = flat_letters([s[len(s) // 2 :] + s[: len(s) // 2] for s in texts])
     sk = np.concatenate((gram_parity(fp, off), gram_parity(fr, off)))
     flat, both = np.concatenate((fp, fr)), np.concatenate((off[:-1], off[:-1] + len(fp)))
     length = np.tile(np.diff(off), 2)
+    edits = EditCheck(flat, both, length)
     order = np.lexsort((role, key))
     key, role = key[order], role[order]
     node = code[order] + (role & 1).astype(np.int64) * len(ids)
@@ -68,15 +68,20 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     start = np.where(role < 4, np.arange(len(key)) + 1, end - lookups)
     many = np.where(role < 4, end - np.arange(len(key)) - 1, np.where(role < 6, lookups, 0))
     found = [np.zeros(0, np.int64)]
+    own = sk[node]  # in the order of the rows: partners lie side by side, and few pairs get past their sketches
     for i, j in ranges(start, many):
-        x, y = node[i], node[j]
-        keep = (np.bitwise_count(sk[x] ^ sk[y]) <= 12) & ~((x >= len(ids)) & (y >= len(ids))) & (x % len(ids) != y % len(ids)) & (np.abs(length[x] - length[y]) <= 2)
-        pair = np.unique(x[keep] * (2 * len(ids)) + y[keep])
-        x, y = pair // (2 * len(ids)), pair % (2 * len(ids))
-        ok = within_edits(flat, both[x], length[x], flat, both[y], length[y])
+        near = np.flatnonzero(np.bitwise_count(own[i] ^ own[j]) <= 12)
+        x, y = node[i[near]], node[j[near]]
+        keep = ~((x >= len(ids)) & (y >= len(ids))) & (x % len(ids) != y % len(ids)) & (np.abs(length[x] - length[y]) <= 2)
+        found.append(x[keep] * (2 * len(ids)) + y[keep])
+    pair = distinct(np.concatenate(found))
+    found = [np.zeros(0, np.int64)]
+    for a in range(0, len(pair), 1 << 18):
+        x, y = pair[a : a + (1 << 18)] // (2 * len(ids)), pair[a : a + (1 << 18)] % (2 * len(ids))
+        ok = edits.within(x, y)
         x, y = x[ok] % len(ids), y[ok] % len(ids)
         found.append(np.minimum(x, y) * len(ids) + np.maximum(x, y))
-    pair = np.unique(np.concatenate(found))
+    pair = distinct(np.concatenate(found))
     x, y = pair // len(ids), pair % len(ids)
     for a in range(0, len(x), 100_000):
         u, v = x[a : a + 100_000], y[a : a + 100_000]

@@ -9,18 +9,36 @@ from __future__ import annotations
 import numpy as np
 
 #: Candidate pairs looked at in one numpy call.
-CHUNK = 1 << 20
+CHUNK = 1 << 17
 WORDS = 4
 
 
 def flat_letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All letters of ``texts`` as code points, and the offsets of each text."""
-    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     off = np.zeros(len(texts) + 1, np.int64)
     np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)), out=off[1:])
     return flat, off
 
 
+def arrow_letters(texts) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`flat_letters` of an Arrow string array; plain ASCII is read from its buffers."""
+    size = texts.nbytes and np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    if texts.null_count == 0 and len(texts):
+        raw = np.frombuffer(texts.buffers()[2], np.uint8)[size[0] : size[-1]] if size[-1] > size[0] else np.zeros(0, np.uint8)
+        if not (raw & 128).any():
+            return raw.astype(np.uint32), size - size[0]
+    return flat_letters(texts.to_pylist())
+
+
+def rotated(flat: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The letters with the first floor(length / 2) of each text moved behind its rest."""
+    n = np.diff(off)
+    at = np.arange(len(flat)) - np.repeat(off[:-1], n) + np.repeat(n // 2, n)
+    long = np.repeat(n, n)
+    return flat[np.repeat(off[:-1], n) + np.where(at >= long, at - long, at)]
+
+
 def letter_grams(flat: np.ndarray, k: int) -> np.ndarray:
     """An exact number for the k letters that begin at each position (the last k - 1 are meaningless)."""
     letters, code = np.unique(flat, return_inverse=True)
@@ -116,7 +134,7 @@ def ranges(start: np.ndarray, count: np.ndarray, chunk: int = CHUNK):
         b = max(a + 1, int(np.searchsorted(total, total[a] + chunk, "right")) - 1)
         c = count[some[a:b]]
         row = np.repeat(some[a:b], c)
-        yield row, np.arange(len(row)) - np.repeat(np.cumsum(c) - c, c) + start[row]
+        yield row, np.arange(len(row)) + np.repeat(start[some[a:b]] - (np.cumsum(c) - c), c)
         a = b
 
 
@@ -187,18 +205,18 @@ def within_edits(fx: np.ndarray, ox: np.ndarray, lx: np.ndarray, fy: np.ndarray,
     order = np.argsort(width, kind="stable")
     a = 0
     while a < len(order):
-        b = min(len(order), a + max(1, (1 << 21) // (int(width[order[min(len(order) - 1, a + 50000)]]) + 1)), a + 50001)
+        b = min(len(order), a + max(1, (1 << 17) // (int(width[order[min(len(order) - 1, a + 5000)]]) + 1)), a + 5001)
         p = order[a:b]
         a, wide, m = b, int(width[p[-1]]) + 2, len(p)
         rows, cols = np.arange(m), np.arange(wide)
         inx = cols < lx[p][:, None]
-        x = np.where(inx, fx[np.minimum(ox[p][:, None] + cols, max(len(fx) - 1, 0))], -1)
+        x = np.where(inx, fx[np.minimum(ox[p][:, None] + cols, max(len(fx) - 1, 0))].astype(np.int32), -1)
         run = {}
         for d in range(-limit, limit + 1):
             j = cols + d
             iny = (j >= 0) & (j < ly[p][:, None])
-            y = np.where(iny, fy[np.clip(oy[p][:, None] + j, 0, max(len(fy) - 1, 0))], -2)
-            stop = np.where(x == y, wide, cols).astype(np.int16)
+            y = np.where(iny, fy[np.clip(oy[p][:, None] + j, 0, max(len(fy) - 1, 0))].astype(np.int32), -2)
+            stop = np.where(x == y, wide, cols).astype(np.int32)
             run[d] = np.minimum.accumulate(stop[:, ::-1], axis=1)[:, ::-1]
         far = {0: run[0][:, 0].astype(np.int64)}
         goal = (ly - lx)[p]
@@ -222,21 +240,76 @@ def within_edits(fx: np.ndarray, ox: np.ndarray, lx: np.ndarray, fy: np.ndarray,
     return ok
 
 
+class EditCheck:
+    """Edit distance of many pairs of texts. Texts of up to 64 letters from up to 16 different ones take the bit-parallel
+    way (a column of the distance matrix is one machine word); the others take :func:`within_edits`.
+    """
+
+    def __init__(self, flat: np.ndarray, start: np.ndarray, length: np.ndarray):
+        self.flat, self.start, self.length = flat, start, length
+        present = np.zeros(int(flat.max()) + 1 if len(flat) else 1, bool)
+        present[flat] = True
+        self.letters = int(present.sum())
+        self.masks = None
+        if self.letters <= 16:
+            self.code = (np.cumsum(present) - 1).astype(np.uint8)[flat]
+            n = np.where(length <= 64, length, 0)
+            masks = np.zeros(len(length) * self.letters, np.uint64)
+            for j in range(int(n.max()) if len(n) else 0):
+                own = np.flatnonzero(n > j)
+                masks[own * self.letters + self.code[start[own] + j]] |= np.uint64(1) << np.uint64(j)
+            self.masks = masks
+
+    def within(self, x: np.ndarray, y: np.ndarray, limit: int = 2) -> np.ndarray:
+        ok = np.zeros(len(x), bool)
+        fast = (self.length[x] <= 64) & (self.length[x] > 0) if self.masks is not None else ok
+        slow = np.flatnonzero(~fast)
+        if len(slow):
+            u, v = x[slow], y[slow]
+            ok[slow] = within_edits(self.flat, self.start[u], self.length[u], self.flat, self.start[v], self.length[v], limit)
+        fast = np.flatnonzero(fast)
+        for a in range(0, len(fast), 1 << 14):
+            p = fast[a : a + (1 << 14)]
+            ok[p] = self._columns(x[p], y[p]) <= limit
+        return ok
+
+    def _columns(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        one = np.uint64(1)
+        lx, ly = self.length[x], self.length[y]
+        base, at = x * self.letters, self.start[y]
+        last = one << (lx - 1).astype(np.uint64)
+        up, down = np.full(len(x), ~np.uint64(0)), np.zeros(len(x), np.uint64)
+        score = lx.astype(np.int32)
+        short = int(ly.min()) if len(ly) else 0
+        for j in range(int(ly.max()) if len(ly) else 0):
+            same = self.masks[base + self.code[np.minimum(at + j, len(self.code) - 1)]]
+            vert = same | down
+            horiz = (((same & up) + up) ^ up) | same
+            more, less = down | ~(horiz | up), up & horiz
+            step = ((more & last) != 0).astype(np.int32) - ((less & last) != 0)
+            score += step if j < short else np.where(j < ly, step, 0)
+            more, less = (more << one) | one, less << one
+            up, down = less | ~(vert | more), more & vert
+        return score
+
+
 def gram_parity(flat: np.ndarray, off: np.ndarray, k: int = 3) -> np.ndarray:
     """A 64-bit parity sketch of each text's k-letter substrings (with repetition): one edit flips at most 2 k bits."""
-    h = np.zeros(len(flat), np.uint64)
-    for i in range(k):
-        nxt = np.zeros(len(flat), np.uint64)
-        nxt[: len(flat) - i] = flat[i:].astype(np.uint64) if i else flat.astype(np.uint64)
-        h = (h + nxt + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(31)
-    bit = np.uint64(1) << (h >> np.uint64(58))
-    length = np.diff(off)
-    owner = np.repeat(np.arange(len(length)), length)
-    inside = np.arange(len(flat)) - off[:-1][owner] <= length[owner] - k
-    bit[~inside] = 0
-    out = np.zeros(len(length), np.uint64)
-    some = np.flatnonzero(length)
+    h = np.zeros(len(flat), np.uint32)
+    for i in range(k):  # two bits a letter, which keep A, C, G and T apart
+        h[: len(flat) - i] += ((flat[i:] >> np.uint32(1)) & np.uint32(3)) << np.uint32(2 * i)
+    bit = np.uint64(1) << (h & np.uint32(63)).astype(np.uint64)
+    for i in range(1, k):  # no substring begins at the last k - 1 letters
+        bit[np.maximum(off[1:] - i, off[:-1])[off[1:] > off[:-1]]] = 0
+    bit[off[:-1][(np.diff(off) > 0) & (np.diff(off) < k)]] = 0
+    out = np.zeros(len(off) - 1, np.uint64)
+    some = np.flatnonzero(np.diff(off))
     if len(some):
         out[some] = np.bitwise_xor.reduceat(bit, off[some])
     return out
+
+
+def distinct(a: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    a = np.sort(a)
+    return a[np.concatenate(([True], a[1:] != a[:-1]))] if len(a) else a
