@@ -55,7 +55,7 @@ def cube_marginals(cube: DataFrame) -> DataFrame:
     c = cube.where("qual > 2").withColumn("exp", F.col("obs") * F.pow(F.lit(10.0), F.col("qual") * -0.1))
     c.createOrReplaceTempView("_readloom_cube")
     g = c.sparkSession.sql(
-        "SELECT CASE grouping_id(base, cycle) WHEN 0 THEN 'base_cycle' WHEN 2 THEN 'cycle' ELSE 'global' END AS kind, mate, base, cycle, "
+        "SELECT CASE grouping_id() WHEN 0 THEN 'base_cycle' WHEN 2 THEN 'cycle' ELSE 'global' END AS kind, mate, base, cycle, "
         "sum(obs) AS obs, sum(err) AS err, sum(exp) AS expected FROM _readloom_cube GROUP BY mate, base, cycle GROUPING SETS ((mate, base, cycle), (mate, cycle), (mate))"
     )
     return g

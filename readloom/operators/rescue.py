@@ -66,7 +66,7 @@ def rescue(aln: DataFrame, sig: list[str], *, name: str = "barcode", mismatch_li
 
     ``aln``: ``sig``, ``name``, read_id, flag, fm, rv, np, nc, seq, qual, fa, pv. Secondary and supplementary records are
     left out; unmapped ones (or with an unmapped mate) stay by themselves. Records: sig, name (the greatest), n_merged, fm,
-    rv, nc, np, dr. Merged bases: sig, name, pos, base, fa, pv, qual.
+    rv, nc, np, dr. Merged bases: sig, root, base_pos, base, fa, pv, qual.
 
     fm, rv and nc are summed, np counts the records before (1 where absent), dr is 1 where 0 < rv < fm. A position whose
     members agree keeps its letter with fa summed, pv combined by Fisher's method over all members and the greatest
@@ -92,17 +92,17 @@ def rescue(aln: DataFrame, sig: list[str], *, name: str = "barcode", mismatch_li
         F.count("*").alias("n_merged"), F.max(name).alias(name), F.sum(z("fm", 1)).cast("bigint").alias("fm"), F.sum(z("rv", 0)).cast("bigint").alias("rv"),
         F.sum(z("nc", 0)).cast("bigint").alias("nc"), F.sum(z("np", 1)).cast("bigint").alias("np"),
     ).withColumn("dr", ((F.col("rv") > 0) & (F.col("rv") < F.col("fm"))).cast("int"))
-    e = m.select(*key, "qual", "fa", "pv", F.posexplode(F.split("seq", "")).alias("pos", "base"))
-    e = e.withColumn("q", F.ascii(F.substring("qual", F.col("pos") + 1, F.lit(1))) - 33).withColumn("fa", F.get("fa", "pos")).withColumn("pv", F.get("pv", "pos"))
+    e = m.select(*key, "qual", "fa", "pv", F.posexplode(F.split("seq", "")).alias("base_pos", "base"))
+    e = e.withColumn("q", F.ascii(F.substring("qual", F.col("base_pos") + 1, F.lit(1))) - 33).withColumn("fa", F.get("fa", "base_pos")).withColumn("pv", F.get("pv", "base_pos"))
     seen = F.when(F.col("base") != "N", F.col("base"))
-    g = e.groupBy(*key, "pos").agg(
+    g = e.groupBy(*key, "base_pos").agg(
         F.count("*").alias("n"), F.count(seen).alias("n_seen"), F.min(seen).alias("lo"), F.max(seen).alias("hi"),
         F.sum(F.when(seen.isNotNull(), F.col("fa"))).alias("fa"), F.sum(F.when(seen.isNotNull(), F.col("pv"))).alias("pv"), F.max(F.when(seen.isNotNull(), F.col("q"))).alias("q"), F.max("pv").alias("pv1"),
     )
     pv = F.when(F.col("n_seen") == 1, F.col("pv1")).otherwise(fisher_pv(F.col("n_seen").cast("int"), F.col("pv")))
     agree = (F.col("lo") == F.col("hi")) & ((F.col("n_seen") == F.col("n")) | F.lit(trust_unmasked))
     ok = F.coalesce(agree & ((pv > 2) | (F.col("n") == 1)), F.lit(False))
-    bases = g.select(*key, "pos", F.when(ok, F.col("lo")).otherwise("N").alias("base"), F.when(ok, F.col("fa")).otherwise(0).cast("int").alias("fa"), F.when(ok, pv).otherwise(0).cast("int").alias("pv"), F.when(ok, F.col("q")).otherwise(2).cast("int").alias("qual"))
+    bases = g.select(*key, "base_pos", F.when(ok, F.col("lo")).otherwise("N").alias("base"), F.when(ok, F.col("fa")).otherwise(0).cast("int").alias("fa"), F.when(ok, pv).otherwise(0).cast("int").alias("pv"), F.when(ok, F.col("q")).otherwise(2).cast("int").alias("qual"))
     return rec, bases
 
 

@@ -127,7 +127,7 @@ def family_consensus(spark: SparkSession, d: str) -> DataFrame:
     return _family_columns(collapse.collapse_families(reads_once(spark, d), FAMILY, "read_id", stranded=False))
 
 
-@query("family_consensus_duplex", with_("reads", extra=_stats_sql("strand") + f""",
+@query("family_consensus_duplex", with_("reads", extra=_stats_sql("CASE WHEN strand = 'R' THEN 'R' ELSE 'F' END") + f""",
 t AS (SELECT {_key}, pos, strand = 'R' AS rev, CAST(sum(n) AS INT) AS depth, CAST(coalesce(sum(n) FILTER (base = 'N'), 0) AS INT) AS nn, arg_max(row(base, n, ps, mq), row(ps, instr('ACGTN', base))) AS w FROM (SELECT {_key}, pos, CASE WHEN strand = 'R' THEN 'R' ELSE strand END AS strand, base, n, ps, mq FROM s) GROUP BY {_key}, pos, strand),
 u AS (SELECT {_key}, pos, max(w) FILTER (NOT rev) AS f, max(w) FILTER (rev) AS r, max(depth) FILTER (NOT rev) AS fd, max(depth) FILTER (rev) AS rd, CAST(sum(depth) AS INT) AS depth, CAST(sum(nn) AS INT) AS nn FROM t GROUP BY {_key}, pos),
 x AS (SELECT *, CASE WHEN f IS NULL THEN NULL WHEN f[3] > 0 THEN f[1] ELSE 'N' END AS fb, CASE WHEN r IS NULL THEN NULL WHEN r[3] > 0 THEN r[1] ELSE 'N' END AS rb, coalesce(fd, rd) AS basis FROM u),
@@ -309,7 +309,7 @@ def _capped(other: str) -> str:
 def _cap(spark: SparkSession, d: str, keep: bool) -> DataFrame:
     c = reads.cap_qualities(alignments(spark, d), min_pv=40, min_fraction=0.7, min_fm=2, cap=90, keep_failing=keep)
     total = F.aggregate(F.split("qual", ""), F.lit(0).cast("bigint"), lambda s, x: s + F.ascii(x) - 33)
-    return c.select("read_id", total.alias("qual_sum"), F.length("qual").cast("bigint").alias("n"))
+    return c.select("read_id", total.alias("q"), F.length("qual").cast("bigint").alias("l")).groupBy("read_id").agg(F.sum("q").alias("qual_sum"), F.sum("l").alias("n"))
 
 
 @query("cap_quality", _capped("2"))
@@ -334,7 +334,7 @@ pd AS (SELECT contig, p, count(*) AS collapsed, sum(fm) AS raw, count(*) FILTER
 f AS (SELECT region_id, p, CAST(coalesce(collapsed, 0) AS BIGINT) AS collapsed, CAST(coalesce(raw, 0) AS BIGINT) AS raw, CAST(coalesce(singleton, 0) AS BIGINT) AS singleton FROM z LEFT JOIN pd USING (contig, p))""")
 
 
-@query("depth_region", _depth + "SELECT region_id, count(*) AS region_len, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}_total, round(avg({c}), 6) AS {c}_mean, round(stddev_samp({c}), 6) AS {c}_stdev, round(stddev_samp({c}) / avg({c}), 6) AS {c}_cv" for c in ("collapsed", "raw", "singleton")) + ", round(100.0 * sum(singleton) / sum(collapsed), 6) AS pct_singleton FROM f GROUP BY region_id")
+@query("depth_region", _depth + "SELECT region_id, count(*) AS region_len, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}_total, round(avg({c}), 6) AS {c}_mean, round(stddev_samp({c}), 6) AS {c}_stdev, round(stddev_samp({c}) / nullif(avg({c}), 0), 6) AS {c}_cv" for c in ("collapsed", "raw", "singleton")) + ", round(100.0 * sum(singleton) / nullif(sum(collapsed), 0), 6) AS pct_singleton FROM f GROUP BY region_id")
 def depth_region(spark: SparkSession, d: str) -> DataFrame:
     """Coverage of the regions."""
     r = depth.region_depth(_aln(spark, d), bed(spark, d), min_mapq=6)
@@ -408,7 +408,7 @@ def err_impute(spark: SparkSession, d: str) -> DataFrame:
     return errors.impute_quality(_error_cube(spark, d), min_obs=100)
 
 
-@query("quality_rescale", _impute + "SELECT CASE WHEN (flag & 128) <> 0 THEN 2 ELSE 1 END AS mate, cycle, CAST(CASE WHEN b.base = 'N' THEN 2 ELSE coalesce(least(93, new_qual), b.qual) END AS INT) AS qual, count(*) AS n FROM bases b LEFT JOIN t ON t.mate = CASE WHEN (flag & 128) <> 0 THEN 2 ELSE 1 END AND t.cycle = b.cycle AND t.base = b.base AND t.qual = b.qual GROUP BY 1, 2, 3".replace("mate, cycle, CAST(CASE WHEN b.base", "mate, b.cycle AS cycle, CAST(CASE WHEN b.base"))
+@query("quality_rescale", _impute + "SELECT CASE WHEN (flag & 128) <> 0 THEN 2 ELSE 1 END AS mate, cycle, CAST(CASE WHEN b.base = 'N' THEN 2 ELSE least(93, coalesce(new_qual, b.qual)) END AS INT) AS qual, count(*) AS n FROM bases b LEFT JOIN t ON t.mate = CASE WHEN (flag & 128) <> 0 THEN 2 ELSE 1 END AND t.cycle = b.cycle AND t.base = b.base AND t.qual = b.qual GROUP BY 1, 2, 3".replace("mate, cycle, CAST(CASE WHEN b.base", "mate, b.cycle AS cycle, CAST(CASE WHEN b.base"))
 def quality_rescale(spark: SparkSession, d: str) -> DataFrame:
     """Bases by mate, cycle and recalibrated quality."""
     from readloom.functions.cigar import aligned_bases
@@ -462,7 +462,7 @@ def rescue_pairs(spark: SparkSession, d: str) -> DataFrame:
     return rescue.rescue_parents(_stacked(spark, d), _sig, "barcode", mismatch_limit=1)
 
 
-_roots = _stack.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + f", par AS ({_pairs}), w AS (SELECT contig, pos, second, barcode, barcode AS at FROM n UNION ALL SELECT w.contig, w.pos, w.second, w.barcode, par.parent FROM w JOIN par ON par.contig = w.contig AND par.pos = w.pos AND par.second = w.second AND par.barcode = w.at), root AS (SELECT contig, pos, second, barcode, max(at) AS root FROM w GROUP BY ALL) "
+_roots = _stack.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + f", par AS ({_pairs}), w AS (SELECT contig, pos, second, barcode, barcode AS last_name FROM n UNION ALL SELECT w.contig, w.pos, w.second, w.barcode, par.parent FROM w JOIN par ON par.contig = w.contig AND par.pos = w.pos AND par.second = w.second AND par.barcode = w.last_name), root AS (SELECT contig, pos, second, barcode, max(last_name) AS root FROM w GROUP BY ALL) "
 
 
 @query("rescue_records", _roots + "SELECT contig, pos, second, root, count(*) AS n_merged, CAST(sum(fm) AS BIGINT) AS fm, CAST(sum(rv) AS BIGINT) AS rv, CAST(sum(np) AS BIGINT) AS np, CASE WHEN sum(rv) > 0 AND sum(rv) < sum(fm) THEN 1 ELSE 0 END AS dr FROM s JOIN root USING (contig, pos, second, barcode) GROUP BY ALL")
@@ -484,12 +484,13 @@ def rescue_bases(spark: SparkSession, d: str) -> DataFrame:
     return b.groupBy("base").agg(F.count("*").alias("n"), F.sum("fa").alias("fa"), F.sum("pv").alias("pv"), F.sum("qual").alias("qual"))
 
 
-@query("route_supplementary", with_("aln", extra="b AS (SELECT read_id, qname, flag, is_rev, i, " + "CASE WHEN (read_id * 7 + i * 5) % 41 = 0 THEN 'N' ELSE 'x' END AS c FROM (SELECT *, unnest(range(0, len)) AS i FROM aln))") + "SELECT qname AS name, CASE WHEN (flag & 128) <> 0 THEN 2 ELSE 1 END AS mate, count(*) AS len, count(*) FILTER (c = 'N') AS n_ambiguous FROM b WHERE (flag & 2048) <> 0 GROUP BY qname, flag, read_id")
+@query("route_supplementary", with_("aln", extra="b AS (SELECT read_id, qname, flag, is_rev, i, " + "CASE WHEN (read_id * 7 + i * 5) % 41 = 0 THEN 'N' ELSE 'x' END AS c FROM (SELECT *, unnest(range(0, len)) AS i FROM aln))") + "SELECT qname AS name, CASE WHEN (flag & 128) <> 0 THEN 2 ELSE 1 END AS mate, count(*) AS len, count(*) FILTER (c = 'N') AS n_ambiguous FROM b WHERE (flag & 2048) <> 0 GROUP BY 1, 2")
 def route_supplementary(spark: SparkSession, d: str) -> DataFrame:
     """Reads with supplementary alignments, in sequencing order for realignment."""
     a = alignments(spark, d).withColumn("nc", F.lit(None).cast("int")).withColumn("sa", F.when(any_of(F.col("flag"), 2048), "x")).withColumn("mate_sa", F.lit(None).cast("string"))
     again = rescue.route(a, route_supplementary=True)[1]
-    return again.select("name", "mate", F.length("seq").cast("bigint").alias("len"), (F.length("seq") - F.length(F.replace("seq", F.lit("N"), F.lit("")))).cast("bigint").alias("n_ambiguous"))
+    n = F.length("seq").cast("bigint")
+    return again.groupBy("name", "mate").agg(F.sum(n).alias("len"), F.sum(n - F.length(F.replace("seq", F.lit("N"), F.lit("")))).alias("n_ambiguous"))
 
 
 # ---------------------------------------------------------------- pile-ups and variants
