@@ -47,7 +47,7 @@ def homing_trim(seq: Column, homing: str, blen: int, max_blen: int | None = None
 
 def canonical_barcode(h1: Column, h2: Column) -> tuple[Column, Column]:
     """(barcode, strand) of a pair: the smaller half first, so both strands of a duplex have one barcode."""
-    return F.concat(F.least(h1, h2), F.greatest(h1, h2)), F.when(h1 <= h2, "F").otherwise("R")
+    return F.when(h1.isNotNull() & h2.isNotNull(), F.concat(F.least(h1, h2), F.greatest(h1, h2))), F.when(h1 <= h2, "F").otherwise("R")
 
 
 def mask_prefix(seq: Column, qual: Column, n: int) -> tuple[Column, Column]:
