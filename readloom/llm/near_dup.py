@@ -44,9 +44,11 @@ def _pieces(scope: Column, b: Column, rotated: int) -> list[Column]:
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Barcode pairs within 2 edits among the rows of each key: (id_x, id_y, n_x, n_y), each pair once a partition."""
-    t = pa.Table.from_batches(list(batches))
-    if not t.num_rows:
+    some = [b for b in batches if b.num_rows]
+    if not some:
         return
+    t = pa.Table.from_batches(some)
+    del some
     key, role, bid = (t[c].to_numpy() for c in ("key", "role", "bid"))
     ids, first, code = np.unique(bid, return_index=True, return_inverse=True)
     count = t["n"].to_numpy()[first]
@@ -213,8 +215,8 @@ def near_duplicates(
     plan = homes.unionByName(moves.join(guests, "dst").select("src", "dst", F.lit(0).alias("home"), "nd", "w"))
     cells = lambda c: F.ceil(F.col(c) / tile).cast("int")
     placed = rows.select("bid", "id", "s").join(plan.withColumn("ch", cells("nd")).withColumn("cw", cells("w")), F.col("bid") == F.col("src"))
-    placed = placed.withColumn("c", F.pmod(F.xxhash64("id"), F.when(F.col("home") == 1, F.col("ch")).otherwise(F.col("cw")))).withColumn("one", (F.col("ch") == 1) & (F.col("cw") <= 1))
-    at = lambda i, j, side, alone: F.struct(F.xxhash64("dst", i, j).alias("tile"), side.cast("tinyint").alias("side"), alone.cast("tinyint").alias("self"))
+    placed = placed.withColumn("c", F.pmod(F.xxhash64("id"), F.when(F.col("home") == 1, F.col("ch")).otherwise(F.col("cw"))).cast("int")).withColumn("one", (F.col("ch") == 1) & (F.col("cw") <= 1))
+    at = lambda i, j, side, alone: F.struct(F.xxhash64("dst", i.cast("int"), j.cast("int")).alias("tile"), side.cast("tinyint").alias("side"), alone.cast("tinyint").alias("self"))
     zero, one = F.lit(0), F.lit(1)
     simple = F.array(at(zero, zero, 1 - F.col("home"), F.col("home")))
     upto = lambda n: F.sequence(zero, F.col(n) - 1)
