@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from readloom.functions.cigar import aligned_bases
+from readloom.functions.cigar import aligned_bases, reference_length
 from readloom.functions.flags import DUP, NOT_PRIMARY, PROPER, QCFAIL, READ2, REVERSE, UNMAPPED, any_of, gate
 from readloom.functions.phred import to_phred
 from readloom.operators.intervals import overlap_join, overlaps, pad_regions
@@ -13,16 +13,34 @@ from readloom.operators.intervals import overlap_join, overlaps, pad_regions
 _SKIP = UNMAPPED | NOT_PRIMARY | QCFAIL | DUP
 
 
+#: Letters of a reference piece; an alignment of no greater span finds all its letters in one piece.
+PIECE = 16384
+
+
+def reference_pieces(ref: DataFrame) -> DataFrame:
+    """contig, piece, letters: the letters from piece * PIECE on, 2 * PIECE of them, so that pieces overlap by half."""
+    parts = F.posexplode(F.regexp_extract_all(F.upper("seq"), F.lit("(?s).{1,%d}" % PIECE), F.lit(0)))
+    p = ref.select("contig", parts.alias("piece", "letters"))
+    return p.withColumn("letters", F.concat("letters", F.coalesce(F.lead("letters").over(Window.partitionBy("contig").orderBy("piece")), F.lit(""))))
+
+
 def _observed(aln: DataFrame, ref: DataFrame, keep: list[str], arrays: list[str] = ()) -> DataFrame:
     """Aligned bases beside the reference letter, N on either side left out: ``keep``, mate, ref_pos, cycle, base, qual, err.
 
-    ``ref``: contig, seq. A contig's text is joined once to its alignments and cut to the read's span before the bases
-    are exploded; Spark broadcasts the reference if its size allows.
+    ``ref``: contig, seq. The reference is cut in pieces; an alignment meets the piece in which it begins by an equi-join, and
+    keeps the letters it spans before its bases are exploded. Only the bases of alignments that span more than a piece
+    meet their pieces one by one. Spark broadcasts the pieces if their size allows.
     """
     mate = F.when(any_of(F.col("flag"), READ2), 2).otherwise(1)
-    b = aligned_bases(aln.withColumn("mate", mate), ["contig", "mate", *keep], reverse=any_of(F.col("flag"), REVERSE), arrays=list(arrays))
-    letter = F.substring("_ref", F.col("ref_pos") + 1, F.lit(1))
-    j = b.join(ref.select("contig", F.upper("seq").alias("_ref")), "contig").withColumn("_l", letter).drop("_ref")
+    pieces = reference_pieces(ref)
+    a = aln.withColumn("mate", mate).withColumn("_span", reference_length(F.col("cigar"))).withColumn("_begin", F.col("pos")).withColumn("piece", F.floor(F.col("pos") / PIECE).cast("int"))
+    cols = list(dict.fromkeys(["contig", "mate", *keep]))
+    rev = any_of(F.col("flag"), REVERSE)
+    near = a.where(F.col("_span") <= PIECE).join(pieces, ["contig", "piece"]).withColumn("_ref", F.substring("letters", F.col("pos") - F.col("piece") * PIECE + 1, F.col("_span"))).drop("letters")
+    near = aligned_bases(near, [*cols, "_begin", "_ref"], reverse=rev, arrays=list(arrays)).withColumn("_l", F.substring("_ref", F.col("ref_pos") - F.col("_begin") + 1, F.lit(1))).drop("_begin", "_ref")
+    far = aligned_bases(a.where(F.col("_span") > PIECE), cols, reverse=rev, arrays=list(arrays)).withColumn("piece", F.floor(F.col("ref_pos") / PIECE).cast("int")).join(pieces, ["contig", "piece"])
+    far = far.withColumn("_l", F.substring("letters", F.col("ref_pos") - F.col("piece") * PIECE + 1, F.lit(1))).drop("piece", "letters")
+    j = near.unionByName(far)
     j = j.where(F.col("base").isin("A", "C", "G", "T") & F.col("_l").isin("A", "C", "G", "T"))
     return j.withColumn("err", (F.col("base") != F.col("_l")).cast("int")).drop("_l")
 

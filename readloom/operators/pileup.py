@@ -33,7 +33,7 @@ def observations(aln: DataFrame, *, skip_flags: int = 0, skip_improper: bool = F
 
     ``aln``: qname, flag, contig, pos, endpos, cigar, seq, qual, mapq, fm, dr, rv, fa, pv. Mates that overlap become one
     observation: they agree (fa summed, pv combined), or one is N (the other is taken), or differ (N, fa 0, pv 0); fm is
-    summed and overlap is 1. At most two records of a name count at a position, the first mates by flag.
+    summed and overlap is 1. Two records of a name count at a position, the least and the greatest by flag and letter.
     """
     gate = ~any_of(F.col("flag"), skip_flags) if skip_flags else F.lit(True)
     if skip_improper:

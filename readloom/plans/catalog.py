@@ -497,12 +497,12 @@ def route_supplementary(spark: SparkSession, d: str) -> DataFrame:
 
 _agree = "CAST(floor(((x.pv + y.pv) * 0.230258509299404568 - ln(1 + (x.pv + y.pv) * 0.230258509299404568)) / 0.230258509299404568 + 0.5) AS INT)"
 _obs_sql = f"""
-ob AS (SELECT contig, ref_pos, qname, flag, base, pv, fa, fm, dr, rv, mapq, row_number() OVER w AS rn, count(*) OVER (PARTITION BY contig, ref_pos, qname) AS n FROM bases WHERE (flag & 3844) = 0 WINDOW w AS (PARTITION BY contig, ref_pos, qname ORDER BY flag, base, pv)),
+ob AS (SELECT contig, ref_pos, qname, flag, base, pv, fa, fm, dr, rv, mapq, row_number() OVER w AS rn, count(*) OVER (PARTITION BY contig, ref_pos, qname) AS n FROM bases WHERE (flag & 3844) = 0 WINDOW w AS (PARTITION BY contig, ref_pos, qname ORDER BY flag, base, pv, fa, fm, dr, rv, mapq)),
 u AS (SELECT x.contig, x.ref_pos, x.qname, CASE WHEN y.qname IS NULL THEN x.base WHEN x.base = y.base THEN x.base WHEN x.base = 'N' THEN y.base WHEN y.base = 'N' THEN x.base ELSE 'N' END AS base,
   CASE WHEN y.qname IS NULL THEN x.pv WHEN x.base = y.base THEN {_agree} WHEN x.base = 'N' THEN y.pv WHEN y.base = 'N' THEN x.pv ELSE 0 END AS pv,
   CASE WHEN y.qname IS NULL THEN x.fa WHEN x.base = y.base THEN x.fa + y.fa WHEN x.base = 'N' THEN y.fa WHEN y.base = 'N' THEN x.fa ELSE 0 END AS fa,
   x.fm + coalesce(y.fm, 0) AS fm, x.dr AS dr, x.rv + coalesce(y.rv, 0) AS rv, greatest(x.mapq, coalesce(y.mapq, 0)) AS mapq, (x.flag & 16) <> 0 AS is_rev, CASE WHEN y.qname IS NULL THEN 0 ELSE 1 END AS overlap
-  FROM ob x LEFT JOIN ob y ON x.contig = y.contig AND x.ref_pos = y.ref_pos AND x.qname = y.qname AND y.rn = 2 WHERE x.rn = 1)"""
+  FROM ob x LEFT JOIN ob y ON x.contig = y.contig AND x.ref_pos = y.ref_pos AND x.qname = y.qname AND y.rn = y.n AND y.n > 1 WHERE x.rn = 1)"""
 
 
 def _obs(spark: SparkSession, d: str, extra=None) -> DataFrame:
