@@ -112,3 +112,19 @@ def test_rescue_of_two_is_the_pairwise_merge(spark):
     a = aln(spark, {"barcode": "AAAA", "pv": [67] * 4, "fa": [2] * 4}, {"barcode": "AAAC"})
     b = rescue.rescue(a, ["contig", "pos"])[1].collect()
     assert {(r.fa, r.pv) for r in b} == {(3, 93)}
+
+
+def test_errors_against_reference_pieces(spark):
+    from readloom.operators import errors
+
+    seq = ("ACGT" * 12_000)[: 3 * errors.PIECE + 100]
+    ref = spark.createDataFrame([("1", seq)], "contig string, seq string")
+    p = errors.PIECE
+    rows = [{"pos": p - 2, "endpos": p + 2, "seq": seq[p - 2 : p + 1] + "N"}, {"pos": p - 2, "endpos": p + 2, "seq": "A" + seq[p - 1 : p + 2]}, {"pos": 5, "endpos": 5 + 4 + 2 * p, "cigar": f"2M{2 * p}N2M", "seq": seq[5:7] + seq[7 + 2 * p : 9 + 2 * p]}]
+    cube = errors.error_cube(aln(spark, *rows), ref)
+    got = cube.groupBy().agg(F.sum("obs"), F.sum("err")).first()
+    assert tuple(got) == (11, 1)
+    rates = {r.cycle: r.r1_err for r in errors.cycle_rates(cube).collect()}
+    assert rates == {0: 1, 1: 0, 2: 0, 3: 0}
+    by = errors.error_by_region(aln(spark, *rows), ref, regions(spark, (1, "1", p, p + 1), (2, "1", 0, 6), (3, "2", 0, 6)))
+    assert {r.region_id: (r.errors, r.obs) for r in by.collect()} == {1: (1, 11), 2: (0, 4)}
