@@ -71,18 +71,25 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     many = np.where(role < 4, end - np.arange(len(key)) - 1, np.where(role < 6, lookups, 0))
     found = [np.zeros(0, np.int64)]
     own = sk[node]  # in the order of the rows: partners lie side by side, and few pairs get past their sketches
+    found, waiting = [np.zeros(0, np.int64)], []
+
+    def settle() -> None:
+        pair = distinct(np.concatenate(waiting))
+        waiting.clear()
+        x, y = pair // (2 * len(ids)), pair % (2 * len(ids))
+        ok = edits.within(x, y)
+        x, y = x[ok] % len(ids), y[ok] % len(ids)
+        found.append(distinct(np.minimum(x, y) * len(ids) + np.maximum(x, y)))
+
     for i, j in ranges(start, many):
         near = np.flatnonzero(np.bitwise_count(own[i] ^ own[j]) <= 12)
         x, y = node[i[near]], node[j[near]]
         keep = ~((x >= len(ids)) & (y >= len(ids))) & (x % len(ids) != y % len(ids)) & (np.abs(length[x] - length[y]) <= 2)
-        found.append(x[keep] * (2 * len(ids)) + y[keep])
-    pair = distinct(np.concatenate(found))
-    found = [np.zeros(0, np.int64)]
-    for a in range(0, len(pair), 1 << 18):
-        x, y = pair[a : a + (1 << 18)] // (2 * len(ids)), pair[a : a + (1 << 18)] % (2 * len(ids))
-        ok = edits.within(x, y)
-        x, y = x[ok] % len(ids), y[ok] % len(ids)
-        found.append(np.minimum(x, y) * len(ids) + np.maximum(x, y))
+        waiting.append(x[keep] * (2 * len(ids)) + y[keep])
+        if sum(map(len, waiting)) > 1 << 20:  # what waits is bounded, however many partners a key has
+            settle()
+    if waiting:
+        settle()
     pair = distinct(np.concatenate(found))
     x, y = pair // len(ids), pair % len(ids)
     for a in range(0, len(x), 100_000):
