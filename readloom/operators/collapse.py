@@ -34,7 +34,8 @@ def position_stats(reads: DataFrame, family: list[str], *, hot: int = HOT) -> Da
         return e.select(*keys, "pos", F.when(b.isin("A", "C", "G", "T"), b).otherwise("N").alias("base"), (F.ascii(F.substring("qual", F.col("_i"), F.lit(1))) - 33).alias("q"))
 
     sums = [F.count("*").alias("n"), F.sum("q").alias("phred_sum"), F.max("q").alias("max_phred")]
-    cold = bases(named.join(big, family, "left_anti").repartition(*family)).groupBy(*keys, "pos", "base").agg(*sums)
+    n = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # fixed: few bytes become many rows here, so partitions mustn't be merged by size
+    cold = bases(named.join(big, family, "left_anti").repartition(n, *family)).groupBy(*keys, "pos", "base").agg(*sums)
     warm = bases(named.join(big, family, "left_semi")).groupBy(*keys, "pos", "base").agg(*sums)
     return cold.unionByName(warm)
 

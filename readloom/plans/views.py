@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readloom.session import table
+from readloom.session import spread, table
 
 #: Letters of each reference contig.
 REF_LEN = 4096
@@ -58,7 +58,8 @@ _SPARK_DAYS = "datediff(l_shipdate, date'1992-01-01')"
 
 def alignments(spark: SparkSession, sf_dir: str, *, bases: bool = True) -> DataFrame:
     """Alignments from lineitem; with ``bases`` also seq, qual (reference order) and fa, pv (sequencing order)."""
-    a = table(spark, sf_dir, "lineitem").selectExpr(*[f"{e.format(days=_SPARK_DAYS) if 'days' in e else e} AS {n}" for n, e in _ALN]).selectExpr("*", *[f"{e} AS {n}" for n, e in _ALN2])
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_shipdate")
+    a = (spread(items) if bases else items).selectExpr(*[f"{e.format(days=_SPARK_DAYS) if 'days' in e else e} AS {n}" for n, e in _ALN]).selectExpr("*", *[f"{e} AS {n}" for n, e in _ALN2])
     if not bases:
         return a
     seqd = "IF(is_rev, len - 1 - i, i)"
