@@ -39,6 +39,14 @@ def _weighted_percentiles(hist: DataFrame, keys: list[str], qs: list[float]) ->
         state = nxt
 
 
+def _counted(values: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """How often each value occurs in a group: ``keys``, ``v``, ``c``. Rows without a value or with a null key are left out."""
+    k = values.select(*keys, F.col(value).cast("bigint").alias("v")).where(F.col("v").isNotNull())
+    for c in keys:
+        k = k.where(F.col(c).isNotNull())
+    return k.groupBy(*keys, "v").agg(F.count("*").alias("c"))
+
+
 def exact_percentiles(values: DataFrame, keys: list[str], value: str, qs: list[float]) -> DataFrame:
     """Exact percentiles per group: ``keys``, ``q``, ``n`` (values counted), ``rank``, ``value`` (the rank-th least value).
 
@@ -51,29 +59,23 @@ def exact_percentiles(values: DataFrame, keys: list[str], value: str, qs: list[f
     Nulls count for nothing; a group without values has no row; null keys are groups of their own only if made non-null
     before (rows with a null key are left out); whole numbers only (bigint), spanning less than 2**63; empty inputs give no row.
     """
-    k = values.select(*keys, F.col(value).cast("bigint").alias("v")).where(F.col("v").isNotNull())
-    for c in keys:
-        k = k.where(F.col(c).isNotNull())
-    hist = cut(k.groupBy(*keys, "v").agg(F.count("*").alias("c")), "values")
+    hist = cut(_counted(values, keys, value), "values")
     return _weighted_percentiles(hist, keys, qs).withColumnRenamed("v", "value")
 
 
-def summarise(values: DataFrame, keys: list[str], part: list[str], value: str, steps: int = 20) -> DataFrame:
+def summarise(values: DataFrame, keys: list[str], part: list[str], value: str) -> DataFrame:
     """A summary of each part (say a day) of each group that combines with those of other parts.
 
-    ``keys``, ``part``, ``v``, ``c``: the values at the ranks i * n / steps (i = 1..steps), each standing for the c values
-    up to it since the one before. A part's rank of any value is off by at most n / steps.
+    ``keys``, ``part``, ``v``, ``c``: how often each value occurs in the part. Nothing is rounded, so a combined percentile
+    is exact however the values are spread over the parts; a part has as many rows as different values, not a fixed number.
     """
-    got = exact_percentiles(values, [*keys, *part], value, [i / steps for i in range(1, steps + 1)])
-    w = Window.partitionBy(*keys, *part).orderBy("rank")  # at most ``steps`` rows
-    return got.dropDuplicates([*keys, *part, "rank"]).withColumn("c", F.col("rank") - F.coalesce(F.lag("rank").over(w), F.lit(0))).select(*keys, *part, F.col("value").alias("v"), "c")
+    return _counted(values, [*keys, *part], value)
 
 
-def combine(summaries: DataFrame, keys: list[str], qs: list[float], steps: int = 20) -> DataFrame:
+def combine(summaries: DataFrame, keys: list[str], qs: list[float]) -> DataFrame:
     """Percentiles over the parts of a summary: ``keys``, ``q``, ``n``, ``rank``, ``value``, ``rank_error``.
 
-    The value's true rank lies within ``rank_error`` = n / steps (+ 1 a part, for rounding) of ``rank``.
+    ``value`` is the rank-th least of all values, as in :func:`exact_percentiles`; ``rank_error`` is 0.
     """
-    hist = cut(summaries.groupBy(*keys, "v").agg(F.sum("c").alias("c"), F.count("*").alias("parts")), "values")
-    err = summaries.groupBy(*keys).agg(F.sum("c").alias("_n"), F.count("*").alias("_m")).select(*keys, (F.ceil(F.col("_n") / steps) + F.ceil(F.col("_m") / steps)).alias("rank_error"))
-    return _weighted_percentiles(hist, keys, qs).withColumnRenamed("v", "value").join(err, keys)
+    hist = cut(summaries.groupBy(*keys, "v").agg(F.sum("c").alias("c")), "values")
+    return _weighted_percentiles(hist, keys, qs).withColumnRenamed("v", "value").withColumn("rank_error", F.lit(0).cast("bigint"))

@@ -35,6 +35,16 @@ def test_days_combine_within_the_stated_error(spark):
         assert r.n == len(vals) and r.rank_error <= len(vals) / 20 + 6
 
 
+def test_combined_days_are_exact_in_heavy_tails(spark):
+    rng = random.Random(4)
+    rows = [(d, int(rng.paretovariate(0.3)) % 2**40) for d in range(7) for _ in range(300)]
+    df = spark.createDataFrame(rows, "day int, x bigint").withColumn("k", F.lit("k"))
+    qs = [0.05, 0.5, 0.95, 0.99, 0.999]
+    vals = sorted(v for _, v in rows)
+    got = {r.q: (r.n, r.value, r.rank_error) for r in combine(summarise(df, ["k"], ["day"], "x"), ["k"], qs).collect()}
+    assert got == {q: (len(vals), vals[math.ceil(q * len(vals)) - 1], 0) for q in qs}
+
+
 @need_files
 def test_trie_equals_the_library():
     import regex
