@@ -23,17 +23,24 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: 0 is the border of a word, 1..26 the letters.
 SIZE = 27
 ORDER = 4
+#: Letters of a token that may be a piece of a word; cost from which such a token is hardly a word itself; tokens looked at beside it.
+PIECE, STRANGE, NEAR = 5, 11.5, 2
+#: Prices of leaving out a blank between pieces and between single signs, and of a border where there is no blank.
+JOIN, JOIN_ONE, BREAK = 4.0, 0.0, 8.0
 
 _tag = re.compile(r"<[^<>\n]{0,200}>|\[/?[a-zA-Z]{1,10}(?:=[^\]\n]{0,200})?\]")
 _break = re.compile(r"<(?:br|/?blockquote|/?p|/?div|/?li)\s*/?>|\[/?quote[^\]]{0,200}\]", re.I)
 _url = re.compile(r"(?:https?://|www\.)\S+")
 _mention = re.compile(r"(?<!\w)@[\w][\w.\-]*")
 _spaced = re.compile(r"(?<!\w)(?:[^\W\d_][ ]){2,}[^\W\d_](?!\w)")
+#: Neighbouring short tokens of a line, between which blanks may be no borders of words.
+_run = re.compile(r"(?<!\S)(?:\S{1,8}[ \t]{1,3})+\S{1,8}(?!\S)")
+_parts = re.compile(r"(\W*?)([a-z0-9$@!|+€£(¡*#%?•]*)([.,:;'\")\]}>?!]*)")
 _latin = re.compile("[a-z]")
 _foreign = re.compile(r"[^\W\d_]*[^\W\d_\x00-\x7f][^\W\d_]*")
 
 
-def tidy(text: str) -> str:
+def clean(text: str) -> str:
     """Lower-case text without markup, entities, hidden characters, look-alike letters, links and names of users."""
     t = html.unescape(text)
     if "&" in t:
@@ -44,7 +51,12 @@ def tidy(text: str) -> str:
     if not t.isascii():
         # words that mix scripts, or consist of look-alikes alone
         t = _foreign.sub(lambda m: "".join(LOOKALIKES.get(c, c) for c in m.group(0)) if _latin.search(m.group(0)) or all(c in LOOKALIKES for c in m.group(0)) else m.group(0), t)
-    return _spaced.sub(lambda m: m.group(0).replace(" ", ""), t)
+    return t
+
+
+def tidy(text: str) -> str:
+    """:func:`clean`, with words of single letters joined by rule; :meth:`Restorer.respace` joins them by the letter model instead."""
+    return _spaced.sub(lambda m: m.group(0).replace(" ", ""), clean(text))
 
 
 def letter_model(docs: DataFrame, text: str) -> np.ndarray:
@@ -89,6 +101,7 @@ class Restorer:
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
         self.known: dict[str, str] = {}
+        self.pieces: dict[str, tuple[str, str, str, bool]] = {}
 
     def __call__(self, chunk: str) -> str:
         got = self.known.get(chunk)
@@ -98,6 +111,89 @@ class Restorer:
             got = self.known[chunk] = self._decode(chunk) if _odd.search(chunk) and len(chunk) <= 40 else chunk
         return got
 
+    def _piece(self, token: str) -> tuple[str, str, str, bool]:
+        """What stands before, in ('' if it can't be a piece of a word) and after a token, and whether it is hardly a word itself."""
+        got = self.pieces.get(token)
+        if got is None:
+            if len(self.pieces) > 300_000:
+                self.pieces.clear()
+            m = _parts.fullmatch(token)
+            before, core, after = m.groups() if m else ("", "", "")
+            if len(token) > 1:  # punctuation wins at the end of a token
+                core, after = (x := core.rstrip("!?|")), core[len(x) :] + after
+            if len(core) == 0 and len(token) == 1 and token in LEET | dict.fromkeys(WILD):
+                before, core, after = "", token, ""
+            if len(core) > PIECE or len(core) > 1 and 2 * sum(c in LETTERS for c in core) < len(core) or core and not self._plain(core):
+                core = ""
+            strange = bool(core) and (core not in "ai" if len(core) == 1 else self._best(self._plain(core))[0] > STRANGE)
+            got = self.pieces[token] = (before, core, after, strange)
+        return got
+
+    def _plain(self, s: str) -> list[list[tuple[str, float]]]:
+        """The options of a piece; one of plain letters stands for itself."""
+        return self._options(s) if _odd.search(s) or not _latin.search(s) else [[(c, 0.0)] for c in s]
+
+    def respace(self, text: str) -> str:
+        """Text in which blanks inside words are left out and lost ones put back.
+
+        Looked at are neighbouring tokens of up to ``PIECE`` letters or signs around one that is hardly a word itself, with
+        one to three blanks between; their lattice has every blank as an option. Digits and signs that stand alone count as
+        letters only in a run of at least three single signs, half of them letters (at least three if there are digits).
+        """
+        return _run.sub(lambda m: self._respace(m.group(0)), text)
+
+    def _respace(self, run: str) -> str:
+        tokens = run.split()
+        p = [self._piece(t) for t in tokens]
+        if not any(x[3] for x in p):
+            return run
+        n = len(p)
+        ok = [bool(x[1]) for x in p]
+        i = 0
+        while i < n:  # signs and digits that stand alone
+            k = i
+            while k < n and len(p[k][1]) == 1 and (k == i or not p[k - 1][2] and not p[k][0]):
+                k += 1
+            letters = sum(x[1] in LETTERS for x in p[i:k])
+            if k - i < 3 or 2 * letters < k - i or letters < 3 and any(x[1].isdigit() for x in p[i:k]):
+                for j in range(i, k):
+                    ok[j] = p[j][1] in LETTERS
+            i = max(k, i + 1)
+        near = [False] * n
+        for i in range(n):
+            if ok[i] and p[i][3]:
+                for step in (-1, 1):
+                    j, left = i, NEAR
+                    while ok[j]:
+                        near[j] = True
+                        k = j + step
+                        if not 0 <= k < n or not left or (p[j][2] or p[k][0] if step > 0 else p[j][0] or p[k][2]):
+                            break
+                        j, left = k, left - 1
+        out, i = [], 0
+        while i < n:
+            k = i
+            while k < n and near[k] and (k == i or not p[k - 1][2] and not p[k][0]):
+                k += 1
+            if k - i < 2:
+                out.append(tokens[i])
+                i += 1
+                continue
+            lattice: list[list[tuple[str, float]]] = []
+            for j in range(i, k):
+                if j > i:
+                    one = len(p[j][1]) == 1 and len(p[j - 1][1]) == 1
+                    lattice.append([(" ", 0.0), ("", JOIN_ONE if one else JOIN)])
+                for at, choice in enumerate(self._plain(p[j][1])):
+                    if at:
+                        lattice.append([("", 0.0), (" ", BREAK)])
+                    lattice.append(choice)
+            got = self._best(lattice)[1]
+            same = got == " ".join(x[1] for x in p[i:k])
+            out += tokens[i:k] if same else [p[i][0] + got.strip() + p[k - 1][2]]
+            i = k
+        return " ".join(out)
+
     def _options(self, s: str) -> list[list[tuple[str, float]]]:
         out, i = [], 0
         while i < len(s):
@@ -135,6 +231,10 @@ class Restorer:
         opts = self._options(core)
         if not opts:
             return core
+        return self._best(opts)[1]
+
+    def _best(self, opts: list[list[tuple[str, float]]]) -> tuple[float, str]:
+        """The cheapest way through a lattice, and its cost; a blank is the border of a word."""
         m, beam = self.model, {(0, 0, 0): (0.0, "")}
         for choice in opts:
             nxt: dict = {}
@@ -142,6 +242,11 @@ class Restorer:
                 for piece, price in choice:
                     x, y, z, v = a, b, c, cost + price
                     for ch in piece:
+                        if ch == " ":
+                            if z:  # one border, however many blanks
+                                v -= m[x][y][z][0]
+                            x = y = z = 0
+                            continue
                         k = ord(ch) - 96
                         v -= m[x][y][z][k]
                         x, y, z = y, z, k
@@ -149,7 +254,7 @@ class Restorer:
                     if old is None or v < old[0]:
                         nxt[(x, y, z)] = (v, text + piece)
             beam = nxt if len(nxt) <= 400 else dict(sorted(nxt.items(), key=lambda e: e[1][0])[:400])
-        return min((v - m[a][b][c][0], text) for (a, b, c), (v, text) in beam.items())[1]
+        return min((v - m[a][b][c][0] if c else v, text) for (a, b, c), (v, text) in beam.items())
 
 
 #: What makes a word worth decoding: a sign or digit beside letters, or a letter three times in a row.

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.restore import Restorer, letter_model, tidy
+from readloom.llm.restore import Restorer, clean, letter_model
 from readloom.session import ship
 
 #: Judged documents that the classifier is fitted on at most (by hash of the id).
@@ -71,7 +71,7 @@ class Passages:
 
     def of(self, text: str) -> list[list[str]]:
         out = []
-        for s in _stop.split(tidy(text)):
+        for s in _stop.split(self.restore.respace(clean(text))):
             w = self.words(s) if s and not s.isspace() else []
             if len(w) <= WINDOW + 4:
                 if w:

@@ -56,3 +56,17 @@ def test_restoring(spark):
     for disguised, plain in (("4$$h0l3", "asshole"), ("b_a_s_t_a_r_d", "bastard"), ("lllloser", "loser"), ("st*pid", "stupid"), ("d1p$h1t", "dipshit"), ("mor0n,", "moron"), ("raaaather", "rather"), ("people", "people"), ("X", "X")):
         assert r(disguised) == plain
     assert tidy("b&shy;ad руѕѕу <b>xy</b> f u c k &amp; @user.name http://a.b/c").split() == ["bad", "pyssy", "xy", "fuck", "&", "@"]
+
+
+def spelling(spark):
+    words = "you are nothing but a parasite and an idiot with bad shit in the house it is not a stupid moron people clean bellows who told his part of that " * 1000
+    return Restorer(letter_model(spark.createDataFrame([(words,)], "text string"), "text"))
+
+
+def test_blanks_inside_words(spark):
+    r = spelling(spark)
+    for spaced, plain in (
+        ("nothing but a p a r a s i t e", "nothing but a parasite"), ("an i d 1 0 t", "an idiot"), ("s h * t", "shit"), ("you id iot.", "you idiot."), ("a  s t u  p i d  moron", "a stupid moron"),
+        ("you are not a clean house", "you are not a clean house"), ("it is part of that", "it is part of that"), ("3 4 5 and 1 x 2", "3 4 5 and 1 x 2"),
+    ):
+        assert r.respace(spaced) == plain
