@@ -19,6 +19,11 @@ WILD = "*#%?•"
 SKIP = "_.-~'`^·,:/\\"
 HIDDEN = dict.fromkeys([0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF, 0x180E, 0x034F])
 
+#: Signs that may also stand between words of one token.
+GLUE = "_.-/\\,:·"
+#: Wildcards in a row that are a line drawn between words, not letters; letters of a token that is not kept in memory.
+RULE, LONG = 25, 200
+
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: 0 is the border of a word, 1..26 the letters.
 SIZE = 27
@@ -96,7 +101,7 @@ def letter_model(docs: DataFrame, text: str) -> np.ndarray:
 
 
 class Restorer:
-    """Most probable spelling of a disguised word."""
+    """Most probable spelling of a disguised word, or of words glued by signs; tokens of any length."""
 
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
@@ -108,7 +113,9 @@ class Restorer:
         if got is None:
             if len(self.known) > 300_000:
                 self.known.clear()
-            got = self.known[chunk] = self._decode(chunk) if _odd.search(chunk) and len(chunk) <= 40 else chunk
+            got = self._decode(chunk) if _odd.search(chunk) else chunk
+            if len(chunk) <= LONG:
+                self.known[chunk] = got
         return got
 
     def _piece(self, token: str) -> tuple[str, str, str, bool]:
@@ -208,14 +215,19 @@ class Restorer:
                 continue
             inner = 0 < i and r < len(s)
             if c in LEET:
-                reps = range(n)
-                for _ in reps:
-                    out.append([(x, 1.0) for x in LEET[c]] + ([("", 3.0)] if c in "!|+(" else []))
+                none = [("", 3.0)] if c in "!|+(" else []
+                if n > 2:  # stretched, like a letter
+                    out.append([(x, 1.0) for x in LEET[c]] + [(x * 2, 1.7) for x in LEET[c]] + none)
+                else:
+                    for _ in range(n):
+                        out.append([(x, 1.0) for x in LEET[c]] + none)
+            elif c in WILD and n >= RULE:
+                out.append([(" ", 0.0)])
             elif c in WILD:
                 for _ in range(n):
                     out.append([(x, 1.0) for x in LETTERS] + [("", 4.0)])
             elif c in SKIP and inner:
-                out.append([("", 0.0)])
+                out.append([("", 0.0), (" ", 0.0)] if c in GLUE else [("", 0.0)])
             else:
                 return []
             i = r
@@ -235,10 +247,10 @@ class Restorer:
 
     def _best(self, opts: list[list[tuple[str, float]]]) -> tuple[float, str]:
         """The cheapest way through a lattice, and its cost; a blank is the border of a word."""
-        m, beam = self.model, {(0, 0, 0): (0.0, "")}
+        m, beam = self.model, {(0, 0, 0): (0.0, None)}  # a text is kept as its last piece and the text before, so that long tokens cost no more a letter
         for choice in opts:
             nxt: dict = {}
-            for (a, b, c), (cost, text) in beam.items():
+            for (a, b, c), (cost, before) in beam.items():
                 for piece, price in choice:
                     x, y, z, v = a, b, c, cost + price
                     for ch in piece:
@@ -252,9 +264,14 @@ class Restorer:
                         x, y, z = y, z, k
                     old = nxt.get((x, y, z))
                     if old is None or v < old[0]:
-                        nxt[(x, y, z)] = (v, text + piece)
+                        nxt[(x, y, z)] = (v, (before, piece))
             beam = nxt if len(nxt) <= 400 else dict(sorted(nxt.items(), key=lambda e: e[1][0])[:400])
-        return min((v - m[a][b][c][0] if c else v, text) for (a, b, c), (v, text) in beam.items())
+        cost, last = min(((v - m[a][b][c][0] if c else v, last) for (a, b, c), (v, last) in beam.items()), key=lambda e: e[0])
+        pieces = []
+        while last:
+            last, piece = last
+            pieces.append(piece)
+        return cost, "".join(reversed(pieces))
 
 
 #: What makes a word worth decoding: a sign or digit beside letters, or a letter three times in a row.

@@ -70,3 +70,11 @@ def test_blanks_inside_words(spark):
         ("you are not a clean house", "you are not a clean house"), ("it is part of that", "it is part of that"), ("3 4 5 and 1 x 2", "3 4 5 and 1 x 2"),
     ):
         assert r.respace(spaced) == plain
+
+
+def test_long_tokens_are_decoded(spark):
+    r = spelling(spark)
+    assert r("idi" + "o" * 60 + "t") == "idiot" and r("stup" + "1" * 50 + "d") == "stupid"
+    assert r("you_are_nothing_but_a_p4r4s1te/and_an_1d10t.with_b4d.people").split() == "you are nothing but a parasite and an idiot with bad people".split()
+    assert r("1d10t_" * 5000 + "mor0n").split() == ["idiot"] * 5000 + ["moron"]
+    assert r("id1ot" + "*" * 9000 + "m0ron").split() == ["idiot", "moron"]
