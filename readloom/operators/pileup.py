@@ -33,7 +33,7 @@ def observations(aln: DataFrame, *, skip_flags: int = 0, skip_improper: bool = F
 
     ``aln``: qname, flag, contig, pos, endpos, cigar, seq, qual, mapq, fm, dr, rv, fa, pv. Mates that overlap become one
     observation: they agree (fa summed, pv combined), or one is N (the other is taken), or differ (N, fa 0, pv 0); fm is
-    summed and overlap is 1. Two records of a name count at a position, the least and the greatest by flag and letter.
+    summed and overlap is 1. A column ``md`` (:func:`mismatch_density`) is carried along, the greatest of the mates. Two records of a name count at a position, the least and the greatest by flag and letter.
     """
     gate = ~any_of(F.col("flag"), skip_flags) if skip_flags else F.lit(True)
     if skip_improper:
@@ -44,8 +44,9 @@ def observations(aln: DataFrame, *, skip_flags: int = 0, skip_improper: bool = F
     if regions is not None:
         r = pad_regions(regions, padding)
         a = overlaps(a, r)
-    b = aligned_bases(a, ["contig", "qname", "flag", "fm", "dr", "rv", "mapq"], reverse=any_of(F.col("flag"), REVERSE), arrays=["fa", "pv"])
-    b = b.select("contig", "ref_pos", "qname", F.struct("flag", "base", F.col("pv_at").alias("pv"), F.col("fa_at").alias("fa"), "fm", F.coalesce("dr", F.lit(0)).alias("dr"), F.coalesce("rv", F.lit(0)).alias("rv"), "mapq").alias("o"))
+    md = ["md"] if "md" in aln.columns else []
+    b = aligned_bases(a, ["contig", "qname", "flag", "fm", "dr", "rv", "mapq", *md], reverse=any_of(F.col("flag"), REVERSE), arrays=["fa", "pv"])
+    b = b.select("contig", "ref_pos", "qname", F.struct("flag", "base", F.col("pv_at").alias("pv"), F.col("fa_at").alias("fa"), "fm", F.coalesce("dr", F.lit(0)).alias("dr"), F.coalesce("rv", F.lit(0)).alias("rv"), "mapq", *md).alias("o"))
     # min and max stand for the two mates; both are partial aggregates
     g = b.groupBy("contig", "ref_pos", "qname").agg(F.min("o").alias("x"), F.max("o").alias("y"), F.count("*").alias("n"))
     two = F.col("n") > 1
@@ -55,6 +56,7 @@ def observations(aln: DataFrame, *, skip_flags: int = 0, skip_improper: bool = F
         "contig", "ref_pos", "qname", pick("base", F.col("x.base")).alias("base"), pick("pv", agreed_pv(F.col("x.pv"), F.col("y.pv"))).alias("pv"), pick("fa", F.col("x.fa") + F.col("y.fa")).alias("fa"),
         F.when(two, F.col("x.fm") + F.col("y.fm")).otherwise(F.col("x.fm")).alias("fm"), F.col("x.dr").alias("dr"), F.when(two, F.col("x.rv") + F.col("y.rv")).otherwise(F.col("x.rv")).alias("rv"),
         F.greatest("x.mapq", F.when(two, F.col("y.mapq"))).alias("mapq"), any_of(F.col("x.flag"), REVERSE).alias("is_rev"), two.cast("int").alias("overlap"),
+        *[F.greatest(f"x.{c}", F.when(two, F.col(f"y.{c}"))).alias(c) for c in md],
     )
     g = g.withColumns({"base": F.coalesce("base", F.lit("N")), "pv": F.coalesce("pv", F.lit(0)), "fa": F.coalesce("fa", F.lit(0))})
     if regions is not None:  # only positions inside the regions
@@ -153,9 +155,10 @@ def locus_fraction(obs: DataFrame, loci: DataFrame, *, min_fm: int = 0) -> DataF
 
 
 def mismatch_density(aln: DataFrame, ref: DataFrame, keep: list[str], *, flank: int = 20) -> DataFrame:
-    """Mismatches (N left out) of a read against the reference over the window of 2 x flank + 1 letters; whole reads that are no shorter count whole.
+    """Mismatches (N left out) of a read against the reference over the window of 2 x flank + 1 letters.
 
-    ``keep``, md. The reference index ignores indels, as the measure is defined; only reads shorter than the window slide.
+    ``keep``, md. The reference index ignores indels, as the measure is defined. Reads no shorter than the window count whole;
+    the window around any position of a shorter one covers all its letters, so ``flank`` changes no result.
     """
     j = aln.join(ref.select("contig", F.upper("seq").alias("_ref")), "contig")
     span = F.substring("_ref", F.col("pos") + 1, F.length("seq"))

@@ -90,6 +90,15 @@ def test_mates_merge(spark):
     assert c[11, "C"].ambig == 1 and c[10, "A"].n_obs == 2 and c[10, "A"].quantity == 2
 
 
+def test_mismatch_density_reaches_observations(spark):
+    a = aln(spark, {"flag": 65, "seq": "ACGT"}, {"flag": 129, "seq": "AGGA"}, {"qname": "other", "seq": "ANGT"})
+    ref = spark.createDataFrame([("1", "T" * 10 + "ACGT" + "T" * 10)], "contig string, seq string")
+    o = pileup.observations(pileup.mismatch_density(a, ref, a.columns))
+    assert {(r.qname, r.md) for r in o.collect()} == {("q", 2), ("other", 0)}
+    c = {(r.ref_pos, r.base): (r.n_obs, r.md_failed) for r in pileup.allele_counts(o, None, pileup.Thresholds(md_threshold=2)).collect()}
+    assert c[10, "A"] == (2, 1) and "md" not in pileup.observations(a).columns
+
+
 def test_vet_passes_unfit_records_on(spark):
     a = aln(spark, {}, {"qname": "r2"})
     v = spark.createDataFrame([(1, "1", 10, ["A", "C", "<*>"]), (2, "1", 10, ["A", "AC"]), (3, "1", 99, ["A", "C"]), (4, "1", 11, ["C", "G"])], "variant_id int, contig string, pos int, alleles array<string>")
