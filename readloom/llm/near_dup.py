@@ -1,4 +1,4 @@
-"""Near-duplicate records: similar sequences under nearly equal barcodes, as an exact metric-space join in two metrics."""
+"""Near-duplicate records: similar sequences under nearly equal barcodes, joined exactly by pieces of barcodes and sketches."""
 
 from __future__ import annotations
 
@@ -187,10 +187,11 @@ def near_duplicates(
     letters moved behind the rest. Sequences: the Jaccard similarity of their sets of distinct k-letter substrings is at
     least ``threshold``. The result is exact and holds every pair.
 
-    An exact metric-space join, recursive over two metrics. First the edit distance of barcodes: every different barcode
-    is a pivot, its Voronoi region the records that carry it (radius 0), and by the triangle inequality the partners of
+    Candidates meet by equal pieces of barcodes (a blocking, not a search from pivots). In terms of the edit distance, every
+    different barcode is the centre of a region: its region is the records that carry it (radius 0), and by the triangle inequality the partners of
     a region lie within 2 edits of its pivot - that window is replicated into it. The smaller of two neighbouring
-    regions is the one that moves. Then, inside large regions, the Jaccard distance of the sequences: pivots, regions of
+    regions is the one that moves. Then, only within a single tile of more than ``LEAF`` rows (all else is compared
+    directly, by sketches), the Jaccard distance of the sequences: pivots, regions of
     small radius, windows of radius + 1 - threshold, by recursion (``setjoin.metric_join``).
     A region of more than ``tile`` members is cut in tiles, so that no task holds an unbounded region.
 
