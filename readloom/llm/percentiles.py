@@ -39,12 +39,12 @@ def _weighted_percentiles(hist: DataFrame, keys: list[str], qs: list[float]) ->
         state = nxt
 
 
-def _counted(values: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """How often each value occurs in a group: ``keys``, ``v``, ``c``. Rows without a value or with a null key are left out."""
-    k = values.select(*keys, F.col(value).cast("bigint").alias("v")).where(F.col("v").isNotNull())
+def _counted(values: DataFrame, keys: list[str], value: str, part: list[str] = ()) -> DataFrame:
+    """How often each value occurs in a part of a group: ``keys``, ``part``, ``v``, ``c``. Rows without a value or with a null key are left out."""
+    k = values.select(*keys, *part, F.col(value).cast("bigint").alias("v")).where(F.col("v").isNotNull())
     for c in keys:
         k = k.where(F.col(c).isNotNull())
-    return k.groupBy(*keys, "v").agg(F.count("*").alias("c"))
+    return k.groupBy(*keys, *part, "v").agg(F.count("*").alias("c"))
 
 
 def exact_percentiles(values: DataFrame, keys: list[str], value: str, qs: list[float]) -> DataFrame:
@@ -68,8 +68,9 @@ def summarise(values: DataFrame, keys: list[str], part: list[str], value: str) -
 
     ``keys``, ``part``, ``v``, ``c``: how often each value occurs in the part. Nothing is rounded, so a combined percentile
     is exact however the values are spread over the parts; a part has as many rows as different values, not a fixed number.
+    Null parts (rows without a day) are a part of their own; null keys are left out as in :func:`exact_percentiles`.
     """
-    return _counted(values, [*keys, *part], value)
+    return _counted(values, keys, value, part)
 
 
 def combine(summaries: DataFrame, keys: list[str], qs: list[float]) -> DataFrame:

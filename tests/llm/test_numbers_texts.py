@@ -45,6 +45,14 @@ def test_combined_days_are_exact_in_heavy_tails(spark):
     assert got == {q: (len(vals), vals[math.ceil(q * len(vals)) - 1], 0) for q in qs}
 
 
+def test_values_without_a_day_are_counted(spark):
+    rows = [("k", 1, 5), ("k", None, 7), ("k", None, 9), ("k", 2, None), (None, 1, 3), ("only", None, 4)]
+    df = spark.createDataFrame(rows, "k string, day int, x bigint")
+    got = {(r.k, r.q): (r.n, r.value) for r in combine(summarise(df, ["k"], ["day"], "x"), ["k"], [0.5, 1.0]).collect()}
+    assert got == {(r.k, r.q): (r.n, r.value) for r in exact_percentiles(df, ["k"], "x", [0.5, 1.0]).collect()}
+    assert got == {("k", 0.5): (3, 7), ("k", 1.0): (3, 9), ("only", 0.5): (1, 4), ("only", 1.0): (1, 4)}
+
+
 @need_files
 def test_trie_equals_the_library():
     import regex
