@@ -1,60 +1,69 @@
-"""Near-duplicate records: similar sequences under nearly equal barcodes, joined exactly by pieces of barcodes and sketches."""
+"""Near-duplicate records: a Jaccard metric-space join of sequences, inside the neighbourhoods of nearly equal barcodes."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.setjoin import EditCheck, Sets, direct, arrow_letters, distinct, gram_parity, metric_join, ranges, rotated
+from readloom.llm.setjoin import CAP, LEAF, EditCheck, Sets, arrow_letters, distinct, gram_parity, metric_join, near_pivots, ranges, rotated, voronoi
 from readloom.session import cut, ship
 
-#: Letters at the start and at the end of a barcode by which candidates meet; what lies between is the third piece.
-PIECE = 6
-#: Members of one region that a task compares; larger regions are cut in tiles of this many members.
+#: Records of one region that a task joins; larger regions are divided by pivots in Spark stages first.
 TILE = 16384
-#: Groups of this many members go through the recursive Jaccard regions; smaller ones are compared directly.
-LEAF = 1024
+#: Barcodes of one key that a task compares; more are dealt to pairs of parts.
+KEY_TILE = 32768
+#: Pivots of a hot region in its first round; every round takes four times as many, up to half a tile. Rounds at most.
+PIVOTS, ROUNDS = 512, 6
+#: Halvings of the radius that a hot region may take; what is larger still lies within CAP / 2**DEPTH of one pivot.
+DEPTH = 3
+#: Rows that a partition is laid out for, and that Python looks at together.
+PARTITION_ROWS, BATCH_ROWS = 60_000, 20_000
 
 
-def _pieces(scope: Column, b: Column, rotated: int) -> list[Column]:
-    """Keys under which a barcode meets those within 2 edits.
+def _piece(n: Column) -> Column:
+    """Letters of the first and the last piece of a barcode of n letters: a third of it, so that the middle is no shorter than they are by more than one."""
+    return F.greatest(F.floor((n + 1) / 3), F.lit(1)).cast("int")
 
-    With 2 edits one of three pieces (first PIECE letters, last PIECE letters, the letters between) is intact. If the
-    first or the last is, both barcodes share it at their very start or end. Else each end has an edit, so the middle
-    piece is intact and moved by at most one: the shorter barcode names it, the longer looks for it at each place left.
+
+def _pieces(scope: Column, b: Column, turned: int) -> list[Column]:
+    """Keys under which a barcode meets those within 2 edits; null ones are none.
+
+    The shorter barcode of a pair (of m letters) is cut in three pieces, of which 2 edits leave one intact. If it is the
+    first or the last, both barcodes share it at their very start or end; a barcode of n letters enters these for m = n,
+    n - 1, n - 2. Else each end has an edit, so the middle piece is intact and moved by at most one: the shorter
+    barcode names it, the longer looks for it at each place left. All pieces grow with the barcode, so no key is short
+    where barcodes are long, and barcodes of a few letters, of which there are few, meet all together.
     role: 0/1 start or end piece (as it is / rotated), 4/5 middle piece, 6/7 look-up of another's middle piece.
     """
     n = F.length(b)
-    mid = lambda l, shift: F.substring(b, F.lit(PIECE + 1 + shift), F.greatest(l - 2 * PIECE, F.lit(0)))
     item = lambda role, *what: F.struct(F.xxhash64(scope, *what).alias("key"), F.lit(role).cast("tinyint").alias("role"))
-    out = [
-        item(rotated, F.lit("first"), F.substring(b, 1, PIECE)),
-        item(rotated, F.lit("last"), F.substring(b, F.greatest(n - PIECE + 1, F.lit(1)), F.lit(PIECE))),
-        item(4 + rotated, F.lit("mid"), n, mid(n, 0)),
-    ]
-    for less, shifts in ((0, (-1, 0, 1)), (1, (0, 1)), (2, (1,))):
-        out += [item(6 + rotated, F.lit("mid"), n - less, mid(n - less, s)) for s in shifts]
+    p, less = _piece(n), _piece(n - 2)  # of three neighbouring lengths at most two sizes of piece come out
+    ends = lambda q: [item(turned, F.lit("first"), q, F.substring(b, F.lit(1), q)), item(turned, F.lit("last"), q, F.substring(b, F.greatest(n - q + 1, F.lit(1)), q))]
+    mid = lambda m, shift: F.substring(b, _piece(m) + 1 + shift, F.greatest(m - 2 * _piece(m), F.lit(0)))
+    out = [*ends(p), *[F.when(less != p, x) for x in ends(less)], item(4 + turned, F.lit("mid"), n, mid(n, 0))]
+    for fewer, shifts in ((0, (-1, 0, 1)), (1, (0, 1)), (2, (1,))):
+        out += [F.when(n > fewer, item(6 + turned, F.lit("mid"), n - fewer, mid(n - fewer, s))) for s in shifts]
     return out
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Barcode pairs within 2 edits among the rows of each key: (id_x, id_y, n_x, n_y), each pair once a partition."""
+    """Barcode pairs within 2 edits among the rows of each key: (x, y, nx, ny), each pair once a partition."""
     some = [b for b in batches if b.num_rows]
     if not some:
         return
     t = pa.Table.from_batches(some)
     del some
-    key, role, bid = (t[c].to_numpy() for c in ("key", "role", "bid"))
-    ids, first, code = np.unique(bid, return_index=True, return_inverse=True)
+    key, role, uid = (t[c].to_numpy() for c in ("key", "role", "uid"))
+    ids, first, code = np.unique(uid, return_index=True, return_inverse=True)
     count = t["n"].to_numpy()[first]
     fp, off = arrow_letters(t["b"].combine_chunks().take(pa.array(first)))
     fr = rotated(fp, off)
-    del t, bid
+    del t, uid
     sk = np.concatenate((gram_parity(fp, off), gram_parity(fr, off)))
     flat, both = np.concatenate((fp, fr)), np.concatenate((off[:-1], off[:-1] + len(fp)))
     length = np.tile(np.diff(off), 2)
@@ -69,7 +78,6 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     lookups = seek[end - 1] - seek
     start = np.where(role < 4, np.arange(len(key)) + 1, end - lookups)
     many = np.where(role < 4, end - np.arange(len(key)) - 1, np.where(role < 6, lookups, 0))
-    found = [np.zeros(0, np.int64)]
     own = sk[node]  # in the order of the rows: partners lie side by side, and few pairs get past their sketches
     found, waiting = [np.zeros(0, np.int64)], []
 
@@ -97,78 +105,122 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(z) for z in (ids[u], ids[v], count[u], count[v])], ["x", "y", "nx", "ny"])
 
 
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, pa.Table]]:
+    """The rows of a partition sorted by ``grp``, whole groups, about BATCH_ROWS at a time: (group numbers, rows)."""
+    some = [b for b in batches if b.num_rows]
+    if not some:
+        return
+    t = pa.Table.from_batches(some).combine_chunks()
+    del some
+    code = pc.dictionary_encode(t["grp"]).chunk(0).indices.to_numpy()
+    order = np.argsort(code, kind="stable")
+    code = code[order]
+    cuts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1], [True])))
+    a = 0
+    while a < len(cuts) - 1:
+        b = max(a + 1, int(np.searchsorted(cuts, cuts[a] + BATCH_ROWS, "right")) - 1)
+        yield code[cuts[a] : cuts[b]], t.take(pa.array(order[cuts[a] : cuts[b]])).combine_chunks()
+        a = b
+
+
+def _sets(t: pa.Table, k: int) -> Sets:
+    return Sets(*arrow_letters(t["s"].chunk(0)), k)
+
+
 def _region_join(k: int, threshold: float, leaf: int):
-    """Join the rows of each tile: side 0 with itself (where self is set) and side 0 with side 1."""
-
-    def work(rows: pd.DataFrame) -> Iterator[pa.RecordBatch]:
-        tile, side, alone, rid = (rows[c].to_numpy() for c in ("tile", "side", "self", "id"))
-        seq, texts = pd.factorize(rows["s"])
-        sets = Sets(list(texts), k)
-        seq = seq.astype(np.int64)
-        edge = np.flatnonzero(np.concatenate((tile[1:] != tile[:-1], [True]))) + 1
-        head = np.concatenate(([0], edge[:-1]))
-        group = np.searchsorted(edge, np.arange(len(tile)), "right")
-        other = np.cumsum(side)
-        n1 = other[edge - 1] - np.where(head > 0, other[head - 1], 0)  # rows of side 1 of each group
-        big = (edge - head > leaf)[group]
-        end, first1 = edge[group], (edge - n1)[group]
-        start = np.where(alone == 1, np.arange(len(tile)) + 1, first1)
-        many = np.where((side == 1) | big, 0, end - start)
-
-        def emit(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-            x, y = rid[i], rid[j]
-            keep = x != y
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[keep]), pa.array(np.maximum(x, y)[keep])], ["a", "b"])
-
-        for i, j in ranges(start, many):
-            same = seq[i] == seq[j]
-            ok = same.copy()
-            ask = np.flatnonzero(~same)
-            ask = ask[sets.may(seq[i[ask]], seq[j[ask]], threshold)]
-            ok[ask] = sets.similar(seq[i[ask]], seq[j[ask]], threshold)
-            yield emit(i[ok], j[ok])
-        for g in np.flatnonzero(edge - head > leaf):
-            at = np.arange(head[g], edge[g])
-            zero, one = at[side[at] == 0], at[side[at] == 1]
-            use0, use1 = np.unique(seq[zero]), np.unique(seq[one])
-            # each different sequence is compared once; its rows are put back below
-            pairs = []
-            if alone[head[g]] == 1 and len(zero):
-                x, y = metric_join(sets, use0, threshold, leaf=leaf)
-                pairs += [(zero, zero, np.concatenate((x, y, use0)), np.concatenate((y, x, use0)), True)]
-            if len(one) and len(zero):
-                x, y = direct(sets, use0, use1, threshold)
-                pairs += [(zero, one, x, y, False)]
-            for left, right, x, y, within in pairs:
-                lo, ro = left[np.argsort(seq[left], kind="stable")], right[np.argsort(seq[right], kind="stable")]
-                ls, rs = seq[lo], seq[ro]
-                la, lb = np.searchsorted(ls, x, "left"), np.searchsorted(ls, x, "right")
-                ra, rb = np.searchsorted(rs, y, "left"), np.searchsorted(rs, y, "right")
-                for p, i in ranges(la, lb - la):  # (pair, left row)
-                    for r, j in ranges(ra[p], (rb - ra)[p]):
-                        u, v = lo[i[r]], ro[j]
-                        keep = u < v if within else slice(None)
-                        yield emit(u[keep], v[keep])
+    """Similar pairs of each group, without those of a common bit in ``mask``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, t in _whole_groups(batches):
+            rid = t["id"].to_numpy()
+            for i, j in metric_join(_sets(t, k), group, np.arange(len(rid)), t["mask"].to_numpy(), threshold, leaf=leaf):
+                x, y = rid[i], rid[j]
+                keep = x != y  # a row delivered twice
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[keep]), pa.array(np.maximum(x, y)[keep])], ["a", "b"])
+
+    return run
+
+
+def _assign(k: int, threshold: float, cap: float, bit: int):
+    """Divide the rows of tiles among the pivots that were sent to them: rows (pivot, mask, id, s), pivot null where none claims the row.
+
+    A row goes home to its nearest pivot within ``cap``, and as a guest (with ``bit``) to every pivot within cap + 1 -
+    threshold that isn't behind its home in order.
+    """
+    reach = cap + 1 - threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b.to_pandas() for b in batches if b.num_rows]
-        if not parts:
-            return
-        rows = pd.concat(parts, ignore_index=True)
-        del parts
-        # a row delivered twice meets itself here, in the same tile
-        rows = rows.drop_duplicates().sort_values(["tile", "side"], kind="stable", ignore_index=True)
-        tile = rows["tile"].to_numpy()
-        cuts = np.flatnonzero(np.concatenate(([True], tile[1:] != tile[:-1], [True])))
-        a = 0
-        while a < len(cuts) - 1:  # whole tiles, about 20 000 rows at a time
-            b = max(a + 1, int(np.searchsorted(cuts, cuts[a] + 20_000, "right")) - 1)
-            yield from work(rows.iloc[cuts[a] : cuts[b]].reset_index(drop=True))
-            a = b
+        for group, t in _whole_groups(batches):
+            sets, sent, rid, mask = _sets(t, k), t["pivot"].to_numpy().astype(bool), t["id"].to_numpy(), t["mask"].to_numpy()
+            for g in np.unique(group):
+                at = np.flatnonzero(group == g)
+                piv, rows = at[sent[at]], at[~sent[at]]
+                name, first = np.unique(rid[piv], return_index=True)  # one order of the pivots in all tiles
+                piv = piv[first]
+                i, q, d = near_pivots(sets, rows, piv, min(reach, 1 - 1e-9))
+                home, _ = voronoi(i, q, d, len(rows), cap)
+                guest = (home[i] != q) & ~((home[i] >= 0) & (home[i] < q))
+                own = np.arange(len(rows))
+                row = rows[np.concatenate((own, i[guest]))]
+                to = np.concatenate((home, q[guest]))
+                m = mask[row] | np.where(np.arange(len(row)) < len(rows), 0, bit)
+                names = pa.array(name[np.maximum(to, 0)] if len(name) else np.zeros(len(to), np.int64), mask=to < 0)
+                yield pa.RecordBatch.from_arrays([t["grp0"].chunk(0).take(pa.array(row)), names, pa.array(m), pa.array(rid[row]), t["s"].chunk(0).take(pa.array(row))], ["grp", "pivot", "mask", "id", "s"])
 
     return run
 
 
+def _divide_hot(hot: DataFrame, k: int, threshold: float, tile: int, parts: int, *, cap: float = CAP, depth: int = 0) -> list[DataFrame]:
+    """Groups of at most about ``tile`` rows (grp, mask, id, s) in which all wanted pairs of the hot groups (grp, mask, id, s, n) meet.
+
+    Rounds of pivots: PIVOTS rows of each group, chosen by hash, are sent to all its tiles; the tiles assign their rows
+    to regions and windows. Unclaimed rows go on with more pivots; regions that are hot themselves are divided again with
+    half the radius. Where a round claims little besides its pivots (unrelated rows, all at a distance near 1), after
+    ROUNDS, or where the radius is near 0 (copies, whose pairs are all in the result), tiles meet in pairs.
+    """
+    names = "grp string, pivot bigint, mask bigint, id bigint, s string"
+    out, rounds, pivots = [], 0, min(PIVOTS, max(2, tile // 8))
+    act = hot
+    while True:
+        spread = F.ceil(F.col("n") / tile).cast("int")
+        chosen = F.pmod(F.xxhash64("id", F.lit(f"p{depth}.{rounds}")), F.col("n")) < pivots
+        cell = F.concat_ws("/", "grp", F.col("_t").cast("string"))
+        rows = act.withColumn("_t", F.pmod(F.xxhash64("id", F.lit("t")), spread).cast("int")).select(cell.alias("grp"), F.col("grp").alias("grp0"), F.lit(0).alias("pivot"), "mask", "id", "s")
+        sent = act.where(chosen).withColumn("_t", F.explode(F.sequence(F.lit(0), spread - 1))).select(cell.alias("grp"), F.col("grp").alias("grp0"), F.lit(1).alias("pivot"), "mask", "id", "s")
+        dealt = cut(rows.unionByName(sent).repartition(parts, "grp").mapInArrow(_assign(k, threshold, cap, 1 << (50 + 2 * depth)), names), "regions")
+        claimed = dealt.where("pivot is not null").withColumn("grp", F.concat_ws("|", "grp", F.col("pivot").cast("string"))).drop("pivot")
+        sizes = claimed.groupBy("grp").agg(F.count("*").alias("n"))
+        large = sizes.where(F.col("n") > tile)
+        if large.limit(1).count():
+            out.append(claimed.join(large, "grp", "left_anti"))
+            again = cut(claimed.join(large, "grp"), "hot")
+            out += _divide_hot(again, k, threshold, tile, parts, cap=cap / 2, depth=depth + 1) if depth < DEPTH else [_tile_pairs(again, tile)]
+        else:
+            out.append(claimed)
+        rest = dealt.where("pivot is null").drop("pivot")
+        left = rest.groupBy("grp").agg(F.count("*").alias("n"))
+        state = cut(left.join(act.groupBy("grp").agg(F.max("n").alias("was")), "grp"), "left")
+        small, more = state.where(F.col("n") <= tile), state.where(F.col("n") > tile)
+        out.append(rest.join(small.select("grp"), "grp", "left_semi"))
+        stuck = (F.col("was") - F.col("n") < F.greatest(F.lit(1.05 * pivots), F.col("was") / 50)) | F.lit(rounds + 1 >= ROUNDS)
+        barren, fruitful = more.where(stuck), more.where(~stuck)
+        if barren.limit(1).count():
+            out.append(_tile_pairs(rest.join(barren.select("grp", "n"), "grp"), tile))
+        if not fruitful.limit(1).count():
+            return out
+        act = cut(rest.join(fruitful.select("grp", "n"), "grp"), "hot")
+        rounds, pivots = rounds + 1, min(4 * pivots, tile // 2)
+
+
+def _tile_pairs(rows: DataFrame, tile: int) -> DataFrame:
+    """Rows (grp, mask, id, s, n) in groups of two tiles each, every pair of rows once."""
+    t = F.ceil(F.col("n") / tile).cast("int")
+    r = rows.withColumn("_t", F.pmod(F.xxhash64("id", F.lit("t")), t).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), t - 1)))
+    pair = F.concat_ws("/", "grp", F.least("_t", "_o").cast("string"), F.greatest("_t", "_o").cast("string"))
+    side = F.when(F.col("_t") < F.col("_o"), F.lit(1 << 60)).when(F.col("_t") > F.col("_o"), F.lit(1 << 61)).otherwise(F.lit(0))
+    return r.select(pair.alias("grp"), F.col("mask").bitwiseOR(side).alias("mask"), "id", "s")
+
+
 def near_duplicates(
     records: DataFrame,
     record_id: str,
@@ -179,6 +231,7 @@ def near_duplicates(
     k: int = 6,
     threshold: float = 0.5,
     tile: int = TILE,
+    key_tile: int = KEY_TILE,
     leaf: int = LEAF,
 ) -> DataFrame:
     """All pairs (``id_a`` < ``id_b``) of records of one scope with nearly equal barcodes and similar sequences.
@@ -187,13 +240,12 @@ def near_duplicates(
     letters moved behind the rest. Sequences: the Jaccard similarity of their sets of distinct k-letter substrings is at
     least ``threshold``. The result is exact and holds every pair.
 
-    Candidates meet by equal pieces of barcodes (a blocking, not a search from pivots). In terms of the edit distance, every
-    different barcode is the centre of a region: its region is the records that carry it (radius 0), and by the triangle inequality the partners of
-    a region lie within 2 edits of its pivot - that window is replicated into it. The smaller of two neighbouring
-    regions is the one that moves. Then, only within a single tile of more than ``LEAF`` rows (all else is compared
-    directly, by sketches), the Jaccard distance of the sequences: pivots, regions of
-    small radius, windows of radius + 1 - threshold, by recursion (``setjoin.metric_join``).
-    A region of more than ``tile`` members is cut in tiles, so that no task holds an unbounded region.
+    The pair condition is a ball in two metrics. Edit distance: every different barcode is a centre whose records are its
+    region (radius 0); partners lie within 2 edits, and that window is replicated into it - of two neighbouring
+    regions the smaller moves. Which barcodes are neighbours is found by equal pieces. Jaccard distance: each such
+    region is joined by pivots, Voronoi regions of small radius, triangle-inequality windows and recursion
+    (:func:`readloom.llm.setjoin.metric_join`); no pair is found any other way. A region of more than ``tile`` records is
+    first divided by pivots in Spark stages (:func:`_divide_hot`), so no task holds an unbounded region.
 
     Defined cases: rows with a null scope, id, barcode or sequence, a blank barcode or a sequence of fewer than k letters
     are in no pair; a row delivered twice counts once; equal sequences are similar; empty inputs give no row; other
@@ -201,37 +253,45 @@ def near_duplicates(
     """
     spark = records.sparkSession
     ship(spark)
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    present = F.col(record_id).isNotNull()
-    for c in scope:
-        present = present & F.col(c).isNotNull()
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sc = [f"_s{i}" for i in range(len(scope))]
     rows = (
-        records.where(present)
-        .select(F.xxhash64(*scope, barcode).alias("bid"), F.xxhash64(*scope).alias("scope"), F.col(record_id).cast("bigint").alias("id"), barcode.alias("b"), sequence.alias("s"))
-        .where((F.length("b") > 0) & (F.length("s") >= k))
+        records.select(*[F.col(c).alias(a) for c, a in zip(scope, sc)], F.col(record_id).cast("bigint").alias("id"), barcode.alias("b"), sequence.alias("s"))
+        .where((F.length("b") > 0) & (F.length("s") >= k) & F.col("id").isNotNull())
     )
-    counts = cut(rows.groupBy("bid", "scope", "b").agg(F.count("*").alias("n")), "barcodes")
-    b = F.col("b")
+    for c in sc:
+        rows = rows.where(F.col(c).isNotNull())
+    # a number for each different barcode of a scope: no hash, so two can't be taken for one
+    counts = cut(rows.groupBy(*sc, "b").agg(F.count("*").alias("n")).withColumn("uid", F.monotonically_increasing_id()), "barcodes")
+    n_codes, n_rows = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     turned = F.concat(F.expr("substring(b, cast(floor(length(b) / 2) as int) + 1)"), F.expr("substring(b, 1, cast(floor(length(b) / 2) as int))"))
-    keyed = counts.withColumn("r", turned).select("bid", "b", "n", F.explode(F.array(*_pieces(F.col("scope"), b, 0), *_pieces(F.col("scope"), F.col("r"), 1))).alias("x")).select("x.key", "x.role", "bid", "b", "n")
-    links = keyed.repartition(parts, "key").mapInArrow(_candidates, "x bigint, y bigint, nx bigint, ny bigint").distinct()
+    where = F.xxhash64(*sc) if sc else F.lit(0).cast("bigint")
+    keyed = counts.select("uid", "b", "n", where.alias("w"), turned.alias("r")).select("uid", "b", "n", F.explode(F.array(*_pieces(F.col("w"), F.col("b"), 0), *_pieces(F.col("w"), F.col("r"), 1))).alias("x"))
+    keyed = keyed.where("x is not null").select("x.key", "x.role", "uid", "b", "n")
+    if n_codes > key_tile:
+        hot = keyed.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > key_tile)
+        if hot.limit(1).count():  # such a key is dealt to pairs of parts
+            t = F.ceil(F.coalesce("c", F.lit(1)) / key_tile).cast("int")
+            keyed = keyed.join(cut(hot, "keys"), "key", "left").withColumn("_t", F.pmod(F.xxhash64("uid"), t).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), t - 1)))
+            keyed = keyed.select(F.when(t > 1, F.xxhash64("key", F.least("_t", "_o"), F.greatest("_t", "_o"))).otherwise(F.col("key")).alias("key"), "role", "uid", "b", "n")
+    links = keyed.repartition(max(4 * shuffles, n_codes // 10_000), "key").mapInArrow(_candidates, "x bigint, y bigint, nx bigint, ny bigint").distinct()
     # the smaller region's records move to the larger region
     less = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
-    moves = cut(links.select(F.when(less, F.col("x")).otherwise(F.col("y")).alias("src"), F.when(less, F.col("y")).otherwise(F.col("x")).alias("dst"), F.least("nx", "ny").alias("n"), F.greatest("nx", "ny").alias("nd")), "moves")
+    moves = cut(links.select(F.when(less, F.col("x")).otherwise(F.col("y")).alias("src"), F.when(less, F.col("y")).otherwise(F.col("x")).alias("dst"), F.least("nx", "ny").alias("n")), "moves")
     guests = moves.groupBy("dst").agg(F.sum("n").alias("w"))
-    homes = counts.join(guests, counts["bid"] == guests["dst"], "left").select(F.col("bid").alias("src"), F.col("bid").alias("dst"), F.lit(1).alias("home"), F.col("n").alias("nd"), F.coalesce("w", F.lit(0)).alias("w")).where("nd > 1 or w > 0")
-    plan = homes.unionByName(moves.join(guests, "dst").select("src", "dst", F.lit(0).alias("home"), "nd", "w"))
-    cells = lambda c: F.ceil(F.col(c) / tile).cast("int")
-    placed = rows.select("bid", "id", "s").join(plan.withColumn("ch", cells("nd")).withColumn("cw", cells("w")), F.col("bid") == F.col("src"))
-    placed = placed.withColumn("c", F.pmod(F.xxhash64("id"), F.when(F.col("home") == 1, F.col("ch")).otherwise(F.col("cw"))).cast("int")).withColumn("one", (F.col("ch") == 1) & (F.col("cw") <= 1))
-    at = lambda i, j, side, alone: F.struct(F.xxhash64("dst", i.cast("int"), j.cast("int")).alias("tile"), side.cast("tinyint").alias("side"), alone.cast("tinyint").alias("self"))
-    zero, one = F.lit(0), F.lit(1)
-    simple = F.array(at(zero, zero, 1 - F.col("home"), F.col("home")))
-    upto = lambda n: F.sequence(zero, F.col(n) - 1)
-    own = F.transform(upto("ch"), lambda q: at(F.least(q, F.col("c")), F.greatest(q, F.col("c")), (F.col("c") > q).cast("int"), (F.col("c") == q).cast("int")))
-    host = F.when(F.col("cw") > 0, F.transform(F.sequence(zero, F.greatest(F.col("cw") - 1, zero)), lambda q: at(F.col("c"), -1 - q, zero, zero))).otherwise(F.array().cast("array<struct<tile:bigint,side:tinyint,self:tinyint>>"))
-    guest = F.transform(upto("ch"), lambda q: at(q, -1 - F.col("c"), one, zero))
-    tiles = F.when(F.col("one"), simple).when(F.col("home") == 1, F.concat(own, host)).otherwise(guest)
-    out = placed.select("id", "s", F.explode(tiles).alias("x")).select("x.tile", "x.side", "x.self", "id", "s")
-    pairs = out.repartition(parts, "tile").mapInArrow(_region_join(k, threshold, leaf), "a bigint, b bigint")
+    homes = cut(counts.join(guests, counts["uid"] == guests["dst"], "left").select("uid", *sc, "b", (F.col("n") + F.coalesce("w", F.lit(0))).alias("total")).where("total > 1"), "regions")
+    drop = [f"_d{i}" for i in range(len(sc))]
+    to = homes.select(F.col("uid").alias("dst"), "total", *[F.col(c).alias(d) for c, d in zip(sc, drop)])
+    of = counts.select(F.col("uid").alias("src"), *sc, "b")
+    moved = moves.select("src", "dst").join(to, "dst").join(of, "src")
+    for c, d in zip(sc, drop):  # keys are hashes, scopes are compared
+        moved = moved.where(F.col(c) == F.col(d))
+    plan = homes.select(*sc, "b", F.col("uid").alias("dst"), "total", F.lit(0).cast("bigint").alias("mask")).unionByName(moved.select(*sc, "b", "dst", "total", F.lit(1).cast("bigint").alias("mask")))
+    placed = rows.join(plan, [*sc, "b"]).select(F.col("dst").cast("string").alias("grp"), "mask", "id", "s", F.col("total").alias("n"))
+    parts = max(4 * shuffles, int(n_rows) // PARTITION_ROWS)
+    groups = placed.where(F.col("n") <= tile).drop("n")
+    if homes.where(F.col("total") > tile).limit(1).count():
+        for more in _divide_hot(cut(placed.where(F.col("n") > tile), "hot"), k, threshold, tile, parts):
+            groups = groups.unionByName(more)
+    pairs = groups.repartition(parts, "grp").mapInArrow(_region_join(k, threshold, leaf), "a bigint, b bigint")
     return pairs.distinct().select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))

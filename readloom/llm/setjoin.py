@@ -10,7 +10,15 @@ import numpy as np
 
 #: Candidate pairs looked at in one numpy call.
 CHUNK = 1 << 17
-WORDS = 4
+#: 64-bit words of a sketch: enough to tell unrelated sets of a hundred members from those at a distance of 3/4.
+WORDS = 8
+#: Bytes that the bit sets of a batch may take; beyond it sets are compared as sorted runs.
+DENSE_BYTES = 1 << 28
+#: Radius of the regions of the first level, levels of recursion (each halves the radius), comparisons of a region that isn't divided any more.
+CAP, LEVELS, LEAF = 0.25, 4, 4096
+#: Pivots of a group in one wave at most; waves double from one pivot on.
+WAVE = 1024
+SLACK = 1e-9
 
 
 def flat_letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -39,98 +47,130 @@ def rotated(flat: np.ndarray, off: np.ndarray) -> np.ndarray:
     return flat[np.repeat(off[:-1], n) + np.where(at >= long, at - long, at)]
 
 
-def letter_grams(flat: np.ndarray, k: int) -> np.ndarray:
-    """An exact number for the k letters that begin at each position (the last k - 1 are meaningless)."""
-    letters, code = np.unique(flat, return_inverse=True)
-    a, out = max(len(letters), 2), code.astype(np.int64)
-    top = a
+def _compact(code: np.ndarray, top: int) -> tuple[np.ndarray, int]:
+    """The same numbers without holes, and how many there are."""
+    if top <= 1 << 22:
+        seen = np.zeros(top, bool)
+        seen[code] = True
+        return (np.cumsum(seen) - 1)[code], int(seen.sum())
+    u, out = np.unique(code, return_inverse=True)
+    return out.astype(np.int64), len(u)
+
+
+def letter_grams(flat: np.ndarray, k: int) -> tuple[np.ndarray, int]:
+    """An exact number for the k letters that begin at each position (the last k - 1 are meaningless), and the bound of these numbers."""
+    code, a = _compact(flat.astype(np.int64), int(flat.max()) + 1 if len(flat) else 1)
+    a = max(a, 2)
+    out, top = code, a
     for i in range(1, k):
         if top > (1 << 40) // a:
-            u, out = np.unique(out, return_inverse=True)
-            top = len(u)
+            out, top = _compact(out, top)
         nxt = np.zeros(len(code), np.int64)
         nxt[: len(code) - i] = code[i:]
         out, top = out * a + nxt, top * a
-    return out if top <= 1 << 31 else np.unique(out, return_inverse=True)[1].astype(np.int64)
+    return out, top
 
 
 class Sets:
-    """The sets of distinct k-letter substrings of texts, as sorted runs, with parity sketches."""
+    """The sets of distinct k-letter substrings of texts (``flat`` letters, offsets ``off``), with parity sketches.
+
+    Sets are rows of bits over the substrings of the batch; where these would take too much memory (long texts, many
+    different substrings), sorted runs.
+    """
 
-    def __init__(self, texts: list[str], k: int):
-        flat, off = flat_letters(texts)
+    def __init__(self, flat: np.ndarray, off: np.ndarray, k: int):
+        count = len(off) - 1
         n = np.maximum(np.diff(off) - k + 1, 0)
-        owner = np.repeat(np.arange(len(texts)), n)
-        at = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(off[:-1], n)
-        gram = letter_grams(flat, k)[at] if len(at) else np.zeros(0, np.int64)
-        key = np.sort((owner << 31) | gram)
-        key = key[np.concatenate(([True], key[1:] != key[:-1]))] if len(key) else key
-        self.gram = (key & ((1 << 31) - 1)).astype(np.int32)
-        self.owner = (key >> 31).astype(np.int32)
-        self.size = np.bincount(self.owner, minlength=len(texts)).astype(np.int32)
-        self.off = np.concatenate(([0], np.cumsum(self.size))).astype(np.int64)
-        self.sketch = np.zeros((WORDS, len(texts)), np.uint64)
-        if len(key):
-            h = self.gram.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(29)
-            h = (h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(56)
-            bit, word = np.uint64(1) << (h & np.uint64(63)), (h >> np.uint64(6)).astype(np.int64)
-            some = np.flatnonzero(self.size)
-            for w in range(WORDS):
-                self.sketch[w, some] = np.bitwise_xor.reduceat(np.where(word == w, bit, np.uint64(0)), self.off[some])
-
-    def bound(self, threshold: float) -> float:
-        """Share of |A| + |B| that the symmetric difference may reach at a Jaccard similarity of ``threshold``."""
-        return (1 - threshold) / (1 + threshold)
-
-    def may(self, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
-        """Pairs that their sketches don't rule out."""
-        d = np.zeros(len(i), np.uint16)
+        first = np.cumsum(n) - n
+        at = np.arange(int(n.sum())) - np.repeat(first, n) + np.repeat(off[:-1], n)
+        code, top = letter_grams(flat, k)
+        gram, size = _compact(code[at], top) if len(at) else (np.zeros(0, np.int64), 1)
+        words = -(-size // 64)
+        words += -words % WORDS
+        owner = np.repeat(np.arange(count), n)
+        self.bits = self.gram = None
+        if count * words * 8 <= DENSE_BYTES:
+            self.bits = np.zeros((count, words), np.uint64)
+            step = max(1, (1 << 24) // (64 * words))
+            for a in range(0, count, step):
+                b = min(count, a + step)
+                cells = np.zeros((b - a, 64 * words), bool)
+                lo, hi = (int(first[a]), int(first[b - 1] + n[b - 1]))
+                cells[owner[lo:hi] - a, gram[lo:hi]] = True
+                self.bits[a:b] = np.packbits(cells, axis=1).view(np.uint64)
+            self.size = np.bitwise_count(self.bits).sum(1, dtype=np.int64)
+            self.sketch = np.ascontiguousarray(np.bitwise_xor.reduce(self.bits.reshape(count, -1, WORDS), axis=1))
+            return
+        order = np.lexsort((gram, owner))
+        owner, gram = owner[order], gram[order]
+        new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (gram[1:] != gram[:-1]))) if len(gram) else np.zeros(0, bool)
+        owner, self.gram = owner[new], gram[new]
+        self.size = np.bincount(owner, minlength=count)
+        self.off = np.concatenate(([0], np.cumsum(self.size)))
+        self.sketch = np.zeros((count, WORDS), np.uint64)
+        bit, word, some = np.uint64(1) << (self.gram & 63).astype(np.uint64), (self.gram >> 6) % WORDS, np.flatnonzero(self.size)
         for w in range(WORDS):
-            d += np.bitwise_count(self.sketch[w, i] ^ self.sketch[w, j])
-        return d <= self.bound(threshold) * (self.size[i] + self.size[j]) + 1e-6
-
-    def similar(self, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
-        """Exact: is |A & B| / |A | B| at least ``threshold``? Rows are compared as merged sorted runs."""
-        ok = np.zeros(len(i), bool)
-        width = np.maximum(self.size[i], self.size[j])
-        order = np.argsort(width, kind="stable")
-        a = 0
-        while a < len(order):
-            b = min(len(order), a + max(1, (1 << 22) // max(1, 2 * int(width[order[min(len(order) - 1, a + 20000)]]))), a + 20001)
-            pick = order[a:b]
-            wide = int(width[pick[-1]])
-            cols = np.arange(wide)
-            both = np.full((len(pick), 2 * wide), -1, np.int32)
-            for side, of in ((0, i[pick]), (1, j[pick])):
-                inside = cols < self.size[of][:, None]
-                both[:, side * wide : (side + 1) * wide][inside] = self.gram[(self.off[of][:, None] + cols)[inside]]
-            both.sort(axis=1)
-            inter = ((both[:, 1:] == both[:, :-1]) & (both[:, 1:] >= 0)).sum(1)
-            total = self.size[i[pick]] + self.size[j[pick]]
-            ok[pick] = (total > 0) & (inter * (1 + threshold) >= threshold * total - 1e-9)
-            a = b
-        return ok
+            if len(some):
+                self.sketch[some, w] = np.bitwise_xor.reduceat(np.where(word == w, bit, np.uint64(0)), self.off[some])
+
+    def bound(self, similarity: float) -> float:
+        """Share of |A| + |B| that the symmetric difference may reach at a Jaccard similarity."""
+        return (1 - similarity) / (1 + similarity)
 
-    def distances(self, of: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-        """Exact Jaccard distances [len(of), len(pivots)]."""
-        top = int(self.gram.max()) + 1 if len(self.gram) else 1
-        out = np.empty((len(of), len(pivots)), np.float32)
-        for p, q in enumerate(pivots):
-            has = np.zeros(top, np.int32)
-            has[self.gram[self.off[q] : self.off[q + 1]]] = 1
-            run = np.concatenate(([0], np.cumsum(has[self.gram], dtype=np.int64)))
-            inter = (run[self.off[of + 1]] - run[self.off[of]]).astype(np.float32)
-            out[:, p] = 1 - inter / np.maximum(self.size[of] + self.size[q] - inter, 1)
+    def may(self, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+        """Pairs that their sketches don't rule out."""
+        d = np.bitwise_count(self.sketch[i] ^ self.sketch[j]).sum(1, dtype=np.int64)
+        return d <= self.bound(similarity) * (self.size[i] + self.size[j]) + 1e-6
+
+    def may_block(self, x: np.ndarray, y: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of x times y (positions in both) that their sketches don't rule out."""
+        d = np.zeros((len(x), len(y)), np.uint16)
+        for w in range(WORDS):
+            d += np.bitwise_count(self.sketch[x, w][:, None] ^ self.sketch[y, w][None, :])
+        return np.nonzero(d <= (self.bound(similarity) * (self.size[x][:, None] + self.size[y][None, :]) + 1e-6).astype(np.uint16))
+
+    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Exact sizes of the intersections of pairs."""
+        out = np.zeros(len(i), np.int64)
+        if self.bits is not None:
+            step = max(1, (1 << 20) // self.bits.shape[1])
+            for a in range(0, len(i), step):
+                out[a : a + step] = np.bitwise_count(self.bits[i[a : a + step]] & self.bits[j[a : a + step]]).sum(1, dtype=np.int64)
+            return out
+        for p, (x, y) in enumerate(zip(i.tolist(), j.tolist())):
+            a, b = self.gram[self.off[x] : self.off[x + 1]], self.gram[self.off[y] : self.off[y + 1]]
+            a, b = (a, b) if len(a) <= len(b) else (b, a)
+            at = np.searchsorted(b, a)
+            out[p] = (b[np.minimum(at, len(b) - 1)] == a).sum() if len(b) else 0
         return out
 
+    def distance(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Exact Jaccard distances of pairs; two empty sets are at a distance of 1."""
+        c = self.common(i, j)
+        return 1 - c / np.maximum(self.size[i] + self.size[j] - c, 1)
+
+    def similar(self, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+        """Exact: is |A & B| / |A | B| at least ``similarity``?"""
+        total = self.size[i] + self.size[j]
+        return (total > 0) & (self.common(i, j) * (1 + similarity) >= similarity * total - SLACK)
+
 
 def ranges(start: np.ndarray, count: np.ndarray, chunk: int = CHUNK):
-    """Yield (row, partner) arrays for rows r and partners start[r] .. start[r] + count[r] - 1, about ``chunk`` at a time."""
+    """Yield (row, partner) arrays for rows r and partners start[r] .. start[r] + count[r] - 1, about ``chunk`` at a time.
+
+    A row with more partners than that is given in several parts.
+    """
     some = np.flatnonzero(count > 0)
     total = np.concatenate(([0], np.cumsum(count[some])))
     a = 0
     while a < len(some):
+        if count[some[a]] > chunk:
+            r, n = some[a], int(count[some[a]])
+            for at in range(0, n, chunk):
+                m = min(chunk, n - at)
+                yield np.full(m, r), start[r] + at + np.arange(m)
+            a += 1
+            continue
         b = max(a + 1, int(np.searchsorted(total, total[a] + chunk, "right")) - 1)
         c = count[some[a:b]]
         row = np.repeat(some[a:b], c)
@@ -138,61 +178,114 @@ def ranges(start: np.ndarray, count: np.ndarray, chunk: int = CHUNK):
         a = b
 
 
-def direct(sets: Sets, left: np.ndarray, right: np.ndarray | None, threshold: float):
-    """Similar pairs of ``left`` x ``right`` (of all pairs within ``left`` where right is None), by tiles of sketches."""
-    li, lj = [], []
-    other = left if right is None else right
-    for a in range(0, len(left), 64):
-        x = left[a : a + 64]
-        for b in range(a if right is None else 0, len(other), 4096):
-            y = other[b : b + 4096]
-            d = np.zeros((len(x), len(y)), np.uint16)
-            for w in range(WORDS):
-                d += np.bitwise_count(sets.sketch[w, x][:, None] ^ sets.sketch[w, y][None, :])
-            i, j = np.nonzero(d <= (sets.bound(threshold) * (sets.size[x][:, None] + sets.size[y][None, :]) + 1e-6).astype(np.uint16))
-            if right is None:
-                keep = i + a < j + b
-                i, j = i[keep], j[keep]
-            li.append(x[i])
-            lj.append(y[j])
-    if not li:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    i, j = np.concatenate(li), np.concatenate(lj)
-    ok = sets.similar(i, j, threshold)
-    return i[ok], j[ok]
-
-
-def metric_join(sets: Sets, members: np.ndarray, threshold: float, *, leaf: int = 1024, pivots: int = 32, cap: float = 0.25, seed: int = 7):
-    """Pairs of ``members`` with a Jaccard similarity of ``threshold`` or more: recursive Voronoi regions, exact.
-
-    Pivots are drawn from the members; a member belongs to its nearest pivot's region if it lies within ``cap`` of it
-    (so that a region's radius r is small); by the triangle inequality a partner of a region's member lies within
-    r + t of the pivot, t = 1 - threshold, so that window is replicated into the region, and the region joins by
-    itself - by recursion while it is large and still divides. Members that no pivot claims go on with new pivots. Where pivots claim
-    next to nothing (unrelated sets are all at a distance near 1, and no window of width t can divide those), the rest
-    is joined by tiles of sketches.
+def near_pivots(sets: Sets, rows: np.ndarray, pivots: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position in ``rows``, position in ``pivots``, distance) of all within ``reach`` of each other."""
+    out = []
+    for a in range(0, len(rows), 8192):
+        x = rows[a : a + 8192]
+        for b in range(0, len(pivots), 64):
+            y = pivots[b : b + 64]
+            q, i = sets.may_block(y, x, 1 - reach)
+            d = sets.distance(x[i], y[q])
+            ok = d <= reach + SLACK
+            out.append((i[ok] + a, q[ok] + b, d[ok]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(z) for z in zip(*out))
+
+
+def voronoi(row: np.ndarray, pivot: np.ndarray, dist: np.ndarray, n_rows: int, cap: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row its nearest pivot within ``cap`` (-1: none) and the distance to it; ties go to the earlier pivot."""
+    home, near = np.full(n_rows, -1, np.int64), np.zeros(n_rows)
+    close = np.flatnonzero(dist <= cap + SLACK)
+    order = close[np.lexsort((pivot[close], dist[close], row[close]))]
+    first = order[np.concatenate(([True], row[order][1:] != row[order][:-1]))] if len(order) else order
+    home[row[first]], near[row[first]] = pivot[first], dist[first]
+    return home, near
+
+
+def metric_join(sets: Sets, group: np.ndarray, text: np.ndarray, mask: np.ndarray, threshold: float, *, leaf: int = LEAF, cap: float = CAP, seed: int = 7):
+    """Pairs (x, y) of entries of one group with a Jaccard similarity of ``threshold`` or more and no common bit in ``mask``.
+
+    ``group`` must be sorted; ``text`` is the set of each entry. All groups go through the same steps together:
+
+    Waves of pivots are drawn from the entries of every group. An entry belongs to the Voronoi region of its nearest
+    pivot if it lies within ``cap`` of it; by the triangle inequality each partner of a region's entry lies within r + t of
+    the pivot (r the region's radius, t = 1 - threshold), so that window is replicated into the region. Pairs of two
+    regions are met in the earlier one; what no pivot claims goes on to the next wave, with twice as many pivots, until
+    nothing is left. A region of many comparisons is a group of the next level, with half the radius; in a
+    small one the distances to the pivot decide pairs by the triangle inequality (sum at most t: similar; difference
+    above t: not), and only the others are compared.
     """
     t, rng = 1 - threshold, np.random.default_rng(seed)
-    rest, out = np.asarray(members), []
-    while len(rest) > leaf:
-        chosen = rng.choice(rest, min(pivots, len(rest)), replace=False)
-        d = sets.distances(rest, chosen)
-        home = d.argmin(1)
-        near = d[np.arange(len(rest)), home]
-        claimed = near <= cap
-        if claimed.sum() < max(2 * len(chosen), len(rest) // 50):
-            break
-        for q in range(len(chosen)):
-            mine = np.flatnonzero(claimed & (home == q))
-            if not len(mine):
-                continue
-            window = (d[:, q] <= near[mine].max() + t + 1e-6) & ~(claimed & (home <= q))  # a pair of two regions is met in the earlier one
-            inside, beside = rest[mine], rest[window]
-            out.append(metric_join(sets, inside, threshold, leaf=leaf, pivots=pivots, cap=cap / 2, seed=seed + 1) if len(inside) > leaf and cap > 0.02 else direct(sets, inside, None, threshold))
-            out.append(direct(sets, inside, beside, threshold))
-        rest = rest[~claimed]
-    out.append(direct(sets, rest, None, threshold))
-    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+    entry = np.flatnonzero(sets.size[text] > 0)  # an empty set is similar to none, not even to itself
+    group, mask = group[entry], mask[entry].astype(np.int64)
+    for level in range(1, LEVELS + 2):
+        if not len(entry):
+            return
+        bit = np.int64(1) << (40 + level)
+        order = np.lexsort((rng.random(len(entry)), group))
+        group, entry, mask = group[order], entry[order], mask[order]
+        wave, base = 1, 0
+        parts: list[tuple] = []  # region, home first, entry, mask, distance
+        while len(entry):
+            edge = np.flatnonzero(np.concatenate((group[1:] != group[:-1], [True]))) + 1
+            head = np.concatenate(([0], edge[:-1]))
+            size = edge - head
+            take = np.minimum(size, wave)
+            of = np.repeat(np.arange(len(head)), size)
+            found = []
+            large = (size >= 512) & (take >= 8)
+            for g in np.flatnonzero(large):
+                at = np.arange(head[g], edge[g])
+                i, q, d = near_pivots(sets, text[entry[at]], text[entry[at[: take[g]]]], min(cap + t, 1 - SLACK))
+                found.append((i + head[g], q + head[g], d))
+            many = np.where(large[of], 0, take[of])
+            for i, q in ranges(head[of], many):
+                x, y = text[entry[i]], text[entry[q]]
+                ok = np.flatnonzero(sets.may(x, y, 1 - cap - t)) if cap + t < 1 else np.arange(len(i))
+                i, q = i[ok], q[ok]
+                d = sets.distance(text[entry[i]], text[entry[q]])
+                ok = d <= cap + t + SLACK
+                found.append((i[ok], q[ok], d[ok]))
+            row, pivot, dist = (np.concatenate(z) for z in zip(*found))
+            home, near = voronoi(row, pivot, dist, len(entry), cap)
+            radius = np.zeros(len(entry))
+            claimed = home >= 0
+            np.maximum.at(radius, home[claimed], near[claimed])
+            window = (home[row] != pivot) & ~(claimed[row] & (home[row] < pivot)) & (dist <= radius[pivot] + t + SLACK)
+            mine = np.flatnonzero(claimed)
+            beside = np.flatnonzero(window)
+            parts.append((home[mine] + base, np.zeros(len(mine), np.int8), entry[mine], mask[mine], near[mine]))
+            parts.append((pivot[beside] + base, np.ones(len(beside), np.int8), entry[row[beside]], mask[row[beside]] | bit, dist[beside]))
+            base += len(entry)
+            rest = ~claimed
+            group, entry, mask = group[rest], entry[rest], mask[rest]
+            wave = min(2 * wave, WAVE)
+        region, guest, entry, mask, dist = (np.concatenate(z) for z in zip(*parts))
+        order = np.lexsort((guest, region))
+        region, guest, entry, mask, dist = region[order], guest[order], entry[order], mask[order], dist[order]
+        edge = np.flatnonzero(np.concatenate((region[1:] != region[:-1], [True]))) + 1
+        head = np.concatenate(([0], edge[:-1]))
+        size = edge - head
+        homes = size - np.add.reduceat(guest, head, dtype=np.int64)
+        radius = np.maximum.reduceat(np.where(guest == 0, dist, 0), head)
+        big = (homes * size > leaf) & (homes > 4) & (radius > 0) & (level <= LEVELS)
+        of = np.repeat(np.arange(len(head)), size)
+        at = np.arange(len(region))
+        for i, j in ranges(at + 1, np.where((guest == 1) | big[of], 0, edge[of] - at - 1)):
+            ok = (mask[i] & mask[j]) == 0
+            i, j = i[ok], j[ok]
+            sure = dist[i] + dist[j] <= t - SLACK
+            ask = np.flatnonzero(~sure & (np.abs(dist[i] - dist[j]) <= t + SLACK))
+            x, y = text[entry[i[ask]]], text[entry[j[ask]]]
+            near = np.flatnonzero(sets.may(x, y, threshold))
+            good = near[sets.similar(x[near], y[near], threshold)]
+            sure[ask[good]] = True
+            if sure.any():
+                yield entry[i[sure]], entry[j[sure]]
+        group, entry, mask = region[big[of]], entry[big[of]], mask[big[of]]
+        cap /= 2
 
 
 def within_edits(fx: np.ndarray, ox: np.ndarray, lx: np.ndarray, fy: np.ndarray, oy: np.ndarray, ly: np.ndarray, limit: int = 2) -> np.ndarray:
@@ -262,7 +355,7 @@ class EditCheck:
 
     def within(self, x: np.ndarray, y: np.ndarray, limit: int = 2) -> np.ndarray:
         ok = np.zeros(len(x), bool)
-        fast = (self.length[x] <= 64) & (self.length[x] > 0) if self.masks is not None else ok
+        fast = (self.length[x] <= 64) & (self.length[x] > 0) if self.masks is not None else np.zeros(len(x), bool)
         slow = np.flatnonzero(~fast)
         if len(slow):
             u, v = x[slow], y[slow]

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from readloom.llm.near_dup import near_duplicates
-from readloom.llm.setjoin import EditCheck, Sets, direct, flat_letters, gram_parity, letter_grams, metric_join, rotated, within_edits
+from readloom.llm import setjoin
+from readloom.llm.setjoin import EditCheck, Sets, flat_letters, gram_parity, letter_grams, metric_join, near_pivots, rotated, within_edits
 
 SCHEMA = "read_id bigint, lib int, mate int, barcode string, seq string, tile int, x int"
 
@@ -94,7 +95,7 @@ def test_equals_brute_force(spark, seed):
     assert len(want) > 100
     df = spark.createDataFrame(rows, SCHEMA)
     assert pairs(df) == want
-    assert pairs(df, tile=20, leaf=8) == want  # hot regions in tiles, each through the recursive regions
+    assert pairs(df, tile=20, leaf=8, key_tile=50) == want  # hot regions divided by pivots in stages, hot keys dealt to parts
 
 
 def test_defined_cases(spark):
@@ -117,21 +118,60 @@ def test_many_copies_of_one_read(spark):
     assert len(pairs(spark.createDataFrame(rows, SCHEMA), tile=32, leaf=16)) == 120 * 119 // 2
 
 
-def test_metric_join_is_exact_with_and_without_clusters():
+def similar(texts, i, j, least):
+    a, b = grams(texts[i]), grams(texts[j])
+    return bool(a and b) and len(a & b) >= least * len(a | b)
+
+
+@pytest.mark.parametrize("dense", [1 << 28, 0])
+@pytest.mark.parametrize("letters", ["ACGT", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"])
+def test_metric_join_is_exact_with_and_without_clusters(monkeypatch, dense, letters):
+    monkeypatch.setattr(setjoin, "DENSE_BYTES", dense)  # bit sets and sorted runs
     rng = random.Random(9)
+    word = lambda k: "".join(rng.choice(letters) for _ in range(k))
+    texts = [edit(rng, c, rng.randrange(0, 9), letters) for c in [word(90) for _ in range(12)] for _ in range(20)] + [word(90) for _ in range(90)] + ["", "ACG"]
+    group = np.sort(np.array([rng.choice([0, 0, 0, 1, 2]) for _ in texts]))
+    mask = np.array([rng.choice([0, 0, 1]) for _ in texts])
+    sets = Sets(*flat_letters(texts), 6)
+    for least, leaf in ((0.5, 16), (0.5, 1 << 20), (0.8, 16)):
+        want = sorted((i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if group[i] == group[j] and not mask[i] & mask[j] and similar(texts, i, j, least))
+        got = [(min(x, y), max(x, y)) for i, j in metric_join(sets, group, np.arange(len(texts)), mask, least, leaf=leaf) for x, y in zip(i.tolist(), j.tolist())]
+        assert sorted(got) == want  # each pair once
+    i, q, d = near_pivots(sets, np.arange(len(texts)), np.arange(0, len(texts), 7), 0.7)
+    assert {(x, 7 * y) for x, y in zip(i.tolist(), q.tolist())} == {(x, y) for x in range(len(texts)) for y in range(0, len(texts), 7) if similar(texts, x, y, 0.3)}
+
+
+@pytest.mark.parametrize("letters", ["ACGT", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"])
+def test_short_barcodes_and_many_letters(spark, letters):
+    """Barcodes of up to 12 letters, most of one length, and more than 16 different letters."""
+    rng = random.Random(5)
+    word = lambda k: "".join(rng.choice(letters) for _ in range(k))
+    seqs = [word(60) for _ in range(25)]
+    rows = []
+    for n in (1, 2, 3, 4, 6, 9, 12, 12, 12, 15):
+        for _ in range(4):
+            b, s = word(n), rng.choice(seqs)
+            for _ in range(7):
+                x = edit(rng, b, rng.randrange(0, 3), letters)
+                rows.append((len(rows), 1, 1, turn(x) if rng.random() < 0.2 else x, edit(rng, s, rng.randrange(0, 4), letters), 0, 0))
+    want = brute(rows)
+    assert len(want) > 100
+    assert pairs(spark.createDataFrame(rows, SCHEMA)) == want
+
+
+def test_one_barcode_of_half_the_rows(spark):
+    """A hot barcode with molecules of very uneven size and unrelated reads goes through rounds of pivots, recursion and pairs of tiles."""
+    rng = random.Random(6)
     word = lambda k: "".join(rng.choice("ACGT") for _ in range(k))
-    texts = [edit(rng, c, rng.randrange(0, 9)) for c in [word(90) for _ in range(12)] for _ in range(40)] + [word(90) for _ in range(150)]
-    sets = Sets(texts, 6)
-    every = np.arange(len(texts))
-    pick = lambda x, y: sorted(set(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist())))
-    want = sorted((i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if 2 * len(grams(texts[i]) & grams(texts[j])) >= len(grams(texts[i]) | grams(texts[j])))
-    x, y = direct(sets, every, None, 0.5)
-    assert pick(x, y) == want
-    x, y = metric_join(sets, every, 0.5, leaf=16)
-    assert pick(x, y) == want and len(x) == len(want)
-    near = [(i, j) for i, j in want if 5 * len(grams(texts[i]) & grams(texts[j])) >= 4 * len(grams(texts[i]) | grams(texts[j]))]
-    x, y = metric_join(sets, every, 0.8, leaf=16)
-    assert pick(x, y) == near
+    rows = []
+    for n in (150, 60, 30, *[1] * 160):
+        s = word(80)
+        rows += [(len(rows) + i, 1, 1, "ACGTACGTACGTACGT", edit(rng, s, rng.randrange(0, 4)), 0, 0) for i in range(n)]
+    rows += [(len(rows) + i, 1, 1, word(16), word(80), 0, 0) for i in range(400)]
+    rows += [(len(rows) + i, 1, 1, edit(rng, "ACGTACGTACGTACGT", 1), edit(rng, rows[i][4], 2), 0, 0) for i in range(40)]
+    want = brute(rows)
+    assert len(want) > 10_000
+    assert pairs(spark.createDataFrame(rows, SCHEMA), tile=160, leaf=32) == want
 
 
 def test_edit_checks_and_sketches():
@@ -147,5 +187,5 @@ def test_edit_checks_and_sketches():
     sk = gram_parity(flat, off)
     assert (np.bitwise_count(sk[i] ^ sk[j])[want] <= 12).all()
     assert "".join(map(chr, rotated(flat, off))) == "".join(map(turn, texts))
-    g = letter_grams(flat_letters(["abcabc"])[0], 3)
+    g = letter_grams(flat_letters(["abcabc"])[0], 3)[0]
     assert g[0] == g[3] and len(set(g[:4])) == 3
