@@ -53,13 +53,17 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{shared_dir(spark)}/readloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._readloom_path = path
+    return out
 
 
 def drop_cut(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`cut` that nothing reads any more."""
-    for p in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        _delete(df.sparkSession, p)
+    """Delete the files of a table made by :func:`cut` that nothing reads any more (any other frame is left alone)."""
+    path = getattr(df, "_readloom_path", None)
+    if path:
+        _delete(df.sparkSession, path)
+        _made[:] = [m for m in _made if m[1] != path]
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -79,9 +83,9 @@ def _cleanup() -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in Python workers of a cluster (a no-op for local masters)."""
+    """Make this package importable in Python workers, wherever the driver was started."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.master == "local" or getattr(sc, "_readloom_shipped", False):
+    if getattr(sc, "_readloom_shipped", False):
         return
     root = Path(__file__).resolve().parent
     out = os.path.join(tempfile.mkdtemp(prefix="readloom-zip-"), "readloom.zip")
