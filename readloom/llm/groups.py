@@ -37,32 +37,32 @@ def _grow(edges: DataFrame, level: int) -> DataFrame:
     return state.select("v", F.col("s.c").alias("c"))
 
 
-def link_groups(pairs: DataFrame, left: str, right: str, *, max_levels: int = 100) -> DataFrame:
+def link_groups(pairs: DataFrame, left: str, right: str, *, max_levels: int = 100, report: list[int] | None = None) -> DataFrame:
     """Give every record one group: (``member``, ``group``), group being the least member linked directly or indirectly.
 
     A pair with a null side is ignored; a pair of a record with itself names the record; repeated and reversed pairs
     change nothing; an empty input gives no row. ``left`` and ``right`` must have one orderable type (a struct works).
-    Other columns are ignored.
+    Other columns are ignored. ``report`` gets the number of links before each level and after the last.
 
     Low-diameter decomposition: clusters grow from exponentially shifted start times for a few rounds, each cluster
     contracts to one vertex, the links between clusters form the next level's graph, and so on until no link is left.
-    Each level cuts the links by a constant factor in expectation, so the number of levels grows with the logarithm of
-    the number of pairs, not with the length of chains. The assignments of all levels are composed from the last to the
-    first. Each level is written to the shared folder; links are never brought to the driver.
+    The assignments of all levels are composed from the last to the first. Vertices are numbers given to the different
+    names when these are written, not hashes, so no two names can be taken for one, however many there are. Each level is
+    written to the shared folder; links are never brought to the driver.
     """
     p = pairs.select(F.col(left).alias("a"), F.col(right).alias("b")).where(F.col("a").isNotNull() & F.col("b").isNotNull())
-    # vertices carry 64-bit ids while the levels run; the names come back at the end
-    named = cut(p.withColumn("ia", F.xxhash64("a")).withColumn("ib", F.xxhash64("b")).distinct(), "pairs")
-    names = named.select(F.explode(F.array(F.struct(F.col("ia").alias("v"), F.col("a").alias("n")), F.struct(F.col("ib").alias("v"), F.col("b").alias("n")))).alias("x")).select("x.*").distinct()
-    # two names of one hash would be joined wrongly; over billions of names that is improbable, and never silent
-    clash = names.groupBy("v").agg(F.count("*").alias("k")).where("k > 1")
-    if clash.limit(1).count():
-        raise ValueError("two names share a 64-bit hash; salt the names and run again")
-    edges = _both(named.select(F.col("ia").alias("a"), F.col("ib").alias("b")))
+    ends = p.select(F.explode(F.array("a", "b")).alias("n")).distinct()
+    names = cut(ends.withColumn("v", F.monotonically_increasing_id()), "names")
+    at = lambda end, as_: names.select(F.col("n").alias(end), F.col("v").alias(as_))
+    # loops only name a vertex; repeated pairs go before the names are looked up
+    one = p.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = cut(_both(one.join(at("a", "ia"), "a").join(at("b", "ib"), "b").select(F.col("ia").alias("a"), F.col("ib").alias("b"))), "links")
     levels: list[DataFrame] = []
-    edges = cut(edges, "links")
     for level in range(max_levels):
-        if not edges.limit(1).count():
+        links = edges.count() // 2
+        if report is not None:
+            report.append(links)
+        if not links:
             break
         grown = cut(_grow(edges, level), "clusters")
         levels.append(grown)
@@ -83,6 +83,8 @@ def link_groups(pairs: DataFrame, left: str, right: str, *, max_levels: int = 10
             comp = grown.join(up, "c", "left").select("v", F.coalesce("r", "c").alias("r"))
     placed = names.withColumn("r", F.col("v")) if comp is None else names.join(comp, "v", "left").select("v", "n", F.coalesce("r", "v").alias("r"))
     placed = cut(placed, "placed")
+    for done in [names, edges, *levels]:
+        drop_cut(done)
     least = placed.groupBy("r").agg(F.min("n").alias("group"))
     return placed.join(least, "r").select(F.col("n").alias("member"), "group")
 

@@ -9,7 +9,7 @@ from readloom.llm.groups import link_groups
 from readloom.llm.mixing import mix_sources
 from readloom.llm.near_dup import near_duplicates
 from readloom.llm.percentiles import combine, exact_percentiles, summarise
-from readloom.llm.survivor import Field, choose_survivors
+from readloom.llm.survivor import Field, choose_survivors, surviving_values
 from readloom.llm.tokens import encode_corpus, token_counts
 from readloom.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
 from readloom.session import cut, table
@@ -39,7 +39,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QC_TRUST = {"0": 0.5, "1": 1.0}
 
 
-def _kingfisher(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, Column], Column, Column]:
+#: The day from which the age of a record is counted.
+AS_OF, HALF_LIFE_DAYS = "2024-01-01", 90.0
+
+
+def _kingfisher(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> tuple[DataFrame, dict[str, Column], Column, Column]:
     """The records with their barcode spelled alike, soundness of the three value fields, trust and age in days."""
     k = table(spark, sf_dir, "kingfisher").withColumn("barcode", spelled("barcode"))
     want = F.col("readlen") * 5
@@ -50,23 +54,34 @@ def _kingfisher(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str,
         "max_phreds": (F.length("max_phreds") == want) & F.col("max_phreds").rlike("[^#]"),
     }
     trust = F.when(F.col("pass_fail") == "1", QC_TRUST["1"]).when(F.col("pass_fail") == "0", QC_TRUST["0"]).otherwise(0.0)
-    age = F.datediff(F.lit("2024-01-01").cast("date"), F.col("written_at")).cast("double")
+    age = F.datediff(F.lit(as_of).cast("date"), F.col("written_at")).cast("double")
     return k, sound, trust, age
 
 
+def _survivors(spark: SparkSession, sf_dir: str, ranked: bool) -> tuple[DataFrame, DataFrame, list[str]]:
+    k, sound, trust, age = _kingfisher(spark, sf_dir)
+    fields = [Field(n, c, F.col(n)) for n, c in sound.items()]
+    prefer = [trust, F.col("fm"), F.col("written_at")] if ranked else []
+    return k, choose_survivors(k, ["library_id", "barcode"], "kf_id", fields, prefer=prefer, trust=trust, age_days=age, half_life_days=HALF_LIFE_DAYS), list(sound)
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The record each field of a family survives from: trust of the QC letter, then size, then recency, then id."""
-    k, sound, trust, _ = _kingfisher(spark, sf_dir)
-    got = choose_survivors(k, ["library_id", "barcode"], "kf_id", [Field(n, c) for n, c in sound.items()], prefer=[trust, F.col("fm"), F.col("written_at")])
-    return got.select("library_id", "barcode", *[F.col(f"{n}_id").alias(f"{n}_kf") for n in sound])
+    """The record each field of a family survives from: trust of the QC letter, then size, then recency before the votes."""
+    _, got, names = _survivors(spark, sf_dir, True)
+    return got.select("library_id", "barcode", *[F.col(f"{n}_id").alias(f"{n}_kf") for n in names])
+
+
+def p2_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surviving record of each family, built field by field; arrays as text."""
+    k, got, names = _survivors(spark, sf_dir, True)
+    r = surviving_values(k, got, ["library_id", "barcode"], "kf_id", [(n, n) for n in names])
+    return r.select("library_id", "barcode", F.array_join("nuc_counts", ",").alias("nuc_counts"), F.array_join("phred_sums", ",").alias("phred_sums"), "max_phreds")
 
 
 def p2_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Survivors by votes alone: trust times recency decay, summed per equal value of a field."""
-    k, sound, trust, age = _kingfisher(spark, sf_dir)
-    fields = [Field(n, c, F.col(n)) for n, c in sound.items()]
-    got = choose_survivors(k, ["library_id", "barcode"], "kf_id", fields, trust=trust, age_days=age, half_life_days=90.0)
-    return got.select("library_id", "barcode", *[F.col(f"{n}_id").alias(f"{n}_kf") for n in sound], *[F.round(f"{n}_votes", 6).alias(f"{n}_votes") for n in sound])
+    _, got, names = _survivors(spark, sf_dir, False)
+    return got.select("library_id", "barcode", *[F.col(f"{n}_id").alias(f"{n}_kf") for n in names], *[F.round(f"{n}_votes", 6).alias(f"{n}_votes") for n in names])
 
 
 PERCENTILES = [0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
@@ -74,9 +89,12 @@ DEPTHS = ["raw_counts", "collapsed_counts", "singleton_counts"]
 
 
 def _depth_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per counted value: library, contig, run day, field, value. A row delivered twice counts once."""
+    """One row per counted value: library, contig, run day, field, value. A row delivered twice counts once.
+
+    The arrays are made distinct by row and written once; the passes read them from there.
+    """
     d = table(spark, sf_dir, "depth_aux").select("depth_id", "library_id", "contig", F.to_date("run_at").alias("run_day"), *DEPTHS)
-    once = d.groupBy("depth_id").agg(*[F.first(c).alias(c) for c in d.columns[1:]])
+    once = cut(d.dropDuplicates(["depth_id"]).drop("depth_id"), "depths")
     long = once.select("library_id", "contig", "run_day", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("a")) for c in DEPTHS])).alias("x"))
     return long.select("library_id", "contig", "run_day", "x.field", F.explode("x.a").alias("value"))
 
@@ -88,9 +106,10 @@ def p5_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_combined_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same percentiles from summaries of single run days, with the bound of the rank error."""
+    """The same percentiles from summaries of single run days; the error is 0 too."""
     keys = ["library_id", "contig", "field"]
-    return combine(summarise(_depth_values(spark, sf_dir), keys, ["run_day"], "value"), keys, PERCENTILES).select(*keys, "q", "n", "value", "rank_error")
+    days = cut(summarise(_depth_values(spark, sf_dir), keys, ["run_day"], "value"), "days")
+    return combine(days, keys, PERCENTILES).select(*keys, "q", "n", "value", "rank_error")
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,6 +156,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
+    "p2_records": p2_records,
     "p2_votes": p2_votes,
     "p3_found": p3_found,
     "p5_percentiles": p5_percentiles,
@@ -177,11 +197,11 @@ WITH k AS (
 SELECT g.library_id, g.barcode, nuc_counts_kf, phred_sums_kf, max_phreds_kf, nuc_counts_votes, phred_sums_votes, max_phreds_votes
 FROM (SELECT library_id, barcode FROM k GROUP BY ALL HAVING count(DISTINCT kf_id) > 1) g
 LEFT JOIN (SELECT library_id, barcode, arg_max(id, row(v, id)) AS nuc_counts_kf, round(max(v), 6) AS nuc_counts_votes FROM (
-  SELECT library_id, barcode, nuc_counts, sum(w) AS v, arg_max(kf_id, row(w, kf_id)) AS id FROM (SELECT *, trust * power(2.0, -age / 90.0) AS w FROM k) WHERE s0 GROUP BY ALL) GROUP BY ALL) f0 USING (library_id, barcode)
+  SELECT library_id, barcode, nuc_counts, sum(w) AS v, arg_max(kf_id, row(w, kf_id)) AS id FROM (SELECT *, trust * power(2.0, -greatest(age, 0) / 90.0) AS w FROM k) WHERE s0 GROUP BY ALL) GROUP BY ALL) f0 USING (library_id, barcode)
 LEFT JOIN (SELECT library_id, barcode, arg_max(id, row(v, id)) AS phred_sums_kf, round(max(v), 6) AS phred_sums_votes FROM (
-  SELECT library_id, barcode, phred_sums, sum(w) AS v, arg_max(kf_id, row(w, kf_id)) AS id FROM (SELECT *, trust * power(2.0, -age / 90.0) AS w FROM k) WHERE s1 GROUP BY ALL) GROUP BY ALL) f1 USING (library_id, barcode)
+  SELECT library_id, barcode, phred_sums, sum(w) AS v, arg_max(kf_id, row(w, kf_id)) AS id FROM (SELECT *, trust * power(2.0, -greatest(age, 0) / 90.0) AS w FROM k) WHERE s1 GROUP BY ALL) GROUP BY ALL) f1 USING (library_id, barcode)
 LEFT JOIN (SELECT library_id, barcode, arg_max(id, row(v, id)) AS max_phreds_kf, round(max(v), 6) AS max_phreds_votes FROM (
-  SELECT library_id, barcode, max_phreds, sum(w) AS v, arg_max(kf_id, row(w, kf_id)) AS id FROM (SELECT *, trust * power(2.0, -age / 90.0) AS w FROM k) WHERE s2 GROUP BY ALL) GROUP BY ALL) f2 USING (library_id, barcode)
+  SELECT library_id, barcode, max_phreds, sum(w) AS v, arg_max(kf_id, row(w, kf_id)) AS id FROM (SELECT *, trust * power(2.0, -greatest(age, 0) / 90.0) AS w FROM k) WHERE s2 GROUP BY ALL) GROUP BY ALL) f2 USING (library_id, barcode)
 """,
     "p3_found": """
 WITH RECURSIVE e AS (
@@ -209,3 +229,10 @@ SELECT library_id, contig, field, q, n, value, CAST(0 AS BIGINT) AS rank_error
 FROM r, (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95, 0.99]::DOUBLE[]) AS q) WHERE k = greatest(1, ceil(q * n))
 """,
 }
+SQL["p5_combined_days"] = SQL["p5_percentiles"]  # exact, however the values are spread over the days
+_chosen = SQL["p2_found"].strip()
+SQL["p2_records"] = f"""
+SELECT f.library_id, f.barcode, array_to_string(a.nuc_counts, ',') AS nuc_counts, array_to_string(b.phred_sums, ',') AS phred_sums, c.max_phreds
+FROM ({_chosen}) f LEFT JOIN (SELECT DISTINCT kf_id, nuc_counts FROM kingfisher) a ON a.kf_id = nuc_counts_kf
+LEFT JOIN (SELECT DISTINCT kf_id, phred_sums FROM kingfisher) b ON b.kf_id = phred_sums_kf LEFT JOIN (SELECT DISTINCT kf_id, max_phreds FROM kingfisher) c ON c.kf_id = max_phreds_kf
+"""

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from readloom.llm.groups import link_groups
-from readloom.llm.survivor import Field, choose_survivors
+from readloom.llm.survivor import Field, choose_survivors, surviving_values
 
 
 def union_find(pairs):
@@ -36,6 +36,10 @@ def test_chains_stars_cliques_and_dirt(spark):
     rng.shuffle(pairs)
     got = groups(spark, [(a, b, 1, "x") for a, b in pairs])
     assert got == union_find(pairs)
+    left = []
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert {tuple(r) for r in link_groups(df, "a", "b", report=left).collect()} == got
+    assert left[0] == 200 + 150 + 15 + 1 and left[-1] == 0 and all(y <= x / 2 for x, y in zip(left, left[1:]))
     assert ("self", "self") in got and not any("lost" in m for m, _ in got)
 
 
@@ -56,9 +60,12 @@ def test_priority_field_by_field(spark):
     ]
     df = spark.createDataFrame(rows, REC)
     trust = F.when(F.col("q") == "1", 1.0).when(F.col("q") == "0", 0.5).otherwise(0.0)
-    fields = [Field("val", F.col("val").isNotNull()), Field("txt", F.col("txt") != "")]
-    got = {r.fam: (r.val_id, r.txt_id) for r in choose_survivors(df, ["fam"], "id", fields, prefer=[trust, F.col("size"), F.col("at")]).collect()}
+    fields = [Field("val", F.col("val").isNotNull(), F.col("val")), Field("txt", F.col("txt") != "", F.col("txt"))]
+    chosen = choose_survivors(df, ["fam"], "id", fields, prefer=[trust, F.col("size"), F.col("at")])
+    got = {r.fam: (r.val_id, r.txt_id) for r in chosen.collect()}
     assert got == {"A": (1, 2), "C": (7, None)}
+    built = {r.fam: (r.val, r.txt) for r in surviving_values(df, chosen, ["fam"], "id", [("val", "val"), ("txt", "txt")]).collect()}
+    assert built == {"A": ([1], "x"), "C": ([9], None)}
     assert choose_survivors(df.where("false"), ["fam"], "id", fields).count() == 0
 
 

@@ -23,11 +23,31 @@ def test_percentiles_are_exact(spark):
     assert exact_percentiles(spark.createDataFrame([], "k string, x bigint"), ["k"], "x", QS).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["double", "float", "decimal(10,3)", "smallint"])
+def test_percentiles_of_other_numbers(spark, kind):
+    rng = random.Random(8)
+    vs = [0.25, 0.5, 0.75] if kind != "smallint" else [1, 2, 3]
+    df = spark.createDataFrame([("k", float(v)) for v in vs], "q string, v double").select("q", F.col("v").cast(kind).alias("v"))
+    assert [r.value for r in exact_percentiles(df, ["q"], "v", [0.5]).collect()] == [vs[1]]
+    if kind == "double":
+        vs = [rng.gauss(0, 1) * 10 ** rng.randrange(-300, 300) for _ in range(300)] + [0.0, float("inf"), -float("inf"), 5e-324, -1e-310, 1e308, 2.0**52, 2.0**52 + 1, 0.1, 0.1]
+    elif kind == "decimal(10,3)":
+        vs = [rng.randrange(-(10**9), 10**9) / 1000 for _ in range(300)]
+    else:
+        vs = [float(rng.randrange(-300, 300)) for _ in range(300)]
+    rows = [("k", v) for v in vs] + [("k", None), (None, 1.0)] + ([("k", float("nan"))] if kind == "double" else [])
+    df = spark.createDataFrame(rows, "e string, c double").select("e", F.col("c").cast(kind).alias("c"))
+    got = {r.q: (r.n, float(r.value)) for r in exact_percentiles(df, ["e"], "c", QS).collect()}
+    assert got == {q: (len(vs), sorted(vs)[max(1, math.ceil(q * len(vs))) - 1]) for q in QS}
+    days = summarise(df.withColumn("day", F.lit(1)).withColumnRenamed("c", "x"), ["e"], ["day"], "x")
+    assert {r.q: (r.n, float(r.value)) for r in combine(days, ["e"], QS, value="x").collect()} == got
+
+
 def test_days_combine_within_the_stated_error(spark):
     rng = random.Random(2)
     rows = [(d, rng.randrange(0, 1000) * (d + 1)) for d in range(5) for _ in range(60 + 50 * d)]
     df = spark.createDataFrame(rows, "day int, x bigint").withColumn("k", F.lit("k"))
-    got = combine(summarise(df, ["k"], ["day"], "x"), ["k"], QS).collect()
+    got = combine(summarise(df, ["k"], ["day"], "x"), ["k"], QS, value="x").collect()
     vals = sorted(v for _, v in rows)
     for r in got:
         lo, hi = sum(v < r.value for v in vals) + 1, sum(v <= r.value for v in vals)
@@ -41,14 +61,14 @@ def test_combined_days_are_exact_in_heavy_tails(spark):
     df = spark.createDataFrame(rows, "day int, x bigint").withColumn("k", F.lit("k"))
     qs = [0.05, 0.5, 0.95, 0.99, 0.999]
     vals = sorted(v for _, v in rows)
-    got = {r.q: (r.n, r.value, r.rank_error) for r in combine(summarise(df, ["k"], ["day"], "x"), ["k"], qs).collect()}
+    got = {r.q: (r.n, r.value, r.rank_error) for r in combine(summarise(df, ["k"], ["day"], "x"), ["k"], qs, value="x").collect()}
     assert got == {q: (len(vals), vals[math.ceil(q * len(vals)) - 1], 0) for q in qs}
 
 
 def test_values_without_a_day_are_counted(spark):
     rows = [("k", 1, 5), ("k", None, 7), ("k", None, 9), ("k", 2, None), (None, 1, 3), ("only", None, 4)]
     df = spark.createDataFrame(rows, "k string, day int, x bigint")
-    got = {(r.k, r.q): (r.n, r.value) for r in combine(summarise(df, ["k"], ["day"], "x"), ["k"], [0.5, 1.0]).collect()}
+    got = {(r.k, r.q): (r.n, r.value) for r in combine(summarise(df, ["k"], ["day"], "x"), ["k"], [0.5, 1.0], value="x").collect()}
     assert got == {(r.k, r.q): (r.n, r.value) for r in exact_percentiles(df, ["k"], "x", [0.5, 1.0]).collect()}
     assert got == {("k", 0.5): (3, 7), ("k", 1.0): (3, 9), ("only", 0.5): (1, 4), ("only", 1.0): (1, 4)}
 
