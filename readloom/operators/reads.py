@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from readloom.functions.cigar import aligned_fraction, unclipped_start
 from readloom.functions.flags import NOT_PRIMARY, QCFAIL, READ2, REVERSE, any_of, gate
 from readloom.functions.seq import ambiguous_fraction
-from readloom.operators.intervals import overlaps, pad_regions
+from readloom.operators.intervals import overlap_flag, overlaps, pad_regions
 
 
 def _filter_condition(min_fm, min_mapq, skip_flags, require_flags, min_aligned_fraction, single_end) -> Column:
@@ -27,11 +27,19 @@ def filter_reads(aln: DataFrame, *, min_fm: int = 0, min_mapq: int = 0, skip_fla
     r = pad_regions(regions, padding)
     if not invert:
         return overlaps(aln.where(ok), r)
-    return aln.where(~ok).unionByName(overlaps(aln.where(ok), r, how="left_anti"))
+    return overlap_flag(aln, r, "_hit").where(~(ok & F.col("_hit"))).drop("_hit")
+
+
+def flag_passing(aln: DataFrame, name: str = "passed", *, min_fm: int = 0, min_mapq: int = 0, skip_flags: int = 0, require_flags: int = 0, min_aligned_fraction: float = 0.0, regions: DataFrame | None = None, padding: int = 0, single_end: bool = False) -> DataFrame:
+    """All alignments with a boolean column: does :func:`filter_reads` pass it? One pass over the input."""
+    ok = _filter_condition(min_fm, min_mapq, skip_flags, require_flags, min_aligned_fraction, single_end)
+    if regions is None:
+        return aln.withColumn(name, ok)
+    return overlap_flag(aln, pad_regions(regions, padding), "_hit").withColumn(name, ok & F.col("_hit")).drop("_hit")
 
 
 def split_reads(aln: DataFrame, **conditions) -> tuple[DataFrame, DataFrame]:
-    """(passing, refused); together they are the input."""
+    """(passing, refused); together they are the input. To write both, :func:`flag_passing` and ``write_split`` take one pass."""
     return filter_reads(aln, **conditions), filter_reads(aln, **conditions, invert=True)
 
 
@@ -82,20 +90,17 @@ def mark_pairs(aln: DataFrame, *, drop_qcfail: bool = False, min_insert: int = 0
 def target_rate(aln: DataFrame, regions: DataFrame, *, padding: int = 0, min_mapq: int = 0) -> DataFrame:
     """One row: reads, raw reads (by family size) and families above 1, each with those on target, skipped, and fractions.
 
-    ``aln``: read_id, flag, mapq, contig, pos, endpos, fm. On-target reads are found by an overlap semi-join; both halves are
-    then summed together.
+    ``aln``: flag, mapq, contig, pos, endpos, fm. Whether a read is on target is one existence join; all counts are then
+    one aggregate.
     """
     skip = any_of(F.col("flag"), 3844) | (F.coalesce("mapq", F.lit(0)) < min_mapq)
-    used = aln.where(~skip)
-    r = pad_regions(regions, padding)
     fm = F.coalesce("fm", F.lit(1))
-    part = lambda d, on: d.select(fm.alias("fm"), F.lit(on).alias("on"))
-    both = part(overlaps(used, r), 1).unionByName(part(overlaps(used, r, how="left_anti"), 0))
-    s = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
-    big = (F.col("fm") > 1).cast("int")
-    agg = both.agg(F.count("*").alias("n_reads"), s("on").alias("n_target"), s("fm").alias("raw_reads"), s(F.col("fm") * F.col("on")).alias("raw_target"), s(big).alias("n_real"), s(big * F.col("on")).alias("real_target"))
-    skipped = aln.where(skip).agg(F.count("*").alias("n_skipped"))
-    j = agg.crossJoin(skipped)  # one row each
+    both = overlap_flag(aln.select("contig", "pos", "endpos", fm.alias("fm"), skip.alias("skip")), pad_regions(regions, padding), "hit")
+    use, on = ~F.col("skip"), ~F.col("skip") & F.col("hit")
+    n = lambda c: F.count(F.when(c, 1))
+    s = lambda c: F.coalesce(F.sum(F.when(c, F.col("fm"))), F.lit(0)).cast("bigint")
+    big = F.col("fm") > 1
+    j = both.agg(n(use).alias("n_reads"), n(on).alias("n_target"), s(use).alias("raw_reads"), s(on).alias("raw_target"), n(use & big).alias("n_real"), n(on & big).alias("real_target"), n(F.col("skip")).alias("n_skipped"))
     frac = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).alias(f"{a}_fraction")
     return j.select("*", frac("n_target", "n_reads"), frac("raw_target", "raw_reads"), frac("real_target", "n_real"))
 
