@@ -5,18 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.setjoin import CAP, LEAF, EditCheck, Sets, arrow_letters, distinct, gram_parity, metric_join, near_pivots, ranges, rotated, voronoi
+from readloom.llm.setjoin import CAP, LEAF, EditCheck, Sets, arrow_letters, close_pairs, distinct, gram_parity, metric_join, near_pivots, rotated, voronoi
 from readloom.session import cut, ship
 
 #: Records of one region that a task joins; larger regions are divided by pivots in Spark stages first.
 TILE = 16384
 #: Barcodes of one key that a task compares; more are dealt to pairs of parts.
-KEY_TILE = 32768
+KEY_TILE = 65536
 #: Pivots of a hot region in its first round; every round takes four times as many, up to half a tile. Rounds at most.
 PIVOTS, ROUNDS = 512, 6
 #: Halvings of the radius that a hot region may take; what is larger still lies within CAP / 2**DEPTH of one pivot.
@@ -25,30 +26,76 @@ DEPTH = 3
 PARTITION_ROWS, BATCH_ROWS = 60_000, 20_000
 
 
-def _piece(n: Column) -> Column:
-    """Letters of the first and the last piece of a barcode of n letters: a third of it, so that the middle is no shorter than they are by more than one."""
-    return F.greatest(F.floor((n + 1) / 3), F.lit(1)).cast("int")
+def _piece(n: np.ndarray) -> np.ndarray:
+    """Letters of the first and the last piece of barcodes of n letters: about a third, the same for the lengths from 16 to 21 that most have."""
+    return np.where((n >= 16) & (n <= 21), 6, np.maximum((n + 1) // 3, 1))
 
 
-def _pieces(scope: Column, b: Column, turned: int) -> list[Column]:
-    """Keys under which a barcode meets those within 2 edits; null ones are none.
+def _keys(scope: np.ndarray, flat: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(barcode, role, key): the keys under which barcodes meet those within 2 edits.
 
     The shorter barcode of a pair (of m letters) is cut in three pieces, of which 2 edits leave one intact. If it is the
     first or the last, both barcodes share it at their very start or end; a barcode of n letters enters these for m = n,
     n - 1, n - 2. Else each end has an edit, so the middle piece is intact and moved by at most one: the shorter
-    barcode names it, the longer looks for it at each place left. All pieces grow with the barcode, so no key is short
-    where barcodes are long, and barcodes of a few letters, of which there are few, meet all together.
+    barcode names it, the longer looks for it at each place left. Pieces grow with the barcode, so no key is short
+    where barcodes are long, and barcodes of a few letters, of which there are few, meet all together. Keys are hashes: one that
+    stands for two pieces brings more candidates, never a wrong pair.
     role: 0/1 start or end piece (as it is / rotated), 4/5 middle piece, 6/7 look-up of another's middle piece.
     """
-    n = F.length(b)
-    item = lambda role, *what: F.struct(F.xxhash64(scope, *what).alias("key"), F.lit(role).cast("tinyint").alias("role"))
-    p, less = _piece(n), _piece(n - 2)  # of three neighbouring lengths at most two sizes of piece come out
-    ends = lambda q: [item(turned, F.lit("first"), q, F.substring(b, F.lit(1), q)), item(turned, F.lit("last"), q, F.substring(b, F.greatest(n - q + 1, F.lit(1)), q))]
-    mid = lambda m, shift: F.substring(b, _piece(m) + 1 + shift, F.greatest(m - 2 * _piece(m), F.lit(0)))
-    out = [*ends(p), *[F.when(less != p, x) for x in ends(less)], item(4 + turned, F.lit("mid"), n, mid(n, 0))]
-    for fewer, shifts in ((0, (-1, 0, 1)), (1, (0, 1)), (2, (1,))):
-        out += [F.when(n > fewer, item(6 + turned, F.lit("mid"), n - fewer, mid(n - fewer, s))) for s in shifts]
-    return out
+    u = np.uint64
+    power = np.ones(len(flat) + 1, u)
+    power[1:] = u(0x9E3779B97F4A7C15)
+    inverse = np.ones(len(flat) + 1, u)
+    inverse[1:] = u(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+    power, inverse = np.multiply.accumulate(power), np.multiply.accumulate(inverse)
+    start, end = off[:-1], off[1:]
+    n, every = end - start, np.arange(len(start))
+    p, less = _piece(n), _piece(np.maximum(n - 2, 1))  # of three neighbouring lengths at most two sizes of piece come out
+    rows, roles, keys = [], [], []
+    for turn, letters in ((0, flat), (1, rotated(flat, off))):
+        run = np.concatenate(([u(0)], np.cumsum((letters.astype(u) + u(1)) * power[:-1], dtype=u)))
+
+        def add(role: int, a: np.ndarray, b: np.ndarray, salt: np.ndarray | int, who: np.ndarray = every) -> None:
+            h = (run[b] - run[a]) * inverse[a] + u(0xD6E8FEB86659FD93) * (np.asarray(salt).astype(u) + (b - a).astype(u) * u(1 << 20))
+            h = (h ^ (h >> u(32))) * u(0xD6E8FEB86659FD93) + scope[who].view(u)
+            h = (h ^ (h >> u(29))) * u(0xBF58476D1CE4E5B9)
+            rows.append(who)
+            roles.append(np.full(len(who), role + turn, np.int8))  # noqa: B023
+            keys.append((h ^ (h >> u(32))).view(np.int64))
+
+        add(0, start, start + p, 1)
+        add(0, end - p, end, 2)
+        other = np.flatnonzero((less != p) & (less <= n))
+        add(0, start[other], (start + less)[other], 1, other)
+        add(0, (end - less)[other], end[other], 2, other)
+        for role, fewer, shift in ((4, 0, 0), (6, 0, -1), (6, 0, 0), (6, 0, 1), (6, 1, 0), (6, 1, 1), (6, 2, 1)):
+            who = np.flatnonzero(n > fewer)
+            m = n[who] - fewer
+            q = _piece(m)
+            long = np.maximum(m - 2 * q, 0)
+            at = np.where(long > 0, start[who] + q + shift, start[who])
+            add(role, at, at + long, 3 + 16 * m, who)
+    return np.concatenate(rows), np.concatenate(roles), np.concatenate(keys)
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a key of each barcode (w: hash of the scope): (key, role, uid, b, n)."""
+    for batch in batches:
+        if batch.num_rows:
+            row, role, key = _keys(batch.column("w").to_numpy(), *arrow_letters(batch.column("b")))
+            for a in range(0, len(row), 50_000):
+                t = pa.array(row[a : a + 50_000])
+                yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 50_000]), pa.array(role[a : a + 50_000]), *[batch.column(c).take(t) for c in ("uid", "b", "n")]], ["key", "role", "uid", "b", "n"])
+
+
+def _crowds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many rows of :func:`_keyed` fall in each of 2**16 slots of keys."""
+    total = np.zeros(1 << 16, np.int64)
+    for batch in batches:
+        if batch.num_rows:
+            total += np.bincount(_keys(batch.column("w").to_numpy(), *arrow_letters(batch.column("b")))[2] & 0xFFFF, minlength=1 << 16)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "c"])
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +106,9 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     t = pa.Table.from_batches(some)
     del some
     key, role, uid = (t[c].to_numpy() for c in ("key", "role", "uid"))
-    ids, first, code = np.unique(uid, return_index=True, return_inverse=True)
+    code, ids = pd.factorize(uid)
+    first = np.empty(len(ids), np.int64)
+    first[code[::-1]] = np.arange(len(code))[::-1]
     count = t["n"].to_numpy()[first]
     fp, off = arrow_letters(t["b"].combine_chunks().take(pa.array(first)))
     fr = rotated(fp, off)
@@ -68,8 +117,9 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     flat, both = np.concatenate((fp, fr)), np.concatenate((off[:-1], off[:-1] + len(fp)))
     length = np.tile(np.diff(off), 2)
     edits = EditCheck(flat, both, length)
-    order = np.lexsort((role, key))
-    key, role = key[order], role[order]
+    key = (key & ~7) | role  # one sort for both
+    order = np.argsort(key)
+    key, role = key[order] & ~7, role[order]
     node = code[order] + (role & 1).astype(np.int64) * len(ids)
     edge = np.flatnonzero(np.concatenate((key[1:] != key[:-1], [True]))) + 1
     end = edge[np.searchsorted(edge, np.arange(len(key)), "right")]
@@ -89,13 +139,15 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x, y = x[ok] % len(ids), y[ok] % len(ids)
         found.append(distinct(np.minimum(x, y) * len(ids) + np.maximum(x, y)))
 
-    for i, j in ranges(start, many):
-        near = np.flatnonzero(np.bitwise_count(own[i] ^ own[j]) <= 12)
-        x, y = node[i[near]], node[j[near]]
+    many_wait = 0
+    for i, j in close_pairs(own, start, many, 12):
+        x, y = node[i], node[j]
         keep = ~((x >= len(ids)) & (y >= len(ids))) & (x % len(ids) != y % len(ids)) & (np.abs(length[x] - length[y]) <= 2)
         waiting.append(x[keep] * (2 * len(ids)) + y[keep])
-        if sum(map(len, waiting)) > 1 << 20:  # what waits is bounded, however many partners a key has
+        many_wait += len(waiting[-1])
+        if many_wait > 1 << 20:  # what waits is bounded, however many partners a key has
             settle()
+            many_wait = 0
     if waiting:
         settle()
     pair = distinct(np.concatenate(found))
@@ -264,15 +316,15 @@ def near_duplicates(
     # a number for each different barcode of a scope: no hash, so two can't be taken for one
     counts = cut(rows.groupBy(*sc, "b").agg(F.count("*").alias("n")).withColumn("uid", F.monotonically_increasing_id()), "barcodes")
     n_codes, n_rows = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    turned = F.concat(F.expr("substring(b, cast(floor(length(b) / 2) as int) + 1)"), F.expr("substring(b, 1, cast(floor(length(b) / 2) as int))"))
-    where = F.xxhash64(*sc) if sc else F.lit(0).cast("bigint")
-    keyed = counts.select("uid", "b", "n", where.alias("w"), turned.alias("r")).select("uid", "b", "n", F.explode(F.array(*_pieces(F.col("w"), F.col("b"), 0), *_pieces(F.col("w"), F.col("r"), 1))).alias("x"))
-    keyed = keyed.where("x is not null").select("x.key", "x.role", "uid", "b", "n")
-    if n_codes > key_tile:
-        hot = keyed.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > key_tile)
+    barcodes = counts.select("uid", "b", "n", (F.xxhash64(*sc) if sc else F.lit(0).cast("bigint")).alias("w"))
+    keyed = barcodes.mapInArrow(_keyed, "key bigint, role tinyint, uid bigint, b string, n bigint")
+    # only where some slot of keys is that full, one of its keys may be
+    crowd = barcodes.mapInArrow(_crowds, "slot bigint, c bigint").groupBy("slot").agg(F.sum("c").alias("c")).where(F.col("c") > key_tile)
+    if n_codes * 30 > key_tile and crowd.limit(1).count():
+        hot = cut(keyed.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > key_tile), "keys")
         if hot.limit(1).count():  # such a key is dealt to pairs of parts
             t = F.ceil(F.coalesce("c", F.lit(1)) / key_tile).cast("int")
-            keyed = keyed.join(cut(hot, "keys"), "key", "left").withColumn("_t", F.pmod(F.xxhash64("uid"), t).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), t - 1)))
+            keyed = keyed.join(hot, "key", "left").withColumn("_t", F.pmod(F.xxhash64("uid"), t).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), t - 1)))
             keyed = keyed.select(F.when(t > 1, F.xxhash64("key", F.least("_t", "_o"), F.greatest("_t", "_o"))).otherwise(F.col("key")).alias("key"), "role", "uid", "b", "n")
     links = keyed.repartition(max(4 * shuffles, n_codes // 10_000), "key").mapInArrow(_candidates, "x bigint, y bigint, nx bigint, ny bigint").distinct()
     # the smaller region's records move to the larger region
@@ -287,11 +339,12 @@ def near_duplicates(
     for c, d in zip(sc, drop):  # keys are hashes, scopes are compared
         moved = moved.where(F.col(c) == F.col(d))
     plan = homes.select(*sc, "b", F.col("uid").alias("dst"), "total", F.lit(0).cast("bigint").alias("mask")).unionByName(moved.select(*sc, "b", "dst", "total", F.lit(1).cast("bigint").alias("mask")))
-    placed = rows.join(plan, [*sc, "b"]).select(F.col("dst").cast("string").alias("grp"), "mask", "id", "s", F.col("total").alias("n"))
+    placed = lambda p: rows.join(p, [*sc, "b"]).select(F.col("dst").cast("string").alias("grp"), "mask", "id", "s", F.col("total").alias("n"))
     parts = max(4 * shuffles, int(n_rows) // PARTITION_ROWS)
-    groups = placed.where(F.col("n") <= tile).drop("n")
+    groups = placed(plan.where(F.col("total") <= tile)).drop("n")
     if homes.where(F.col("total") > tile).limit(1).count():
-        for more in _divide_hot(cut(placed.where(F.col("n") > tile), "hot"), k, threshold, tile, parts):
+        few = cut(plan.where(F.col("total") > tile), "plan")  # written, so that Spark knows its size
+        for more in _divide_hot(cut(placed(few), "hot"), k, threshold, tile, parts):
             groups = groups.unionByName(more)
     pairs = groups.repartition(parts, "grp").mapInArrow(_region_join(k, threshold, leaf), "a bigint, b bigint")
     return pairs.distinct().select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))

@@ -52,22 +52,22 @@ def _compact(code: np.ndarray, top: int) -> tuple[np.ndarray, int]:
     if top <= 1 << 22:
         seen = np.zeros(top, bool)
         seen[code] = True
-        return (np.cumsum(seen) - 1)[code], int(seen.sum())
+        return (np.cumsum(seen, dtype=np.int32) - 1)[code], int(seen.sum())
     u, out = np.unique(code, return_inverse=True)
     return out.astype(np.int64), len(u)
 
 
 def letter_grams(flat: np.ndarray, k: int) -> tuple[np.ndarray, int]:
     """An exact number for the k letters that begin at each position (the last k - 1 are meaningless), and the bound of these numbers."""
-    code, a = _compact(flat.astype(np.int64), int(flat.max()) + 1 if len(flat) else 1)
+    code, a = _compact(flat, int(flat.max()) + 1 if len(flat) else 1)
     a = max(a, 2)
     out, top = code, a
     for i in range(1, k):
         if top > (1 << 40) // a:
             out, top = _compact(out, top)
-        nxt = np.zeros(len(code), np.int64)
-        nxt[: len(code) - i] = code[i:]
-        out, top = out * a + nxt, top * a
+        top *= a
+        out = out * a if top < 1 << 31 else out.astype(np.int64) * a
+        out[: len(code) - i] += code[i:]
     return out, top
 
 
@@ -84,7 +84,7 @@ class Sets:
         first = np.cumsum(n) - n
         at = np.arange(int(n.sum())) - np.repeat(first, n) + np.repeat(off[:-1], n)
         code, top = letter_grams(flat, k)
-        gram, size = _compact(code[at], top) if len(at) else (np.zeros(0, np.int64), 1)
+        gram, size = _compact(code[at], top) if len(at) else (np.zeros(0, np.int32), 1)
         words = -(-size // 64)
         words += -words % WORDS
         owner = np.repeat(np.arange(count), n)
@@ -178,6 +178,25 @@ def ranges(start: np.ndarray, count: np.ndarray, chunk: int = CHUNK):
         a = b
 
 
+def close_pairs(sketch: np.ndarray, start: np.ndarray, count: np.ndarray, limit: int):
+    """:func:`ranges`, but only the pairs whose sketches differ in at most ``limit`` bits.
+
+    Rows with few partners are taken together, partner by partner, which needs no list of all pairs.
+    """
+    few = np.flatnonzero((count > 0) & (count <= 1024))
+    few = few[np.argsort(-count[few], kind="stable")]
+    upto = np.searchsorted(-count[few], -np.arange(1, int(count[few[0]]) + 1 if len(few) else 1), "right")
+    for d, n in enumerate(upto.tolist()):
+        i = few[:n]
+        j = start[i] + d
+        hit = np.flatnonzero(np.bitwise_count(sketch[i] ^ sketch[j]) <= limit)
+        if len(hit):
+            yield i[hit], j[hit]
+    for i, j in ranges(start, np.where(count > 1024, count, 0)):
+        hit = np.flatnonzero(np.bitwise_count(sketch[i] ^ sketch[j]) <= limit)
+        yield i[hit], j[hit]
+
+
 def near_pivots(sets: Sets, rows: np.ndarray, pivots: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(position in ``rows``, position in ``pivots``, distance) of all within ``reach`` of each other."""
     out = []
@@ -343,19 +362,11 @@ class EditCheck:
         present = np.zeros(int(flat.max()) + 1 if len(flat) else 1, bool)
         present[flat] = True
         self.letters = int(present.sum())
-        self.masks = None
-        if self.letters <= 16:
-            self.code = (np.cumsum(present) - 1).astype(np.uint8)[flat]
-            n = np.where(length <= 64, length, 0)
-            masks = np.zeros(len(length) * self.letters, np.uint64)
-            for j in range(int(n.max()) if len(n) else 0):
-                own = np.flatnonzero(n > j)
-                masks[own * self.letters + self.code[start[own] + j]] |= np.uint64(1) << np.uint64(j)
-            self.masks = masks
+        self.code = (np.cumsum(present) - 1).astype(np.uint8)[flat] if self.letters <= 16 else None
 
     def within(self, x: np.ndarray, y: np.ndarray, limit: int = 2) -> np.ndarray:
         ok = np.zeros(len(x), bool)
-        fast = (self.length[x] <= 64) & (self.length[x] > 0) if self.masks is not None else np.zeros(len(x), bool)
+        fast = (self.length[x] <= 64) & (self.length[x] > 0) if self.code is not None else np.zeros(len(x), bool)
         slow = np.flatnonzero(~fast)
         if len(slow):
             u, v = x[slow], y[slow]
@@ -369,13 +380,18 @@ class EditCheck:
     def _columns(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         one = np.uint64(1)
         lx, ly = self.length[x], self.length[y]
-        base, at = x * self.letters, self.start[y]
+        base, at = np.arange(len(x)) * self.letters, self.start[y]
+        masks = np.zeros(len(x) * self.letters, np.uint64)
+        least = int(lx.min())
+        for j in range(int(lx.max())):
+            own = slice(None) if j < least else np.flatnonzero(lx > j)
+            masks[base[own] + self.code[self.start[x[own]] + j]] |= one << np.uint64(j)
         last = one << (lx - 1).astype(np.uint64)
         up, down = np.full(len(x), ~np.uint64(0)), np.zeros(len(x), np.uint64)
         score = lx.astype(np.int32)
         short = int(ly.min()) if len(ly) else 0
         for j in range(int(ly.max()) if len(ly) else 0):
-            same = self.masks[base + self.code[np.minimum(at + j, len(self.code) - 1)]]
+            same = masks[base + self.code[np.minimum(at + j, len(self.code) - 1)]]
             vert = same | down
             horiz = (((same & up) + up) ^ up) | same
             more, less = down | ~(horiz | up), up & horiz
