@@ -28,6 +28,11 @@ def aligned_fraction(cigar: Column) -> Column:
     return _total(cigar, "M=X") / _total(cigar, "MIS=X")
 
 
+def aligned_length(cigar: Column) -> Column:
+    """Letters aligned to a reference position."""
+    return _total(cigar, "M=X")
+
+
 def lead_clip(cigar: Column) -> Column:
     """Clipped letters before the alignment."""
     hit = F.regexp_extract(cigar, r"^(?:\d+H)?(\d+)S", 1)

@@ -18,7 +18,12 @@ PIECE = 16384
 
 
 def reference_pieces(ref: DataFrame) -> DataFrame:
-    """contig, piece, letters: the letters from piece * PIECE on, 2 * PIECE of them, so that pieces overlap by half."""
+    """contig, piece, letters: the letters from piece * PIECE on, 2 * PIECE of them, so that pieces overlap by half.
+
+    ``ref``: contig, seq; or such pieces already (``read_fasta_pieces``), which are left as they are.
+    """
+    if "letters" in ref.columns:
+        return ref.select("contig", "piece", "letters")
     parts = F.posexplode(F.regexp_extract_all(F.upper("seq"), F.lit("(?s).{1,%d}" % PIECE), F.lit(0)))
     p = ref.select("contig", parts.alias("piece", "letters"))
     return p.withColumn("letters", F.concat("letters", F.coalesce(F.lead("letters").over(Window.partitionBy("contig").orderBy("piece")), F.lit(""))))
@@ -71,12 +76,37 @@ def cube_marginals(cube: DataFrame) -> DataFrame:
     expected is the number of errors that the qualities promise. One pass by grouping sets.
     """
     c = cube.where("qual > 2").withColumn("exp", F.col("obs") * F.pow(F.lit(10.0), F.col("qual") * -0.1))
-    c.createOrReplaceTempView("_readloom_cube")
-    g = c.sparkSession.sql(
-        "SELECT CASE grouping_id() WHEN 0 THEN 'base_cycle' WHEN 2 THEN 'cycle' ELSE 'global' END AS kind, mate, base, cycle, "
-        "sum(obs) AS obs, sum(err) AS err, sum(exp) AS expected FROM _readloom_cube GROUP BY mate, base, cycle GROUPING SETS ((mate, base, cycle), (mate, cycle), (mate))"
-    )
-    return g
+    g = c.groupingSets([["mate", "base", "cycle"], ["mate", "cycle"], ["mate"]], "mate", "base", "cycle").agg(F.grouping_id().alias("_g"), F.sum("obs").alias("obs"), F.sum("err").alias("err"), F.sum("exp").alias("expected"))
+    return g.select(F.when(F.col("_g") == 0, "base_cycle").when(F.col("_g") == 2, "cycle").otherwise("global").alias("kind"), "mate", "base", "cycle", "obs", "err", "expected")
+
+
+def trim_cycles(cube: DataFrame, *, min_obs: int = 1) -> DataFrame:
+    """The cube up to the greatest cycle that has at least ``min_obs`` observations of any base and quality, for both mates alike."""
+    top = cube.groupBy("cycle").agg(F.sum("obs").alias("_n")).where(F.col("_n") >= min_obs).agg(F.max("cycle").alias("_top"))
+    return cube.crossJoin(top).where(F.col("cycle") <= F.col("_top")).drop("_top")  # one row
+
+
+#: Rate of a cell without observations in the full table (fixed value of the format).
+NO_RATE = -1337.0
+
+
+def full_rates(cube: DataFrame, *, quals: int = 45) -> DataFrame:
+    """Every cell of mate, cycle, base and quality (2 .. 1 + quals): rate, NO_RATE where nothing was observed, and obs.
+
+    The grid is made of the cube's cycles, so it has cycles x 2 x 4 x quals rows.
+    """
+    grid = cube.select("cycle").distinct()
+    for name, items in (("mate", F.sequence(F.lit(1), F.lit(2))), ("base", F.split(F.lit("A,C,G,T"), ",")), ("qual", F.sequence(F.lit(2), F.lit(1 + quals)))):
+        grid = grid.select("*", F.explode(items).alias(name))
+    j = grid.join(cube, ["mate", "base", "qual", "cycle"], "left")
+    return j.select("mate", "base", "qual", "cycle", F.when(F.col("obs") > 0, F.col("err") / F.col("obs")).otherwise(NO_RATE).alias("rate"), F.coalesce("obs", F.lit(0)).alias("obs"))
+
+
+def quality_offsets(cube: DataFrame, *, min_obs: int = 10000) -> DataFrame:
+    """Shift of every (mate, base, cycle): measured phred minus phred of the expected errors, 0 under ``min_obs`` observations."""
+    m = cube_marginals(cube).where("kind = 'base_cycle'")
+    shift = F.when(F.col("obs") >= min_obs, to_phred(F.col("err") / F.col("obs")) - to_phred(F.col("expected") / F.col("obs"))).otherwise(0)
+    return m.select("mate", "base", "cycle", shift.alias("shift"))
 
 
 def cycle_rates(cube: DataFrame) -> DataFrame:
@@ -92,9 +122,7 @@ def impute_quality(cube: DataFrame, *, min_obs: int = 10000) -> DataFrame:
     The shift of a (mate, base, cycle) is measured phred minus phred of the expected errors, 0 under ``min_obs`` observations;
     the new quality is at least 2; masked cells (2) stay.
     """
-    m = cube_marginals(cube).where("kind = 'base_cycle'")
-    shift = F.when(F.col("obs") >= min_obs, to_phred(F.col("err") / F.col("obs")) - to_phred(F.col("expected") / F.col("obs"))).otherwise(0)
-    d = m.select("mate", "base", "cycle", shift.alias("shift"))
+    d = quality_offsets(cube, min_obs=min_obs)
     new = F.when(F.col("qual") <= 2, 2).otherwise(F.greatest(F.lit(2), F.col("qual") + F.coalesce("shift", F.lit(0))))
     return cube.join(d, ["mate", "base", "cycle"], "left").select("mate", "cycle", "base", "qual", new.cast("int").alias("new_qual"))
 

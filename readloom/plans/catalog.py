@@ -495,19 +495,15 @@ def route_supplementary(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- pile-ups and variants
 
-_agree = "CAST(floor(((x.pv + y.pv) * 0.230258509299404568 - ln(1 + (x.pv + y.pv) * 0.230258509299404568)) / 0.230258509299404568 + 0.5) AS INT)"
 _obs_sql = f"""
-ob AS (SELECT contig, ref_pos, qname, flag, base, pv, fa, fm, dr, rv, mapq, row_number() OVER w AS rn, count(*) OVER (PARTITION BY contig, ref_pos, qname) AS n FROM bases WHERE (flag & 3844) = 0 WINDOW w AS (PARTITION BY contig, ref_pos, qname ORDER BY flag, base, pv, fa, fm, dr, rv, mapq)),
-u AS (SELECT x.contig, x.ref_pos, x.qname, CASE WHEN y.qname IS NULL THEN x.base WHEN x.base = y.base THEN x.base WHEN x.base = 'N' THEN y.base WHEN y.base = 'N' THEN x.base ELSE 'N' END AS base,
-  CASE WHEN y.qname IS NULL THEN x.pv WHEN x.base = y.base THEN {_agree} WHEN x.base = 'N' THEN y.pv WHEN y.base = 'N' THEN x.pv ELSE 0 END AS pv,
-  CASE WHEN y.qname IS NULL THEN x.fa WHEN x.base = y.base THEN x.fa + y.fa WHEN x.base = 'N' THEN y.fa WHEN y.base = 'N' THEN x.fa ELSE 0 END AS fa,
-  x.fm + coalesce(y.fm, 0) AS fm, x.dr AS dr, x.rv + coalesce(y.rv, 0) AS rv, greatest(x.mapq, coalesce(y.mapq, 0)) AS mapq, (x.flag & 16) <> 0 AS is_rev, CASE WHEN y.qname IS NULL THEN 0 ELSE 1 END AS overlap
-  FROM ob x LEFT JOIN ob y ON x.contig = y.contig AND x.ref_pos = y.ref_pos AND x.qname = y.qname AND y.rn = y.n AND y.n > 1 WHERE x.rn = 1)"""
+og AS (SELECT contig, ref_pos, qname, count(*) AS n, CAST(count(*) FILTER (base <> 'N') AS INT) AS k, min(base) FILTER (base <> 'N') AS lo, max(base) FILTER (base <> 'N') AS hi, sum(pv) FILTER (base <> 'N') AS ps, sum(fa) FILTER (base <> 'N') AS fs,
+  sum(pv) AS pn, sum(fa) AS fn, CAST(sum(fm) AS INT) AS fm, CAST(sum(rv) AS INT) AS rv, max(mapq) AS mapq, min(flag * 2 + dr) AS f FROM bases WHERE (flag & 3844) = 0 GROUP BY ALL),
+u AS (SELECT contig, ref_pos, qname, CASE WHEN lo = hi THEN lo ELSE 'N' END AS base, CAST(CASE WHEN n = 1 THEN pn WHEN k = 1 THEN ps WHEN k = 0 THEN {_pv('CAST(n AS INT)', 'pn')} WHEN lo = hi THEN {_pv('k', 'ps')} ELSE 0 END AS INT) AS pv,
+  CAST(CASE WHEN n = 1 OR k = 0 THEN fn WHEN lo = hi THEN fs ELSE 0 END AS INT) AS fa, fm, f % 2 AS dr, rv, mapq, ((f // 2) & 16) <> 0 AS is_rev, CASE WHEN n > 1 THEN 1 ELSE 0 END AS overlap FROM og)"""
 
 
-def _obs(spark: SparkSession, d: str, extra=None) -> DataFrame:
-    a = alignments(spark, d)
-    return pileup.observations(a if extra is None else a.where(extra), skip_flags=3844)
+def _obs(spark: SparkSession, d: str, **more) -> DataFrame:
+    return pileup.observations(alignments(spark, d).withColumn("sample", F.when(F.col("fp") == 1, "t").otherwise("n")), skip_flags=3844, **more)
 
 
 @query("mate_overlap_merge", with_("bases", extra=_obs_sql) + "SELECT contig, ref_pos, count(*) AS n, CAST(sum(overlap) AS BIGINT) AS n_overlap, count(*) FILTER (base = 'N') AS n_masked, CAST(sum(pv) AS BIGINT) AS pv_sum, CAST(sum(fa) AS BIGINT) AS fa_sum, CAST(sum(fm) AS BIGINT) AS fm_sum FROM u GROUP BY contig, ref_pos")
@@ -535,7 +531,7 @@ def stack_allele_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _half(n: int) -> str:
-    return _obs_sql.replace("(flag & 3844) = 0", f"(flag & 3844) = 0 AND fp = {n}").replace("ob AS", f"ob{n} AS").replace("FROM ob x", f"FROM ob{n} x").replace("JOIN ob y", f"JOIN ob{n} y").replace("u AS", f"u{n} AS")
+    return _obs_sql.replace("(flag & 3844) = 0", f"(flag & 3844) = 0 AND fp = {n}").replace("og AS", f"og{n} AS").replace("FROM og", f"FROM og{n}").replace("u AS", f"u{n} AS")
 
 
 @query("somatic_calls", with_("bases", extra=_half(1) + ", " + _half(0) + ", " + _alleles("u1", "tu") + ", " + _alleles("u0", "no")) + """
@@ -543,8 +539,8 @@ SELECT t.contig, t.ref_pos, t.base, t.n_obs, coalesce(n.n_obs, 0) AS normal_obs,
 FROM tu t LEFT JOIN no n ON t.contig = n.contig AND t.ref_pos = n.ref_pos AND t.base = n.base WHERE EXISTS (SELECT 1 FROM no c WHERE c.contig = t.contig AND c.ref_pos = t.ref_pos)""")
 def somatic_calls(spark: SparkSession, d: str) -> DataFrame:
     """Alleles that pass in one sample and not in the other."""
-    t, n = (pileup.allele_counts(_obs(spark, d, f"fp = {k}"), None, _T) for k in (1, 0))
-    return pileup.somatic_calls(t, n).select("contig", "ref_pos", "base", "n_obs", "normal_obs", F.col("somatic").cast("int").alias("somatic"))
+    c = pileup.allele_counts(_obs(spark, d, sample="sample"), None, _T, ["contig", "ref_pos", "sample"])
+    return pileup.somatic_samples(c, "sample", "t", "n").select("contig", "ref_pos", "base", "n_obs", "normal_obs", F.col("somatic").cast("int").alias("somatic"))
 
 
 @query("vet_variants", with_("bases", "variants", extra=_obs_sql + ", " + _alleles("u", "al") + """,
@@ -555,7 +551,8 @@ SELECT variant_id, allele_index, allele, CASE WHEN snv AND co.contig IS NOT NULL
 FROM va LEFT JOIN co ON co.contig = va.contig AND co.ref_pos = va.pos LEFT JOIN al ON al.contig = va.contig AND al.ref_pos = va.pos AND al.base = va.allele""")
 def vet_variants(spark: SparkSession, d: str) -> DataFrame:
     """Known variants checked against the pile-up, per allele."""
-    v = pileup.vet_variants(variants(spark, d), _obs(spark, d), _T)
+    known = variants(spark, d)
+    v = pileup.vet_variants(known, _obs(spark, d, loci=pileup.variant_loci(known)), _T)
     return v.select("variant_id", "allele_index", "allele", "n_pass", "n_failed", "quantity", F.col("vet_pass").cast("int").alias("vet_pass"))
 
 
@@ -563,7 +560,7 @@ def vet_variants(spark: SparkSession, d: str) -> DataFrame:
 def locus_allele_fraction(spark: SparkSession, d: str) -> DataFrame:
     """Alternative allele fraction at the loci of known variants."""
     loci = variants(spark, d).groupBy("contig", F.col("pos").alias("ref_pos")).agg(F.min(F.element_at("alleles", 1)).alias("ref_base"), F.min(F.substring(F.element_at("alleles", 2), 1, 1)).alias("alt_base"))
-    return pileup.locus_fraction(_obs(spark, d), loci, min_fm=2).select("contig", "ref_pos", "n_ref", "n_alt", *_r6("alt_fraction"))
+    return pileup.locus_fraction(_obs(spark, d, loci=loci), loci, min_fm=2).select("contig", "ref_pos", "n_ref", "n_alt", *_r6("alt_fraction"))
 
 
 @query("allele_family_sizes", with_("bases") + "SELECT contig, base, fm, count(*) AS n FROM bases WHERE (flag & 3844) = 0 GROUP BY contig, base, fm")
