@@ -21,6 +21,13 @@ def signature(*, single_end: bool = False, unclipped: bool = False) -> list[Colu
     return [*own, any_of(F.col("flag"), READ2), F.col("mate_contig"), mate, any_of(F.col("flag"), MATE_REVERSE), F.col("lm")]
 
 
+def with_signature(aln: DataFrame, *, single_end: bool = False, unclipped: bool = False) -> tuple[DataFrame, list[str]]:
+    """The alignments with their :func:`signature` in columns sig_0, sig_1, ..., and these columns' names."""
+    cols = signature(single_end=single_end, unclipped=unclipped)
+    names = [f"sig_{i}" for i in range(len(cols))]
+    return aln.withColumns(dict(zip(names, cols))), names
+
+
 def rescue_parents(names: DataFrame, sig: list[str], name: str, *, mismatch_limit: int = 2) -> DataFrame:
     """For each different name of a stack the first greater name within ``mismatch_limit`` letters: sig, name, parent.
 
@@ -51,33 +58,46 @@ def rescue_roots(names: DataFrame, sig: list[str], name: str, *, mismatch_limit:
         a, b = hop.alias("a"), hop.select(*ids, F.col("_n").alias("_p"), F.col("_p").alias("_pp")).alias("b")
         on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ids] + [F.col("a._p") == F.col("b._p")]
         nxt = cut(a.join(b, on, "left").select(*[F.col(f"a.{c}").alias(c) for c in ids], "a._n", F.coalesce("_pp", "a._p").alias("_p"), F.col("_pp").isNotNull().alias("_moved")), "hops")
-        done = not nxt.where("_moved").limit(1).count()
         drop_cut(hop)
-        hop = nxt.drop("_moved")
-        if done:
+        hop = nxt
+        if not nxt.where("_moved").limit(1).count():
             break
     all_ = names.select(*[F.col(c).alias(i) for c, i in zip(sig, ids)], F.col(name).alias("_m")).where("_m is not null").distinct().alias("x")
     on = [F.col(f"x.{c}").eqNullSafe(F.col(f"h.{c}")) for c in ids] + [F.col("_m") == F.col("_n")]
     return all_.join(hop.alias("h"), on, "left").select(*[F.col(f"x.{i}").alias(c) for c, i in zip(sig, ids)], F.col("_m").alias(name), F.coalesce("_p", "_m").alias("root"))
 
 
-def rescue(aln: DataFrame, sig: list[str], *, name: str = "barcode", mismatch_limit: int = 2, trust_unmasked: bool = False, infer: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Merge nearly equal families of a stack: (records, merged bases).
+def rescue(aln: DataFrame, sig: list[str], *, name: str = "barcode", read_id: str = "read_id", mismatch_limit: int = 2, trust_unmasked: bool = False, infer: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Merge nearly equal families of a stack: (records, their bases).
 
-    ``aln``: ``sig``, ``name``, read_id, flag, fm, rv, np, nc, seq, qual, fa, pv. Secondary and supplementary records are
-    left out; unmapped ones (or with an unmapped mate) stay by themselves. Records: sig, name (the greatest), n_merged, fm,
-    rv, nc, np, dr. Merged bases: sig, root, base_pos, base, fa, pv, qual.
+    ``aln``: ``sig`` (see :func:`with_signature`), ``name``, ``read_id``, flag, fm, rv, np, nc, seq, qual, fa, pv and any
+    other columns. Secondary and supplementary records are left out; unmapped ones (or with an unmapped mate) and records
+    without a name stay by themselves. Records: all columns of ``aln``, root and n_merged; of a merged record every column is
+    that of the member with the greatest name (then id), but fm and rv are summed, np counts the records before
+    (1 where absent), nc sums the letters changed and is null for what wasn't merged, dr is 1 where 0 < rv < fm, and
+    seq, qual, fa, pv are built anew.
 
-    fm, rv and nc are summed, np counts the records before (1 where absent), dr is 1 where 0 < rv < fm. A position whose
-    members agree keeps its letter with fa summed, pv combined by Fisher's method over all members and the greatest
-    quality; below pv 3, or where members differ, it is N with fa 0, pv 0 and quality 2. ``trust_unmasked``: N members don't
-    count against a letter. ``infer``: no barcodes; all records of a stack merge.
+    A position whose members agree keeps its letter with fa summed, pv combined by Fisher's method over all members and
+    the greatest quality; below pv 3, or where members differ, it is N with fa 0, pv 0 and quality 2.
+    ``trust_unmasked``: N members don't count against a letter, and nc counts the positions they gain. ``infer``: no barcodes;
+    all records of a stack merge, absent tags are fm 1, fp 1, fa 1 and pv the quality.
 
-    The merge of several p-values is done at once and not pair after pair, so it depends on no order and needs no row-wise
-    fold; for two members both are the same.
+    fa and pv lie in sequencing order, seq and qual in reference order; members share their strand, which the signature
+    holds. Only stacks with something to merge are taken apart letter by letter, all others pass through as they are. The merge of several
+    p-values is done at once and not pair after pair, so it depends on no order and needs no row-wise fold; for two
+    members both are the same.
     """
     prim = aln.where(~any_of(F.col("flag"), NOT_PRIMARY))
-    alone = any_of(F.col("flag"), UNMAPPED | MATE_UNMAPPED)
+    if "dr" not in prim.columns:
+        prim = prim.withColumn("dr", F.lit(None).cast("int"))
+    rev = any_of(F.col("flag"), REVERSE)
+    if infer:
+        phred = F.transform(F.split("qual", ""), lambda c: F.ascii(c) - 33)
+        prim = prim.withColumns({"fm": F.coalesce("fm", F.lit(1)), "fa": F.coalesce("fa", F.transform(phred, lambda _: F.lit(1))), "pv": F.coalesce("pv", F.when(rev, F.reverse(phred)).otherwise(phred))})
+        if "fp" in prim.columns:
+            prim = prim.withColumn("fp", F.coalesce("fp", F.lit(1)))
+    own = F.concat(F.lit("#"), F.col(read_id).cast("string"))
+    alone = any_of(F.col("flag"), UNMAPPED | MATE_UNMAPPED) | (F.lit(False) if infer else F.col(name).isNull())
     m = prim.where(~alone)
     if infer:
         m = m.withColumn("root", F.lit("*"))
@@ -85,35 +105,65 @@ def rescue(aln: DataFrame, sig: list[str], *, name: str = "barcode", mismatch_li
         roots = rescue_roots(m, sig, name, mismatch_limit=mismatch_limit)
         r = roots.select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(sig)], F.col(name).alias("_rn"), "root")
         m = m.join(r, [F.col(c).eqNullSafe(F.col(f"_r{i}")) for i, c in enumerate(sig)] + [F.col(name) == F.col("_rn")]).drop(*[f"_r{i}" for i in range(len(sig))], "_rn")
-    m = m.unionByName(prim.where(alone).withColumn("root", F.concat(F.lit("#"), F.col("read_id").cast("string"))))
-    z = lambda c, d: F.coalesce(F.col(c), F.lit(d))
+    m = cut(m, "stacks")
     key = [*sig, "root"]
-    rec = m.groupBy(*key).agg(
-        F.count("*").alias("n_merged"), F.max(name).alias(name), F.sum(z("fm", 1)).cast("bigint").alias("fm"), F.sum(z("rv", 0)).cast("bigint").alias("rv"),
-        F.sum(z("nc", 0)).cast("bigint").alias("nc"), F.sum(z("np", 1)).cast("bigint").alias("np"),
-    ).withColumn("dr", ((F.col("rv") > 0) & (F.col("rv") < F.col("fm"))).cast("int"))
-    e = m.select(*key, "qual", "fa", "pv", F.posexplode(F.split("seq", "")).alias("base_pos", "base"))
-    e = e.withColumn("q", F.ascii(F.substring("qual", F.col("base_pos") + 1, F.lit(1))) - 33).withColumn("fa", F.get("fa", "base_pos")).withColumn("pv", F.get("pv", "base_pos"))
-    seen = F.when(F.col("base") != "N", F.col("base"))
-    g = e.groupBy(*key, "base_pos").agg(
-        F.count("*").alias("n"), F.count(seen).alias("n_seen"), F.min(seen).alias("lo"), F.max(seen).alias("hi"),
-        F.sum(F.when(seen.isNotNull(), F.col("fa"))).alias("fa"), F.sum(F.when(seen.isNotNull(), F.col("pv"))).alias("pv"), F.max(F.when(seen.isNotNull(), F.col("q"))).alias("q"), F.max("pv").alias("pv1"),
+    k = [f"_k{i}" for i in range(len(key))]
+    multi = cut(m.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").select(*[F.col(c).alias(a) for c, a in zip(key, k)], F.col("_n").alias("n_merged")), "merged")
+    on = [F.col(c).eqNullSafe(F.col(a)) for c, a in zip(key, k)]
+    z = lambda c, d: F.coalesce(F.col(c), F.lit(d)).cast("bigint")
+    counts = {"fm": z("fm", 1), "rv": z("rv", 0), "np": z("np", 1), "nc": F.col("nc").cast("bigint")}
+    single = m.join(multi, on, "left_anti").unionByName(prim.where(alone).withColumn("root", own)).withColumns({"n_merged": F.lit(1).cast("bigint"), **counts})
+    many = m.join(multi, on).drop(*k)
+    cols = prim.columns
+    built = ["fm", "rv", "np", "nc", "dr", "seq", "qual", "fa", "pv"]
+    rest = [c for c in cols if c not in built and c not in sig]
+    rec = many.groupBy(*key).agg(
+        F.max("n_merged").alias("n_merged"), F.max_by(F.struct(*rest), F.struct(F.col(name) if not infer else F.lit(0), F.col(read_id))).alias("_lead"),
+        F.sum(z("fm", 1)).alias("fm"), F.sum(z("rv", 0)).alias("rv"), F.sum(z("np", 1)).alias("np"), F.sum(z("nc", 0)).alias("_nc"), F.max(F.col("dr")).alias("dr"),
     )
-    pv = F.when(F.col("n_seen") == 1, F.col("pv1")).otherwise(fisher_pv(F.col("n_seen").cast("int"), F.col("pv")))
-    agree = (F.col("lo") == F.col("hi")) & ((F.col("n_seen") == F.col("n")) | F.lit(trust_unmasked))
-    ok = F.coalesce(agree & ((pv > 2) | (F.col("n") == 1)), F.lit(False))
-    bases = g.select(*key, "base_pos", F.when(ok, F.col("lo")).otherwise("N").alias("base"), F.when(ok, F.col("fa")).otherwise(0).cast("int").alias("fa"), F.when(ok, pv).otherwise(0).cast("int").alias("pv"), F.when(ok, F.col("q")).otherwise(2).cast("int").alias("qual"))
-    return rec, bases
+    g = _letters(many, key).groupBy(*key, "base_pos").agg(
+        F.count("*").alias("n"), F.count(F.when(F.col("code") < 5, 1)).cast("int").alias("k"), F.min(F.when(F.col("code") < 5, F.col("code"))).alias("lo"), F.max(F.when(F.col("code") < 5, F.col("code"))).alias("hi"),
+        F.sum(F.when(F.col("code") < 5, F.col("fa"))).alias("fa"), F.sum(F.when(F.col("code") < 5, F.col("pv"))).alias("pv"), F.max(F.when(F.col("code") < 5, F.col("qual"))).alias("q"),
+    )
+    agree = (F.col("lo") == F.col("hi")) & ((F.col("k") == F.col("n")) | F.lit(trust_unmasked))
+    pv = F.when(F.col("k") == 1, F.col("pv")).otherwise(fisher_pv(F.col("k"), F.col("pv"))).cast("int")
+    ok = F.coalesce(agree & (pv > 2), F.lit(False))
+    cell = F.struct("base_pos", F.when(ok, F.substring(F.lit("ACGTN"), F.col("lo"), F.lit(1))).otherwise("N").alias("b"), F.when(ok, F.col("q")).otherwise(2).cast("int").alias("q"), F.when(ok, F.col("fa")).otherwise(0).cast("int").alias("fa"), F.when(ok, pv).otherwise(0).alias("pv"))
+    texts = g.groupBy(*key).agg(F.array_sort(F.collect_list(cell)).alias("_c"), F.sum(F.when(ok & (F.col("k") < F.col("n")), 1).otherwise(0)).alias("_gained"))  # one cell a position: bounded by the read length
+    texts = texts.select(*[F.col(c).alias(a) for c, a in zip(key, k)], "_c", "_gained")
+    take = lambda f: F.transform("_c", lambda x: x[f])
+    flip = lambda c: F.when(any_of(F.col("_lead.flag"), REVERSE), F.reverse(c)).otherwise(c)
+    new = {
+        "seq": F.array_join(take("b"), ""), "qual": F.array_join(F.transform("_c", lambda x: F.char(x["q"] + 33)), ""), "fa": flip(take("fa")), "pv": flip(take("pv")),
+        "nc": F.col("_nc") + F.coalesce("_gained", F.lit(0)), "fm": F.col("fm"), "rv": F.col("rv"), "np": F.col("np"), "dr": F.col("dr"),
+    }
+    merged = rec.join(texts, on, "left").select(*[(F.col(c) if c in sig else new[c] if c in new else F.col(f"_lead.{c}")).alias(c) for c in cols], "root", "n_merged")
+    out = single.select(*cols, "root", "n_merged").unionByName(merged).withColumn("dr", F.when((F.col("rv") > 0) & (F.col("rv") < F.col("fm")), 1).otherwise(F.coalesce("dr", F.lit(0))).cast("int"))
+    codes = _letters(out, key)
+    return out, codes.select(*key, "base_pos", F.substring(F.lit("ACGTN"), F.col("code"), F.lit(1)).alias("base"), "fa", "pv", "qual")
+
+
+def _letters(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, base_pos (reference order), code (1..5 for A C G T N), fa, pv, qual: one row a letter; fa and pv are read from the end on the reverse strand."""
+    e = rows.select(*keep, "flag", "seq", "qual", "fa", "pv", F.explode(F.sequence(F.lit(0), F.length("seq") - 1)).alias("base_pos")).where(F.length("seq") > 0)
+    at = F.when(any_of(F.col("flag"), REVERSE), F.length("seq") - 1 - F.col("base_pos")).otherwise(F.col("base_pos"))
+    code = F.instr(F.lit("ACGTN"), F.upper(F.substring("seq", F.col("base_pos") + 1, F.lit(1))))
+    return e.select(*keep, "base_pos", F.when(code > 0, code).otherwise(5).alias("code"), F.get("fa", at).alias("fa"), F.get("pv", at).alias("pv"), (F.ascii(F.substring("qual", F.col("base_pos") + 1, F.lit(1))) - 33).alias("qual"))
 
 
 def route(aln: DataFrame, *, route_supplementary: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(kept alignments, reads to realign as name, mate, seq, qual in sequencing order): merged records are to be realigned."""
-    out = F.col("nc").isNotNull()
+    """(kept alignments, reads to realign as name, mate, sp, seq, qual in sequencing order): merged records (nc not null) are to be realigned.
+
+    ``route_supplementary``: also those that have supplementary alignments themselves or by their mate (sp 1). The reads
+    are laid out by name with mate 1 first, so each written part holds whole pairs in order.
+    """
+    split = F.lit(False)
     if route_supplementary:
-        out = out | F.col("sa").isNotNull() | F.col("mate_sa").isNotNull()
+        split = F.col("sa").isNotNull() | F.col("mate_sa").isNotNull()
+    out = F.col("nc").isNotNull() | split
     rev = any_of(F.col("flag"), REVERSE)
-    again = aln.where(out).select(F.col("qname").alias("name"), F.when(any_of(F.col("flag"), READ2), 2).otherwise(1).alias("mate"), F.when(rev, revcomp(F.col("seq"))).otherwise(F.col("seq")).alias("seq"), F.when(rev, F.reverse("qual")).otherwise(F.col("qual")).alias("qual"))
-    return aln.where(~out), again
+    again = aln.where(out).select(F.col("qname").alias("name"), F.when(any_of(F.col("flag"), READ2), 2).otherwise(1).alias("mate"), split.cast("int").alias("sp"), F.when(rev, revcomp(F.col("seq"))).otherwise(F.col("seq")).alias("seq"), F.when(rev, F.reverse("qual")).otherwise(F.col("qual")).alias("qual"))
+    return aln.where(~out), again.repartition("name").sortWithinPartitions("name", "mate")
 
 
 def orphans(aln: DataFrame) -> DataFrame:

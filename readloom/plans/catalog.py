@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from readloom.functions.flags import REVERSE, any_of
 from readloom.functions.seq import base_code, canonical_barcode, homing_trim, homopolymer_fail, revcomp
 from readloom.operators import barcodes, collapse, depth, errors, intervals, pileup, reads, rescue
-from readloom.plans import problems
+from readloom.plans import problems, views
 from readloom.plans.views import alignments, bed, reads_once, reference, variants, with_
 from readloom.session import table
 
@@ -355,6 +355,39 @@ def depth_hist_cumulative(spark: SparkSession, d: str) -> DataFrame:
     return depth.depth_histogram(_aln(spark, d), bed(spark, d), min_mapq=6).select("depth", "n_bases", *_r6("pct_bases"))
 
 
+_sdepth = with_("aln", "bed", extra=f"""
+z AS (SELECT region_id, contig, unnest(range(start_pos, end_pos)) AS p, s FROM bed, (SELECT DISTINCT 'lib' || (fp + 0) AS s FROM aln)),
+e AS (SELECT contig, fm, 'lib' || fp AS s, unnest(range(pos, endpos)) AS p FROM aln WHERE {_gate}),
+pd AS (SELECT contig, p, s, count(*) AS collapsed, sum(fm) AS raw, count(*) FILTER (fm = 1) AS singleton FROM e GROUP BY ALL),
+f AS (SELECT region_id, s AS sample, p, CAST(coalesce(collapsed, 0) AS BIGINT) AS collapsed, CAST(coalesce(raw, 0) AS BIGINT) AS raw, CAST(coalesce(singleton, 0) AS BIGINT) AS singleton FROM z LEFT JOIN pd USING (contig, p, s))""")
+
+
+def _sampled(spark: SparkSession, d: str) -> DataFrame:
+    return _aln(spark, d).withColumn("sample", F.concat(F.lit("lib"), F.col("fp").cast("string")))
+
+
+@query("depth_region_samples", _sdepth + "SELECT region_id, sample, count(*) AS region_len, " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}_total, round(avg({c}), 6) AS {c}_mean, round(stddev_samp({c}), 6) AS {c}_stdev" for c in ("collapsed", "raw", "singleton")) + " FROM f GROUP BY region_id, sample")
+def depth_region_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Coverage of the regions by sample."""
+    r = depth.region_depth(_sampled(spark, d), bed(spark, d), min_mapq=6, sample="sample")
+    return r.select("region_id", "sample", "region_len", *[x for c in ("collapsed", "raw", "singleton") for x in (F.col(f"{c}_total"), *_r6(f"{c}_mean", f"{c}_stdev"))])
+
+
+@query("depth_hist_samples", _sdepth + """, h AS (SELECT sample, collapsed AS depth, count(*) AS n FROM f WHERE collapsed > 0 GROUP BY 1, 2),
+k AS (SELECT d.depth, m.sample, coalesce(h.n, 0) AS n FROM (SELECT DISTINCT depth FROM h) d CROSS JOIN (SELECT DISTINCT sample FROM f) m LEFT JOIN h ON h.depth = d.depth AND h.sample = m.sample)
+SELECT sample, depth, CAST(sum(n) OVER (PARTITION BY sample ORDER BY depth DESC) AS BIGINT) AS n_bases, round(100.0 * sum(n) OVER (PARTITION BY sample ORDER BY depth DESC) / sum(n) OVER (PARTITION BY sample), 6) AS pct_bases FROM k""")
+def depth_hist_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Bases covered to at least each depth, for the depths of all samples."""
+    return depth.depth_histogram(_sampled(spark, d), bed(spark, d), min_mapq=6, sample="sample").select("sample", "depth", "n_bases", *_r6("pct_bases"))
+
+
+@query("depth_named_regions", _depth + ", r AS (SELECT region_id, avg(collapsed) AS c, avg(raw) AS w, avg(singleton) AS s FROM f GROUP BY region_id) SELECT count(*) AS n_regions, round(avg(c), 6) AS mean_collapsed, round(avg(w), 6) AS mean_raw, round(avg(s), 6) AS mean_singleton FROM r JOIN nation ON n_nationkey = region_id WHERE n_name LIKE 'I%'")
+def depth_named_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Mean coverage of the regions of one name."""
+    r = bed(spark, d)
+    return depth.named_mean_depth(depth.region_depth(_aln(spark, d), r, min_mapq=6), r, "I").select("n_regions", *_r6("mean_collapsed", "mean_raw", "mean_singleton"))
+
+
 @query("capture_summary", _depth + "SELECT round(avg(collapsed), 6) AS mean_collapsed, round(avg(raw), 6) AS mean_raw, round(avg(singleton), 6) AS mean_singleton, round(100 * avg(singleton) / avg(raw), 6) AS pct_singleton_raw, round(100 * avg(singleton) / avg(collapsed), 6) AS pct_singleton_collapsed FROM f")
 def capture_summary(spark: SparkSession, d: str) -> DataFrame:
     """Mean coverage of the whole capture."""
@@ -445,43 +478,97 @@ def err_by_region(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- rescue
 
-_sig = ["contig", "pos", "second"]
+def _stacked(spark: SparkSession, d: str) -> tuple[DataFrame, list[str]]:
+    """Alignments with the full signature of a pair: the mate lies 100 positions behind, on the other strand."""
+    a = alignments(spark, d).withColumns({"nc": F.lit(None).cast("int"), "mate_contig": F.col("contig"), "mate_pos": F.col("pos") + 100, "lm": F.col("len")})
+    return rescue.with_signature(a)
 
 
-def _stacked(spark: SparkSession, d: str) -> DataFrame:
-    return alignments(spark, d).where(~any_of(F.col("flag"), 2304)).withColumn("second", any_of(F.col("flag"), 128)).withColumn("nc", F.lit(None).cast("int"))
+_K = "contig, pos, rev, len, second"
+_on = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in _K.split(", "))
+_stack = with_("aln", extra=f"s AS (SELECT contig, pos, is_rev AS rev, len, (flag & 128) <> 0 AS second, barcode, fm, rv, np, read_id, shape FROM aln WHERE (flag & 2304) = 0), n AS (SELECT DISTINCT {_K}, barcode FROM s)")
+_pairs = f"SELECT {', '.join('a.' + c for c in _K.split(', '))}, a.barcode, min(b.barcode) AS parent FROM n a JOIN n b ON {_on('a', 'b')} AND a.barcode < b.barcode AND hamming(a.barcode, b.barcode) <= 2 GROUP BY ALL"
 
 
-_stack = with_("aln", extra="s AS (SELECT contig, pos, (flag & 128) <> 0 AS second, barcode, fm, rv, np, read_id FROM aln WHERE (flag & 2304) = 0), n AS (SELECT DISTINCT contig, pos, second, barcode FROM s)")
-_pairs = "SELECT a.contig, a.pos, a.second, a.barcode, min(b.barcode) AS parent FROM n a JOIN n b ON a.contig = b.contig AND a.pos = b.pos AND a.second = b.second AND a.barcode < b.barcode AND hamming(a.barcode, b.barcode) <= 1 GROUP BY ALL"
+def _sig_out(df: DataFrame) -> DataFrame:
+    return df.withColumnsRenamed({"sig_0": "contig", "sig_1": "pos", "sig_2": "rev", "sig_3": "len", "sig_4": "second"})
+
+
+def _rescued(spark: SparkSession, d: str, **kw) -> tuple[DataFrame, DataFrame]:
+    a, sig = _stacked(spark, d)
+    return rescue.rescue(a, sig, **kw)
 
 
 @query("rescue_pairs", _stack + _pairs)
 def rescue_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Barcodes of a stack with the barcode that each is merged into."""
-    return rescue.rescue_parents(_stacked(spark, d), _sig, "barcode", mismatch_limit=1)
+    a, sig = _stacked(spark, d)
+    return _sig_out(rescue.rescue_parents(a.where(~any_of(F.col("flag"), 2304)), sig, "barcode")).select("contig", "pos", "rev", "len", "second", "barcode", "parent")
 
 
-_roots = _stack.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + f", par AS ({_pairs}), w AS (SELECT contig, pos, second, barcode, barcode AS last_name FROM n UNION ALL SELECT w.contig, w.pos, w.second, w.barcode, par.parent FROM w JOIN par ON par.contig = w.contig AND par.pos = w.pos AND par.second = w.second AND par.barcode = w.last_name), root AS (SELECT contig, pos, second, barcode, max(last_name) AS root FROM w GROUP BY ALL) "
+_up = " AND ".join(f"par.{c} = w.{c}" for c in _K.split(", "))
+_roots = _stack.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + f", par AS ({_pairs}), w AS (SELECT {_K}, barcode, barcode AS last_name FROM n UNION ALL SELECT {', '.join('w.' + c for c in _K.split(', '))}, w.barcode, par.parent FROM w JOIN par ON {_up} AND par.barcode = w.last_name), root AS (SELECT {_K}, barcode, max(last_name) AS root FROM w GROUP BY ALL) "
 
 
-@query("rescue_records", _roots + "SELECT contig, pos, second, root, count(*) AS n_merged, CAST(sum(fm) AS BIGINT) AS fm, CAST(sum(rv) AS BIGINT) AS rv, CAST(sum(np) AS BIGINT) AS np, CASE WHEN sum(rv) > 0 AND sum(rv) < sum(fm) THEN 1 ELSE 0 END AS dr FROM s JOIN root USING (contig, pos, second, barcode) GROUP BY ALL")
+@query("rescue_records", _roots + f"SELECT {_K}, root, count(*) AS n_merged, CAST(sum(fm) AS BIGINT) AS fm, CAST(sum(rv) AS BIGINT) AS rv_sum, CAST(sum(np) AS BIGINT) AS np, CASE WHEN sum(rv) > 0 AND sum(rv) < sum(fm) THEN 1 ELSE 0 END AS dr, arg_max(read_id, row(barcode, read_id)) AS read_id FROM s JOIN root USING ({_K}, barcode) GROUP BY {_K}, root")
 def rescue_records(spark: SparkSession, d: str) -> DataFrame:
-    """Merged records of every stack."""
-    return rescue.rescue(_stacked(spark, d), _sig, mismatch_limit=1)[0].select(*_sig, "root", "n_merged", "fm", "rv", "np", "dr")
+    """Merged records of every stack, with the record that leads each."""
+    rec = _rescued(spark, d)[0].withColumnRenamed("rv", "rv_sum").drop("contig", "pos", "len")
+    return _sig_out(rec).select("contig", "pos", "rev", "len", "second", "root", "n_merged", "fm", "rv_sum", "np", "dr", "read_id")
 
 
 @query("rescue_conservation", _stack + "SELECT CAST(sum(fm) AS BIGINT) AS fm, CAST(sum(rv) AS BIGINT) AS rv, count(*) AS n_reads FROM s")
 def rescue_conservation(spark: SparkSession, d: str) -> DataFrame:
     """Reads and family sizes in sum, which a rescue leaves as they are."""
-    return rescue.rescue(_stacked(spark, d), _sig, mismatch_limit=1)[0].agg(F.sum("fm").alias("fm"), F.sum("rv").alias("rv"), F.sum("n_merged").alias("n_reads"))
+    return _rescued(spark, d)[0].agg(F.sum("fm").alias("fm"), F.sum("rv").alias("rv"), F.sum("n_merged").alias("n_reads"))
+
 
+def _merged_sql(trust: bool, infer: bool = False) -> str:
+    """Every record's letters in reference order, merged by root."""
+    agree = "lo = hi" if trust else "lo = hi AND k = n"
+    root = f"{_stack}, root AS (SELECT {_K}, barcode, '*' AS root FROM n) " if infer else _roots
+    return root.rstrip() + f""", z AS (SELECT s.*, root, unnest(range(0, len)) AS i FROM s JOIN root USING ({_K}, barcode)),
+l AS (SELECT z.*, {views.LETTER.format(i='i')} AS base, {views.QUAL.format(i='i')} AS q, {views.PV.format(i='i')} AS p, {views.FA.format(i='i')} AS f FROM (SELECT *, rev AS is_rev FROM z) z),
+g AS (SELECT {_K}, root, i, count(*) AS n, CAST(count(*) FILTER (base <> 'N') AS INT) AS k, min(base) FILTER (base <> 'N') AS lo, max(base) FILTER (base <> 'N') AS hi, sum(f) FILTER (base <> 'N') AS f, sum(p) FILTER (base <> 'N') AS p, max(q) FILTER (base <> 'N') AS q, max(base) AS b1, max(f) AS f1, max(p) AS p1, max(q) AS q1 FROM l GROUP BY ALL),
+h AS (SELECT *, CASE WHEN k = 1 THEN p ELSE {_pv('k', 'p')} END AS pm FROM g),
+o AS (SELECT *, coalesce({agree} AND pm > 2, false) AS ok FROM h),
+r AS (SELECT {_K}, root, i, n, k, ok, CASE WHEN n = 1 THEN b1 WHEN ok THEN lo ELSE 'N' END AS base, CASE WHEN n = 1 THEN f1 WHEN ok THEN f ELSE 0 END AS fa, CASE WHEN n = 1 THEN p1 WHEN ok THEN pm ELSE 0 END AS pv, CASE WHEN n = 1 THEN q1 WHEN ok THEN q ELSE 2 END AS qual FROM o) """
 
-@query("rescue_bases")
+
+_base_sums = "SELECT base, i AS base_pos, count(*) AS n, CAST(sum(fa) AS BIGINT) AS fa, CAST(sum(pv) AS BIGINT) AS pv, CAST(sum(qual) AS BIGINT) AS qual FROM r GROUP BY base, i"
+
+
+def _sum_bases(b: DataFrame) -> DataFrame:
+    return b.groupBy("base", "base_pos").agg(F.count("*").alias("n"), F.sum("fa").cast("bigint").alias("fa"), F.sum("pv").cast("bigint").alias("pv"), F.sum("qual").cast("bigint").alias("qual"))
+
+
+@query("rescue_bases", _merged_sql(False) + _base_sums)
 def rescue_bases(spark: SparkSession, d: str) -> DataFrame:
-    """Merged bases in sum by letter (tested against a model in Python)."""
-    b = rescue.rescue(_stacked(spark, d), _sig, mismatch_limit=1)[1]
-    return b.groupBy("base").agg(F.count("*").alias("n"), F.sum("fa").alias("fa"), F.sum("pv").alias("pv"), F.sum("qual").alias("qual"))
+    """Letters of the merged records by position in reference order, with sums of their statistics."""
+    return _sum_bases(_rescued(spark, d)[1])
+
+
+@query("rescue_trusting", _merged_sql(True) + _base_sums)
+def rescue_trusting(spark: SparkSession, d: str) -> DataFrame:
+    """The same where N members don't count against a letter."""
+    return _sum_bases(_rescued(spark, d, trust_unmasked=True)[1])
+
+
+@query("rescue_infer", _merged_sql(False, True) + _base_sums)
+def rescue_infer(spark: SparkSession, d: str) -> DataFrame:
+    """The same without barcodes: every stack is one molecule."""
+    return _sum_bases(_rescued(spark, d, infer=True)[1])
+
+
+@query("rescue_realign", _merged_sql(True) + f"""
+SELECT CAST(count(*) FILTER (i = 0) AS BIGINT) AS n_reads, CAST(sum(CASE WHEN ok AND k < n THEN 1 ELSE 0 END) AS BIGINT) AS nc_sum, CAST(count(*) AS BIGINT) AS n_letters, CAST(count(*) FILTER ((CASE WHEN rev THEN CASE base WHEN 'A' THEN 'T' WHEN 'C' THEN 'G' WHEN 'G' THEN 'C' WHEN 'T' THEN 'A' ELSE 'N' END ELSE base END) = 'A') AS BIGINT) AS n_a FROM r WHERE n > 1""")
+def rescue_realign(spark: SparkSession, d: str) -> DataFrame:
+    """Merged records on their way to realignment: reads, letters and letters gained from N members."""
+    rec = _rescued(spark, d, trust_unmasked=True)[0].withColumn("sa", F.lit(None).cast("string"))
+    again = rescue.route(rec)[1]
+    n = F.length("seq").cast("bigint")
+    sums = again.agg(F.count("*").alias("n_reads"), F.sum(n).alias("n_letters"), F.sum(n - F.length(F.replace("seq", F.lit("A"), F.lit("")))).alias("n_a"))
+    return sums.crossJoin(rec.agg(F.sum("nc").alias("nc_sum"))).select("n_reads", "nc_sum", "n_letters", "n_a")  # one row each
 
 
 @query("route_supplementary", with_("aln", extra="b AS (SELECT read_id, qname, flag, is_rev, i, " + "CASE WHEN (read_id * 7 + i * 5) % 41 = 0 THEN 'N' ELSE 'x' END AS c FROM (SELECT *, unnest(range(0, len)) AS i FROM aln))") + "SELECT qname AS name, CASE WHEN (flag & 128) <> 0 THEN 2 ELSE 1 END AS mate, count(*) AS len, count(*) FILTER (c = 'N') AS n_ambiguous FROM b WHERE (flag & 2048) <> 0 GROUP BY 1, 2")

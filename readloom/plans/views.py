@@ -49,6 +49,10 @@ _pv = "cast(2 + (read_id * 13 + {i} * 5) % 40 + 10 * fm AS int)"
 _fa = "cast(greatest(1, fm - (read_id + {i}) % 2) AS int)"
 
 
+#: Letter, quality, pv and fa of a read at its letter {i} in reference order, for SQL twins.
+LETTER, QUAL, PV, FA = _letter, _q, _pv, _fa
+
+
 def _cols(cols: list[tuple[str, str]], **kw) -> str:
     return ", ".join(f"{e.format(**kw) if kw else e} AS {n}" for n, e in cols)
 

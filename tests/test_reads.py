@@ -117,6 +117,44 @@ def test_rescue_chains_and_conservation(spark):
     assert rescue.rescue(a, ["contig", "pos"], infer=True)[0].count() == 3
 
 
+def test_rescue_reads_tags_in_sequencing_order_and_keeps_nameless_reads(spark):
+    back = {"flag": 16, "fa": [1, 2, 3, 4], "pv": [11, 12, 13, 14], "seq": "ACGT"}
+    a = aln(spark, {**back, "barcode": "AAAA"}, {**back, "barcode": "AAAC", "fm": 3}, {**back, "barcode": "TTTT", "pos": 70}, {"barcode": None, "fm": 5}, {"barcode": None, "fm": 7})
+    a, sig = rescue.with_signature(a, single_end=True)
+    rec, bases = rescue.rescue(a, sig, mismatch_limit=1)
+    rows = {r.root: r for r in rec.collect()}
+    assert rec.agg(F.sum("fm")).first()[0] == a.agg(F.sum("fm")).first()[0] and len(rows) == 4
+    assert rows["AAAC"].fa == [2, 4, 6, 8] and rows["AAAC"].n_merged == 2 and rows["AAAC"].nc == 0 and rows["TTTT"].nc is None
+    by = {(r.root, r.base_pos): (r.base, r.fa) for r in bases.collect()}
+    assert [by["TTTT", i] for i in range(4)] == [("A", 4), ("C", 3), ("G", 2), ("T", 1)]  # by reference position
+    assert [by["AAAC", i] for i in range(4)] == [("A", 8), ("C", 6), ("G", 4), ("T", 2)]
+    again = rescue.route(rec.withColumn("qname", F.col("root")))[1].collect()
+    assert [(r.name, r.seq) for r in again] == [("AAAC", "ACGT")]  # its own reverse complement
+
+
+def test_three_records_of_a_name_meet(spark):
+    a = aln(spark, {"fm": 1}, {"flag": 131, "fm": 2}, {"flag": 147, "fm": 4, "seq": "ACNT"})
+    o = {r.ref_pos: (r.base, r.fm, r.fa, r.overlap) for r in pileup.observations(a).collect()}
+    assert o[10] == ("A", 7, 3, 1) and o[12] == ("G", 7, 2, 1)
+
+
+def test_depth_of_several_samples(spark):
+    a = aln(spark, {}, {"pos": 12, "endpos": 16}, {"fm": 4}).withColumn("s", F.when(F.col("fm") > 1, "x").otherwise("y"))
+    r = regions(spark, (1, "1", 8, 18), (2, "1", 500, 505))
+    got = {(x.region_id, x.s): (x.region_len, x.collapsed_total, x.raw_total) for x in depth.region_depth(a, r, sample="s").collect()}
+    assert got == {(1, "x"): (10, 4, 16), (1, "y"): (10, 8, 8), (2, "x"): (5, 0, 0), (2, "y"): (5, 0, 0)}
+    h = {(x.s, x.depth): x.n_bases for x in depth.depth_histogram(a, r, sample="s", include_zero=True).collect()}
+    assert h == {("x", 0): 15, ("x", 1): 4, ("x", 2): 0, ("y", 0): 15, ("y", 1): 6, ("y", 2): 2}
+
+
+def test_long_rows_meet_regions_by_wide_bins(spark):
+    a = aln(spark, {"pos": 5, "endpos": 10}, {"pos": 100_000, "endpos": 900_000}, {"pos": 1, "endpos": 2, "contig": "2"}, {"contig": None}, {"pos": 5, "endpos": 2_000_000_000})
+    r = regions(spark, (1, "1", 9, 11), (2, "1", 700_000, 700_001), (3, "1", 1_999_999_999, 2_000_000_001))
+    assert {x.read_id for x in intervals.overlaps(a, r).collect()} == {0, 1, 4}
+    assert {x.read_id for x in intervals.overlaps(a, r, how="left_anti").collect()} == {2, 3}
+    assert {(x.read_id, x.hit) for x in intervals.overlap_flag(a, r, "hit").collect()} == {(0, True), (1, True), (2, False), (3, False), (4, True)}
+
+
 def test_rescue_of_two_is_the_pairwise_merge(spark):
     a = aln(spark, {"barcode": "AAAA", "pv": [67] * 4, "fa": [2] * 4}, {"barcode": "AAAC"})
     b = rescue.rescue(a, ["contig", "pos"])[1].collect()
