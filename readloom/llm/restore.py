@@ -25,6 +25,18 @@ GLUE = "_.-/\\,:·"
 RULE, LONG = 25, 200
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+class _Index(dict):
+    """Number of a letter in the model, 1..26: letters with marks count as their base; 0 for letters of other alphabets."""
+
+    def __missing__(self, c: str) -> int:
+        base = unicodedata.normalize("NFD", c)[0]
+        n = self[c] = ord(base) - 96 if "a" <= base <= "z" else 0
+        return n
+
+
+INDEX = _Index()
 #: 0 is the border of a word, 1..26 the letters.
 SIZE = 27
 ORDER = 4
@@ -32,16 +44,19 @@ ORDER = 4
 PIECE, STRANGE, NEAR = 5, 11.5, 2
 #: Prices of leaving out a blank between pieces and between single signs, and of a border where there is no blank.
 JOIN, JOIN_ONE, BREAK = 4.0, 0.0, 8.0
+#: Contexts beyond which a lattice is walked in arrays.
+MANY = 700
 
-_tag = re.compile(r"<[^<>\n]{0,200}>|\[/?[a-zA-Z]{1,10}(?:=[^\]\n]{0,200})?\]")
-_break = re.compile(r"<(?:br|/?blockquote|/?p|/?div|/?li)\s*/?>|\[/?quote[^\]]{0,200}\]", re.I)
+_tag = re.compile(r"<[^<>\n]{0,3}>|</?[a-zA-Z!][^<>\n]*>|\[/?[a-zA-Z]{1,10}(?:=[^\]\n]*)?\]")
+_hidden = re.compile("[" + "".join(map(chr, HIDDEN)) + "]")
+_break = re.compile(r"<(?:br|/?blockquote|/?p|/?div|/?li)\s*/?>|\[/?quote[^\]\n]*\]", re.I)
 _url = re.compile(r"(?:https?://|www\.)\S+")
 _mention = re.compile(r"(?<!\w)@[\w][\w.\-]*")
 _spaced = re.compile(r"(?<!\w)(?:[^\W\d_][ ]){2,}[^\W\d_](?!\w)")
 #: Neighbouring short tokens of a line, between which blanks may be no borders of words.
 _run = re.compile(r"(?<!\S)(?:\S{1,8}[ \t]{1,3})+\S{1,8}(?!\S)")
-_parts = re.compile(r"(\W*?)([a-z0-9$@!|+€£(¡*#%?•]*)([.,:;'\")\]}>?!]*)")
-_latin = re.compile("[a-z]")
+_parts = re.compile(r"(\W*?)((?:[^\W_]|[$@!|+€£(¡*#%?•])*)([.,:;'\")\]}>?!]*)")
+_latin = re.compile(r"[^\W\d_]")
 _foreign = re.compile(r"[^\W\d_]*[^\W\d_\x00-\x7f][^\W\d_]*")
 
 
@@ -50,7 +65,10 @@ def clean(text: str) -> str:
     t = html.unescape(text)
     if "&" in t:
         t = html.unescape(t)
-    t = _tag.sub("", _break.sub("\n", t)).translate(HIDDEN)
+    if "<" in t or "[" in t:
+        t = _tag.sub("", _break.sub("\n", t))
+    if not t.isascii():
+        t = _hidden.sub("", t)
     t = unicodedata.normalize("NFKC", t).lower()
     t = _mention.sub("@", _url.sub(" ", t))
     if not t.isascii():
@@ -105,8 +123,10 @@ class Restorer:
 
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
+        self.array = np.ascontiguousarray(model.reshape(SIZE**3, SIZE))
         self.known: dict[str, str] = {}
         self.pieces: dict[str, tuple[str, str, str, bool]] = {}
+        self.runs: dict[str, str] = {}
 
     def __call__(self, chunk: str) -> str:
         got = self.known.get(chunk)
@@ -130,7 +150,7 @@ class Restorer:
                 core, after = (x := core.rstrip("!?|")), core[len(x) :] + after
             if len(core) == 0 and len(token) == 1 and token in LEET | dict.fromkeys(WILD):
                 before, core, after = "", token, ""
-            if len(core) > PIECE or len(core) > 1 and 2 * sum(c in LETTERS for c in core) < len(core) or core and not self._plain(core):
+            if len(core) > PIECE or len(core) > 1 and 2 * sum(map(str.isalpha, core)) < len(core) or core and not self._plain(core):
                 core = ""
             strange = bool(core) and (core not in "ai" if len(core) == 1 else self._best(self._plain(core))[0] > STRANGE)
             got = self.pieces[token] = (before, core, after, strange)
@@ -150,10 +170,13 @@ class Restorer:
         return _run.sub(lambda m: self._respace(m.group(0)), text)
 
     def _respace(self, run: str) -> str:
-        tokens = run.split()
-        p = [self._piece(t) for t in tokens]
-        if not any(x[3] for x in p):
+        tokens, pieces = run.split(), self.pieces
+        for t in tokens:
+            if (pieces.get(t) or self._piece(t))[3]:
+                break
+        else:
             return run
+        p = [self._piece(t) for t in tokens]
         n = len(p)
         ok = [bool(x[1]) for x in p]
         i = 0
@@ -161,10 +184,10 @@ class Restorer:
             k = i
             while k < n and len(p[k][1]) == 1 and (k == i or not p[k - 1][2] and not p[k][0]):
                 k += 1
-            letters = sum(x[1] in LETTERS for x in p[i:k])
+            letters = sum(x[1].isalpha() for x in p[i:k])
             if k - i < 3 or 2 * letters < k - i or letters < 3 and any(x[1].isdigit() for x in p[i:k]):
                 for j in range(i, k):
-                    ok[j] = p[j][1] in LETTERS
+                    ok[j] = p[j][1].isalpha()
             i = max(k, i + 1)
         near = [False] * n
         for i in range(n):
@@ -186,21 +209,31 @@ class Restorer:
                 out.append(tokens[i])
                 i += 1
                 continue
-            lattice: list[list[tuple[str, float]]] = []
-            for j in range(i, k):
-                if j > i:
-                    one = len(p[j][1]) == 1 and len(p[j - 1][1]) == 1
-                    lattice.append([(" ", 0.0), ("", JOIN_ONE if one else JOIN)])
-                for at, choice in enumerate(self._plain(p[j][1])):
-                    if at:
-                        lattice.append([("", 0.0), (" ", BREAK)])
-                    lattice.append(choice)
-            got = self._best(lattice)[1]
-            same = got == " ".join(x[1] for x in p[i:k])
+            plain = " ".join([x[1] for x in p[i:k]])
+            got = self.runs.get(plain)
+            if got is None:
+                if len(self.runs) > 300_000:
+                    self.runs.clear()
+                got = self._joined([x[1] for x in p[i:k]])
+                if len(plain) <= LONG:
+                    self.runs[plain] = got
+            same = got == plain
             out += tokens[i:k] if same else [p[i][0] + got.strip() + p[k - 1][2]]
             i = k
         return " ".join(out)
 
+    def _joined(self, pieces: list[str]) -> str:
+        """Pieces with every blank between them as an option."""
+        lattice: list[list[tuple[str, float]]] = []
+        for j, piece in enumerate(pieces):
+            if j:
+                lattice.append([(" ", 0.0), ("", JOIN_ONE if len(piece) == 1 and len(pieces[j - 1]) == 1 else JOIN)])
+            for at, choice in enumerate(self._plain(piece)):
+                if at:
+                    lattice.append([("", 0.0), (" ", BREAK)])
+                lattice.append(choice)
+        return self._best(lattice)[1]
+
     def _options(self, s: str) -> list[list[tuple[str, float]]]:
         out, i = [], 0
         while i < len(s):
@@ -209,7 +242,7 @@ class Restorer:
             while r < len(s) and s[r] == c:
                 r += 1
             n = r - i
-            if c in LETTERS:
+            if c.isalpha():
                 out.append([(c, 0.0)] if n == 1 else [(c * 2, 0.0), (c, 1.5)] if n == 2 else [(c, 0.0), (c * 2, 0.7)])
                 i = r
                 continue
@@ -234,45 +267,97 @@ class Restorer:
         return out
 
     def _decode(self, chunk: str) -> str:
-        lead = len(chunk) - len(chunk.lstrip(".,:;'\"()[]{}<>-_~`!?¡¿*#|/\\"))
-        core = chunk[lead:]
+        core = chunk.lstrip(".,:;'\"()[]{}<>-_~`!?¡¿*#|/\\")
+        lead = chunk[: len(chunk) - len(core)]
+        lead = lead[len(lead.rstrip("*|!")) :]
         # a sign at the end may stand for a letter or be punctuation: punctuation wins unless it is a typical stand-in
-        core = core.rstrip(".,:;'\"()[]{}<>-_~`!?|/\\")
-        if not _latin.search(core) or not _odd.search(core):
+        core, tail = core.rstrip(".,:;'\"()[]{}<>-_~`!?|/\\"), chunk[-1:]
+        if not _latin.search(core) or not (_odd.search(core) or lead):
             return core
         opts = self._options(core)
         if not opts:
             return core
+        if lead and len(lead) <= 2 and tail not in "*|!":  # a masked first letter, unless the word is framed by signs
+            first = [[(x, 1.0) for x in (LETTERS if c == "*" else LEET[c])] + [("", 3.0)] for c in lead]
+            opts = [*first, *opts]
         return self._best(opts)[1]
 
     def _best(self, opts: list[list[tuple[str, float]]]) -> tuple[float, str]:
-        """The cheapest way through a lattice, and its cost; a blank is the border of a word."""
+        """The cheapest way through a lattice, and its cost; a blank is the border of a word.
+
+        All contexts are kept: in a table while there are few, in an array of all 27 ** 3 where wildcards make many.
+        """
         m, beam = self.model, {(0, 0, 0): (0.0, None)}  # a text is kept as its last piece and the text before, so that long tokens cost no more a letter
-        for choice in opts:
+        for at, choice in enumerate(opts):
             nxt: dict = {}
             for (a, b, c), (cost, before) in beam.items():
                 for piece, price in choice:
                     x, y, z, v = a, b, c, cost + price
                     for ch in piece:
-                        if ch == " ":
+                        k = 0 if ch == " " else INDEX[ch]
+                        if not k:  # a border; a letter of another alphabet is one too
                             if z:  # one border, however many blanks
                                 v -= m[x][y][z][0]
                             x = y = z = 0
                             continue
-                        k = ord(ch) - 96
                         v -= m[x][y][z][k]
                         x, y, z = y, z, k
                     old = nxt.get((x, y, z))
                     if old is None or v < old[0]:
                         nxt[(x, y, z)] = (v, (before, piece))
-            beam = nxt if len(nxt) <= 400 else dict(sorted(nxt.items(), key=lambda e: e[1][0])[:400])
+            beam = nxt
+            if len(beam) > MANY:
+                return self._best_dense(beam, opts[at + 1 :])
         cost, last = min(((v - m[a][b][c][0] if c else v, last) for (a, b, c), (v, last) in beam.items()), key=lambda e: e[0])
-        pieces = []
-        while last:
-            last, piece = last
-            pieces.append(piece)
-        return cost, "".join(reversed(pieces))
+        return cost, _spell(last)
+
+    def _best_dense(self, beam: dict, opts: list[list[tuple[str, float]]]) -> tuple[float, str]:
+        """The rest of :meth:`_best` over arrays of all contexts."""
+        inf, n = np.float32(np.inf), SIZE**3
+        cost = np.full(n, inf, np.float32)
+        for (a, b, c), (v, _) in beam.items():
+            cost[(a * SIZE + b) * SIZE + c] = v
+        m, every = self.array, np.arange(n)
+        ends = np.where(every % SIZE > 0, -m[:, 0], 0).astype(np.float32)
+        steps = []
+        for choice in opts:
+            new, back, used = np.full(n, inf, np.float32), np.zeros(n, np.int32), np.zeros(n, np.int16)
+            for o, (piece, price) in enumerate(choice):
+                got, came = cost + np.float32(price), every
+                for ch in piece:
+                    k = 0 if ch == " " else INDEX[ch]
+                    if not k:
+                        whole = got + ends
+                        best = int(whole.argmin())
+                        got, was = np.full(n, inf, np.float32), came
+                        got[0], came = whole[best], np.full(n, was[best], np.int32)
+                        continue
+                    v = (got - m[:, k]).reshape(SIZE, SIZE * SIZE)
+                    a = v.argmin(0)
+                    to = np.arange(SIZE * SIZE) * SIZE + k
+                    nxt, from_ = np.full(n, inf, np.float32), np.zeros(n, np.int32)
+                    nxt[to], from_[to] = v[a, np.arange(SIZE * SIZE)], came[a * SIZE * SIZE + np.arange(SIZE * SIZE)]
+                    got, came = nxt, from_
+                better = got < new
+                new, back, used = np.where(better, got, new), np.where(better, came, back), np.where(better, o, used)
+            steps.append((back, used))
+            cost = new
+        total = cost + ends
+        s = int(total.argmin())
+        best, pieces = float(total[s]), []
+        for choice, (back, used) in zip(reversed(opts), reversed(steps)):
+            pieces.append(choice[used[s]][0])
+            s = int(back[s])
+        return best, _spell(beam[(s // (SIZE * SIZE), s // SIZE % SIZE, s % SIZE)][1]) + "".join(reversed(pieces))
+
+
+def _spell(last) -> str:
+    pieces = []
+    while last:
+        last, piece = last
+        pieces.append(piece)
+    return "".join(reversed(pieces))
 
 
 #: What makes a word worth decoding: a sign or digit beside letters, or a letter three times in a row.
-_odd = re.compile(r"[a-z][^a-z\s]|[^a-z\s][a-z]|([a-z])\1\1")
+_odd = re.compile(r"[^\W\d_](?:[^\w\s]|[\d_])|(?:[^\w\s]|[\d_])[^\W\d_]|([^\W\d_])\1\1")

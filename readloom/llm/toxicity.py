@@ -11,13 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.restore import Restorer, clean, letter_model
+from readloom.llm.restore import LONG, Restorer, clean, letter_model
+from readloom.llm.setjoin import distinct
 from readloom.session import ship
 
 #: Judged documents that the classifier is fitted on at most (by hash of the id).
 MAX_LABELLED = 20_000
+#: Letters of a judged document beyond which it isn't used to fit.
+MAX_LETTERS = 20_000
 BITS = 19
-#: Words of one scored passage; longer sentences are scored in overlapping passages.
+#: A passage is a sentence of at most WINDOW + 4 words, or one of the windows of WINDOW words, half overlapping, of a longer one; a document
+#: is scored by its worst passage, so its length doesn't thin out what it says.
 WINDOW = 8
 ROUNDS, STEPS = 4, 30
 #: Strength of the pull of weights to 0, and judged documents that must hold a feature for it to count.
@@ -52,21 +56,32 @@ class Passages:
     def __init__(self, model: np.ndarray):
         self.restore = Restorer(model)
         self.keys: dict[str, int] = {}
+        self.chunks: dict[str, list[str]] = {}
 
     def words(self, sentence: str) -> list[str]:
-        out = []
+        out, known = [], self.chunks
         for chunk in sentence.split():
-            if chunk.startswith("@"):
-                out.append("@")
-                chunk = chunk[1:]
-                if not chunk:
-                    continue
-            if _wide.search(chunk):
-                for run in _wide.findall(chunk):
-                    out += [run[i : i + 2] for i in range(max(1, len(run) - 1))]
-                chunk = _wide.sub(" ", chunk)
-            for w in _word.findall(self.restore(chunk)):
-                out.append("0" if w.isdigit() else w)
+            got = known.get(chunk)
+            if got is None:
+                got = self._chunk(chunk)
+                if len(chunk) <= LONG:
+                    if len(known) > 300_000:
+                        known.clear()
+                    known[chunk] = got
+            out += got
+        return out
+
+    def _chunk(self, chunk: str) -> list[str]:
+        out = []
+        if chunk.startswith("@"):
+            out.append("@")
+            chunk = chunk[1:]
+        if _wide.search(chunk):
+            for run in _wide.findall(chunk):
+                out += [run[i : i + 2] for i in range(max(1, len(run) - 1))]
+            chunk = _wide.sub(" ", chunk)
+        if chunk:
+            out += ["0" if w.isdigit() else w for w in _word.findall(self.restore(chunk))]
         return out
 
     def of(self, text: str) -> list[list[str]]:
@@ -110,7 +125,7 @@ class Passages:
         o.append(owner[2:][near])
         f.append(np.zeros(int(bad.sum()), np.int64))
         o.append(owner[bad])
-        pair = np.unique(np.concatenate(o) << BITS | np.concatenate(f))
+        pair = distinct(np.concatenate(o) << BITS | np.concatenate(f))
         return pair & mask, pair >> BITS
 
 
@@ -182,17 +197,19 @@ class ToxicityModel:
         return out
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED, max_letters: int = MAX_LETTERS) -> ToxicityModel:
     """Fit on judged documents: ``docs`` (doc_id, text), ``labels`` (doc_id, rater, toxic 0/1/null, ...).
 
     The letter model counts all documents. Judgements: repeated rows count once, null judgements for nothing, a document's
-    target is the mean of its raters. At most ``max_labelled`` judged documents (chosen by a hash of the id) are used.
+    target is the mean of its raters. At most ``max_labelled`` judged documents (chosen by a hash of the id) of at most
+    ``max_letters`` letters are used to fit; that bounds what the driver holds. All documents are scored, whole.
     """
     ship(docs.sparkSession)
     letters = letter_model(docs, "text")
     mean = labels.where("toxic is not null").groupBy("doc_id", "rater").agg(F.avg("toxic").alias("t")).groupBy("doc_id").agg(F.avg("t").alias("y"), F.count("*").alias("k"))
     some = mean.orderBy(F.xxhash64("doc_id")).limit(max_labelled)  # the documented bound of the sample
-    rows = docs.select("doc_id", "text").join(some, "doc_id").orderBy("doc_id").select("text", "y", "k").collect()
+    short = docs.select("doc_id", "text").where(F.length("text") <= max_letters)
+    rows = short.join(F.broadcast(some), "doc_id").orderBy("doc_id").select("text", "y", "k").collect()  # some: at most max_labelled rows
     make, doc, passages, y = Passages(letters), [], [], []
     for text, t, _ in rows:
         got = make.of(text) if text else []

@@ -78,3 +78,31 @@ def test_long_tokens_are_decoded(spark):
     assert r("you_are_nothing_but_a_p4r4s1te/and_an_1d10t.with_b4d.people").split() == "you are nothing but a parasite and an idiot with bad people".split()
     assert r("1d10t_" * 5000 + "mor0n").split() == ["idiot"] * 5000 + ["moron"]
     assert r("id1ot" + "*" * 9000 + "m0ron").split() == ["idiot", "moron"]
+
+
+def test_letters_with_marks_and_masked_first_letters(spark):
+    words = "tu es un vrai cretin et un idiot stupid people bastard moron loser wichser " * 1000
+    r = Restorer(letter_model(spark.createDataFrame([(words,)], "text string"), "text"))
+    for disguised, plain in (("crét1n", "crétin"), ("wíchs3r", "wíchser"), ("ídi0t", "ídiot"), ("*diot", "idiot"), ("*tupid", "stupid"), ("*idiot*", "idiot"), ("**moron**", "moron"), ("дурак", "дурак"), ("m0ronд", "moronд")):
+        assert r(disguised) == plain
+    assert r.respace("vrai c r é t i n").split()[-1] in ("crétin", "cretin")
+
+
+def test_arrays_of_contexts_decode_like_the_table(spark, monkeypatch):
+    from readloom.llm import restore
+
+    r = spelling(spark)
+    rng = random.Random(7)
+    for _ in range(25):
+        word = rng.choice(["parasite", "idiot", "bastard", "stupid", "people"])
+        w = "".join(rng.choice("*_.0") + c if rng.random() < 0.2 else "*" if rng.random() < 0.35 else c for c in word)
+        opts = r._options("b" + w + "n")
+        monkeypatch.setattr(restore, "MANY", 1 << 20)
+        cost, text = r._best(opts)
+        monkeypatch.setattr(restore, "MANY", 3)
+        dense, other = r._best(opts)
+        assert abs(cost - dense) < 1e-3 and (text == other or abs(cost - dense) < 1e-3)
+
+
+def test_markup_of_any_length_goes():
+    assert tidy('a<a href="' + "x" * 5000 + '">b</a> [url=' + "y" * 3000 + "]c[/url] 1 < 2 [quote=z" + "w" * 400 + "]d").split() == ["ab", "c", "1", "<", "2", "d"]
