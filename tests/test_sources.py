@@ -1,4 +1,5 @@
 import gzip
+import random
 
 import pytest
 
@@ -8,9 +9,9 @@ FQ = "@r1 1:N:0:ACGT\nACGT\n+\nIIII\n@r2\nNN\n+\n##\n"
 
 
 def test_fastq_round_trip(spark, tmp_path):
-    (tmp_path / "a.fq").write_text(FQ)
-    (tmp_path / "b.fq.gz").write_bytes(gzip.compress((FQ + "@r3\nA\n+\nI\n").encode()))
-    a, b = fastq.read_fastq(spark, str(tmp_path / "a.fq")), fastq.read_fastq(spark, str(tmp_path / "b.fq.gz"))
+    (tmp_path / "x_R1.fq").write_text(FQ)
+    (tmp_path / "x_R2.fq.gz").write_bytes(gzip.compress((FQ + "@r3\nA\n+\nI\n").encode()))
+    a, b = fastq.read_fastq(spark, str(tmp_path / "x_R1.fq")), fastq.read_fastq(spark, str(tmp_path / "x_R2.fq.gz"))
     assert [(r.read_id, r.name, r.comment, r.seq, r.qual) for r in a.collect()] == [(0, "r1", "1:N:0:ACGT", "ACGT", "IIII"), (1, "r2", None, "NN", "##")]
     assert fastq.pair_reads(a, b).count() == 2
     assert [r.n for r in fastq.record_count(b).collect()] == [3]
@@ -22,10 +23,33 @@ def test_fastq_round_trip(spark, tmp_path):
 
 def test_broken_fastq_names_the_record(spark, tmp_path):
     (tmp_path / "x.fq").write_text("@a\nA\n+\nI\nb\nA\n+\nI\n")
-    with pytest.raises(Exception, match="record 1"):
+    with pytest.raises(Exception, match="no record at byte 9"):
         fastq.read_fastq(spark, str(tmp_path / "x.fq")).collect()
 
 
+def test_fastq_in_ranges_is_the_same_file(spark, tmp_path):
+    rng = random.Random(3)
+    text = "".join(f"@{'@' * rng.randrange(3)}n{i} c\n{'ACGT' * n}{'A' * m}\n+{'@x' * (i % 2)}\n{''.join(rng.choice('@+I#') for _ in range(4 * n + m))}\n" for i in range(400) for n, m in [(rng.randrange(1, 6), rng.randrange(4))])
+    (tmp_path / "a.fq").write_text(text)
+    (tmp_path / "packed").write_bytes(gzip.compress(text[:9000].rsplit("\n@", 1)[0].encode() + b"\n") * 2)  # members of a gzip stream, no suffix
+    whole = [tuple(r) for r in fastq.read_fastq(spark, str(tmp_path / "a.fq")).orderBy("read_id").collect()]
+    assert len(whole) == 400 and [r[1] for r in whole] == list(range(400))
+    for split in (97, 1000, 4096):
+        assert [tuple(r) for r in fastq.read_fastq(spark, str(tmp_path / "a.fq"), split=split).orderBy("read_id").collect()] == whole
+    n = fastq.read_fastq(spark, str(tmp_path / "packed")).count()
+    assert n > 100 and fastq.read_fastq(spark, str(tmp_path / "packed"), split=500).count() == n
+
+
+def test_lanes_are_paired_apart(spark, tmp_path):
+    rec = lambda n: "".join(f"@{n}{i}\nACGT\n+\nIIII\n" for i in range(3))
+    for name in ("s_L1_R1_001.fastq", "s_L1_R2_001.fastq", "s_L2_R1_001.fastq", "s_L2_R2_001.fastq"):
+        (tmp_path / name).write_text(rec(name[2:4]))
+    r1, r2 = (fastq.read_fastq(spark, str(tmp_path / f"*_R{m}_001.fastq")) for m in (1, 2))
+    p = fastq.pair_reads(r1, r2)
+    assert sorted((r.lane, r.read_id) for r in p.collect()) == [(f"s_{x}", i) for x in ("L1", "L2") for i in range(3)]
+    assert {r.read_id for r in fastq.as_mates(p)[0].collect()} == {f"s_{x}:{i}" for x in ("L1", "L2") for i in range(3)}
+
+
 def test_marked_comments(spark):
     df = spark.createDataFrame([("~#!#~|FP=0|BS=RACGT|RV=1",), (None,)], "comment string")
     got = [tuple(r)[1:] for r in fastq.parse_marked(df).collect()]
@@ -49,9 +73,16 @@ def test_sam_round_trip(spark, tmp_path):
     assert (q.pos, q.mate_contig, q.mate_pos, q.fm, q.pv, q.nf, q.aux) == (10, "1", 30, 3, [40, 41, 42, 43], 0.25, {"XX": "a:b"})
     assert got["u"].contig is None and got["u"].fm is None and got["u"].aux == {}
     assert sam.read_header(spark, str(tmp_path / "a.sam")).count() == 2
-    sam.write_sam(sam.read_sam(spark, str(tmp_path / "a.sam")), str(tmp_path / "o"))
+    head = sam.merged_header(spark, [str(tmp_path / "a.sam")], program="x")
+    sam.write_sam(sam.read_sam(spark, str(tmp_path / "a.sam")), str(tmp_path / "o"), header=head)
     again = {r.qname: r for r in sam.read_sam(spark, str(tmp_path / "o")).collect()}
-    assert again["q"].pv == q.pv and again["q"].pos == 10 and again["u"].seq is None
+    assert again["q"] == q and again["u"] == got["u"]
+    text = "".join(p.read_text() for p in sorted((tmp_path / "o").glob("[0p]*")))
+    assert text.splitlines()[:3] == ["@HD\tVN:1.6", "@SQ\tSN:1\tLN:99", "@PG\tID:x\tPN:x"] and line in text
+    (tmp_path / "b.sam").write_text("@SQ\tSN:1\tLN:98\nbroken\nq\tx\t1\t11\t60\t4M\t=\t31\t24\tACGT\tIIII\n" + line + "\tFM:i:many\n")
+    assert [r.fm for r in sam.read_sam(spark, str(tmp_path / "b.sam")).collect()] == [None] and sam.bad_sam_lines(spark, str(tmp_path / "b.sam")).count() == 2
+    with pytest.raises(ValueError, match="SQ 1"):
+        sam.merged_header(spark, [str(tmp_path / "a.sam"), str(tmp_path / "b.sam")], program="x")
 
 
 def test_vcf_round_trip(spark, tmp_path):
@@ -64,15 +95,49 @@ def test_vcf_round_trip(spark, tmp_path):
     assert sorted(r.pos for r in vcf.read_vcf(spark, str(tmp_path / "o")).collect()) == [0, 4]
 
 
+def test_calls_as_vcf(spark, tmp_path):
+    rows = [("1", 4, "A", True, True, 5, 1, 0.625, "t"), ("1", 4, "C", False, False, 3, 0, 0.375, "t"), ("1", 4, "A", True, True, 7, 0, 1.0, "n"), ("1", 9, "G", False, True, 2, 0, 1.0, "n")]
+    c = spark.createDataFrame(rows, "contig string, ref_pos int, base string, is_ref boolean, pass boolean, n_pass bigint, n_failed bigint, allele_fraction double, sample string")
+    rec = vcf.variant_records(c, "sample", fields=("n_pass", "allele_fraction"))
+    head = vcf.vcf_header(["pass", "n_pass", "allele_fraction"], ["n", "t"], contigs=[("1", 50)])
+    vcf.write_vcf(rec, str(tmp_path / "o"), header=head)
+    text = "".join(p.read_text() for p in sorted((tmp_path / "o").glob("[0p]*")))
+    assert text.splitlines()[-3:] == ["#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tn\tt", "1\t5\t.\tA\tC\t.\t.\tPASS=1,0\tN_PASS:ALLELE_FRACTION\t7,0:1.000000,0\t5,3:0.625000,0.375000", "1\t10\t.\tN\tG\t.\t.\tPASS=0,1\tN_PASS:ALLELE_FRACTION\t0,2:0,1.000000\t0,0:0,0"]
+    back = vcf.read_vcf(spark, str(tmp_path / "o"))
+    assert {(r.pos, r.allele): r.value for r in vcf.allele_table(back, "N_PASS", sample=1).collect()} == {(4, "A"): 5.0, (4, "C"): 3.0, (9, "N"): 0.0, (9, "G"): 0.0}
+    assert vcf.passing(back, "PASS").count() == 1
+
+
+def test_region_scan_prunes(spark, tmp_path):
+    a = spark.range(0, 4000).selectExpr("id", "CASE WHEN id % 2 = 0 THEN 'x' ELSE 'y' END AS contig", "cast(id * 10 AS int) AS pos", "cast(id * 10 + 15 AS int) AS endpos")
+    reports.write_alignments(a, str(tmp_path / "a"), program="p")
+    r = spark.createDataFrame([("x", 100, 125), ("x", 30000, 30001)], "contig string, start_pos int, end_pos int")
+    got = reports.read_regions(spark, str(tmp_path / "a"), r)
+    assert sorted(x.id for x in got.collect()) == [10, 12, 3000]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(contig" in plan and "GreaterThan(endpos,100)" in plan
+
+
 def test_fasta_and_rescaler(spark, tmp_path):
     (tmp_path / "r.fa").write_text(">c1 text\nacg\nT\n>c2\nNN\n")
     assert sorted(tuple(r) for r in fasta.read_fasta(spark, str(tmp_path / "r.fa")).collect()) == [("c1", "ACGT"), ("c2", "NN")]
+    long = "".join(random.Random(1).choice("acgt") for _ in range(2 * fasta.PIECE + 77))
+    (tmp_path / "g.fa.gz").write_bytes(gzip.compress((">c9 x\n" + "\n".join(long[i : i + 60] for i in range(0, len(long), 60)) + "\n>c8\nAC\n").encode()))
+    from readloom.operators.errors import reference_pieces
+
+    key = lambda d: sorted(tuple(r) for r in d.collect())
+    assert key(fasta.read_fasta_pieces(spark, str(tmp_path / "g.fa.gz"))) == key(reference_pieces(fasta.read_fasta(spark, str(tmp_path / "g.fa.gz"))))
     (tmp_path / "s.txt").write_text("10.5,0,99,20:1,2,3,4|5,6,7,8:9,9,9,9\n")
     got = {(r.mate, r.cycle, r.qual, r.base): r.new_qual for r in fasta.read_rescaler(spark, str(tmp_path / "s.txt")).collect()}
     assert got[1, 0, 2, "A"] == 11 and got[1, 0, 2, "C"] == 2 and got[1, 0, 2, "G"] == 93 and got[2, 0, 3, "T"] == 9 and len(got) == 16
     fasta.write_rescaler(fasta.read_rescaler(spark, str(tmp_path / "s.txt")), str(tmp_path / "w"))
     back = {(r.mate, r.cycle, r.qual, r.base): r.new_qual for r in fasta.read_rescaler(spark, str(tmp_path / "w")).collect()}
     assert all(back[k] == v for k, v in got.items())
+    beyond = spark.createDataFrame([(1, 0, 47, "A", 40)], "mate int, cycle int, qual int, base string, new_qual int")
+    with pytest.raises(ValueError, match="no place"):
+        fasta.write_rescaler(beyond, str(tmp_path / "w2"))
+    with pytest.raises(Exception, match="quality 0 at cycle 0"):
+        fasta.check_rescaler(beyond.withColumn("new_qual", beyond["new_qual"] * 0)).collect()
 
 
 def test_reports(spark, tmp_path):
