@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.functions.seq import canonical_barcode, homing_trim, homopolymer_fail
+from readloom.functions.seq import canonical_barcode, homing_trim, homopolymer_fail, mask_prefix
 
 _cut = lambda s, n: F.substring(s, n + 1, F.length(s))
 
@@ -70,6 +70,37 @@ def rescale_quality(bases: DataFrame, table: DataFrame) -> DataFrame:
     return bases.join(t, ["mate", "cycle", "qual", "base"], "left").withColumn("qual", new).drop("_new").select(bases.columns)
 
 
+def rescale_reads(reads: DataFrame, table: DataFrame, *, mate: str = "mate") -> DataFrame:
+    """Reads (mate, seq, qual) with every quality replaced by the table (mate, cycle, qual, base, new_qual); N becomes 2.
+
+    The table becomes one row a mate, an array of its cycles (bounded by the read length times 376 cells), so whole reads meet it by
+    mate and are never taken apart. Cells, cycles and mates that the table lacks keep their quality; new values are clamped to 2..93.
+    """
+    if not {"mate", "cycle", "qual", "base", "new_qual"} <= set(table.columns):
+        raise ValueError("the rescaler table needs mate, cycle, qual, base, new_qual")
+    t = table.where(F.col("base").isin("A", "C", "G", "T") & F.col("qual").between(0, 93)).groupBy("mate", "cycle", (F.col("qual") * 4 + F.instr(F.lit("ACGT"), F.col("base")) - 1).alias("at")).agg(F.max(F.least(F.lit(93), F.greatest(F.lit(2), F.col("new_qual")))).alias("new"))
+    top = t.groupBy("mate").agg(F.max("cycle").alias("top"))
+    grid = top.select("mate", F.explode(F.sequence(F.lit(0), F.col("top"))).alias("cycle")).select("mate", "cycle", F.explode(F.sequence(F.lit(0), F.lit(94 * 4 - 1))).alias("at"))
+    line = grid.join(t, ["mate", "cycle", "at"], "left").groupBy("mate", "cycle").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "new"))), lambda x: x["new"]).alias("cells"))
+    whole = line.groupBy("mate").agg(F.transform(F.array_sort(F.collect_list(F.struct("cycle", "cells"))), lambda x: x["cells"]).alias("_t")).withColumnRenamed("mate", "_m")
+    j = reads.join(whole, F.col(mate) == F.col("_m"), "left")
+
+    def new(i: Column) -> Column:
+        q = F.ascii(F.substring("qual", i + 1, F.lit(1))) - 33
+        code = F.instr(F.lit("ACGT"), F.upper(F.substring("seq", i + 1, F.lit(1))))
+        got = F.coalesce(F.get(F.get(F.col("_t"), i), q * 4 + code - 1), q)
+        return F.char(F.when(code == 0, 2).otherwise(got) + 33)
+
+    turned = F.array_join(F.transform(F.sequence(F.lit(0), F.length("qual") - 1), new), "")
+    return j.withColumn("qual", F.when(F.length("qual") > 0, turned).otherwise(F.col("qual"))).select(reads.columns)
+
+
+def single_sided_index(reads: DataFrame, blen: int) -> tuple[DataFrame, DataFrame]:
+    """Reads whose first ``blen`` letters (the inline barcode) are masked with N and '#', and these letters as index reads: (reads, index)."""
+    seq, qual = mask_prefix(F.col("seq"), F.col("qual"), blen)
+    return reads.withColumns({"seq": seq, "qual": qual}), reads.withColumns({"seq": F.substring("seq", 1, blen), "qual": F.substring("qual", 1, blen)})
+
+
 def barcode_to_index(reads: DataFrame, blen: int) -> tuple[DataFrame, DataFrame]:
     """Strip 2 x blen inline letters into a separate index read: (reads, index)."""
     rest = reads.withColumns({"seq": _cut(F.col("seq"), F.lit(2 * blen)), "qual": _cut(F.col("qual"), F.lit(2 * blen))})

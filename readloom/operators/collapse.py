@@ -147,9 +147,9 @@ def align_lengths(reads: DataFrame, family: list[str], read_id: str) -> DataFram
     A longer or shorter read that passes (fp not 0) is left out; one that fails is aligned at its right end: its first
     letters are cut off, or N with quality '#' put before it. Reads without letters are left as they are.
     """
-    first = reads.where("length(seq) > 0").groupBy(*family).agg(F.min_by(F.length("seq"), read_id).alias("_len"))
-    on = [reads[c].eqNullSafe(first[c]) for c in family]
-    j = reads.join(first, on, "left").select(*[reads[c] for c in reads.columns], "_len")
+    first = reads.where("length(seq) > 0").groupBy(*[F.col(c).alias(f"_f{i}") for i, c in enumerate(family)]).agg(F.min_by(F.length("seq"), read_id).alias("_len"))
+    on = [F.col(c).eqNullSafe(F.col(f"_f{i}")) for i, c in enumerate(family)]
+    j = reads.join(first, on, "left").select(*reads.columns, "_len")
     n, fails = F.length("seq"), F.coalesce(F.col("fp"), F.lit(1)) == 0
     fit = lambda c, pad: F.when(n > F.col("_len"), F.expr(f"right({c}, _len)")).otherwise(F.lpad(F.col(c), F.col("_len"), pad))
     odd = F.coalesce(n != F.col("_len"), F.lit(False)) & (n > 0)

@@ -672,6 +672,9 @@ def region_coverage_gaps(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("contig").agg(F.count("*").alias("n_spans"), F.sum(F.col("end_pos") - F.col("start_pos")).alias("covered"))
 
 
+from readloom.plans import more  # noqa: E402, F401  registers its queries
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Families of the smallest tables with their consensus."""
     return family_consensus(spark, sf_dir)

@@ -50,14 +50,20 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     a lost executor costs nothing, since the files lie in the shared folder.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/readloom-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    _made.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._readloom_path = path
     return out
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for files of this session, deleted when the process ends."""
+    path = f"{shared_dir(spark)}/readloom-{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`cut` that nothing reads any more (any other frame is left alone)."""
     path = getattr(df, "_readloom_path", None)

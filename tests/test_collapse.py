@@ -4,8 +4,8 @@ from collections import Counter, defaultdict
 
 
 from readloom.functions.phred import LOG_TINY
-from readloom.operators.barcodes import mark_inline, mark_secondary, rescale_quality
-from readloom.operators.collapse import collapse_families
+from readloom.operators.barcodes import mark_inline, mark_secondary, rescale_quality, rescale_reads
+from readloom.operators.collapse import align_lengths, collapse_families
 
 SCHEMA = "read_id int, barcode string, strand string, fp int, seq string, qual string"
 
@@ -100,3 +100,46 @@ def test_rescale(spark):
     b = spark.createDataFrame([(1, 0, "A", 30), (1, 0, "N", 30), (1, 1, "A", 30)], "mate int, cycle int, base string, qual int")
     t = spark.createDataFrame([(1, 0, 30, "A", 400)], "mate int, cycle int, qual int, base string, new_qual int")
     assert sorted((r.cycle, r.base, r.qual) for r in rescale_quality(b, t).collect()) == [(0, "A", 93), (0, "N", 2), (1, "A", 30)]
+
+
+def test_marked_families_by_hand(spark):
+    """Seven reads, two of them reversed, with one letter astray in one: fm 7, rv 2, nf 1/7, duplex; and a lone read that failed."""
+    s = "ACGTCAGGTTCTCAAA"
+    rows = [(i, "AAAC", "R" if i < 2 else "F", 1, s if i != 3 else s[:5] + "T" + s[6:], "F" * 16) for i in range(7)] + [(9, "TTTT", "F", 0, s, "F" * 16)]
+    got = {r.barcode: r for r in collapse_families(spark.createDataFrame(rows, SCHEMA), ["barcode"], "read_id").collect()}
+    f, lone = got["AAAC"], got["TTTT"]
+    assert (f.fm, f.rv, f.dr, f.fp, round(f.nf, 2), f.seq, f.strand_distance) == (7, 2, 1, 1, 0.14, s, 0) and f.fa == [7] * 5 + [6] + [7] * 10
+    assert (lone.fm, lone.fp, lone.dr, lone.nf, lone.strand_distance) == (1, 0, 0, 0, None)
+
+
+def test_lengths_of_a_family(spark):
+    rows = [(1, "A", "F", 1, "ACGT", "IIII"), (2, "A", "F", 1, "ACG", "III"), (3, "A", "F", 0, "CGT", "III"), (4, "A", "F", 0, "TTACGT", "IIIIII"), (5, "A", "F", None, "AC", "II"), (6, "A", "F", 0, "", ""), (7, None, "F", 0, "AA", "II"), (8, None, "F", 0, "A", "I")]
+    got = {r.read_id: (r.seq, r.qual) for r in align_lengths(spark.createDataFrame(rows, SCHEMA), ["barcode"], "read_id").collect()}
+    assert got == {1: ("ACGT", "IIII"), 3: ("NCGT", "#III"), 4: ("ACGT", "IIII"), 6: ("", ""), 7: ("AA", "II"), 8: ("NA", "#I")}
+
+
+def test_whole_reads_are_rescaled(spark):
+    t = spark.createDataFrame([(1, 0, 40, "A", 10), (1, 2, 40, "G", 120), (2, 1, 40, "C", 7)], "mate int, cycle int, qual int, base string, new_qual int")
+    r = spark.createDataFrame([(1, 1, "ACGN", "IIII"), (2, 2, "ACGT", "II"), (3, 3, "A", "I"), (4, 1, None, None), (5, 1, "", "")], "read_id int, mate int, seq string, qual string")
+    got = {x.read_id: x.qual for x in rescale_reads(r, t).collect()}
+    assert got == {1: "+I~#", 2: "I(", 3: "I", 4: None, 5: ""}
+
+
+def test_files_to_files(spark, tmp_path):
+    from readloom.plans import tools
+    from readloom.sources import fastq
+
+    mates = {1: [], 2: []}
+    for i in range(12):
+        for m in (1, 2):
+            half = "AACC" if (i + m) % 2 else "GGTT"
+            mates[m].append(f"@r{i}\n{half}TG{'ACGTACGT' if half == 'AACC' else 'TTTTCCCC'}\n+\n{'I' * 14}\n")
+    for m in (1, 2):
+        for lane in "ab":
+            (tmp_path / f"{lane}_R{m}.fq").write_text("".join(mates[m][:6] if lane == "a" else mates[m][6:]))
+    (tmp_path / "rescale.txt").write_text("\n".join("|".join([":".join(["20,20,20,20"] * 45)] * 2) for _ in range(8)) + "\n")
+    f = tools.collapse_fastq(spark, str(tmp_path / "out"), str(tmp_path / "*_R1.fq"), str(tmp_path / "*_R2.fq"), barcode_len=4, homing="TG", rescaler=str(tmp_path / "rescale.txt"))
+    rows = {r.mate: r for r in f.collect()}
+    assert {m: (r.barcode, r.fm, r.rv, r.dr, r.fp, r.seq, set(r.qual)) for m, r in rows.items()} == {1: ("AACCGGTT", 12, 6, 1, 1, "ACGTACGT", {"5"}), 2: ("AACCGGTT", 12, 6, 1, 1, "TTTTCCCC", {"5"})}
+    out = fastq.read_fastq(spark, str(tmp_path / "out" / "r2")).collect()
+    assert [(r.name, r.seq) for r in out] == [("AACCGGTT", "TTTTCCCC")] and "FM:i:12" in out[0].comment

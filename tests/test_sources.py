@@ -127,9 +127,9 @@ def test_fasta_and_rescaler(spark, tmp_path):
 
     key = lambda d: sorted(tuple(r) for r in d.collect())
     assert key(fasta.read_fasta_pieces(spark, str(tmp_path / "g.fa.gz"))) == key(reference_pieces(fasta.read_fasta(spark, str(tmp_path / "g.fa.gz"))))
-    (tmp_path / "s.txt").write_text("10.5,0,99,20:1,2,3,4|5,6,7,8:9,9,9,9\n")
+    (tmp_path / "s.txt").write_text("10.5,0,99,20:1,2,3,4|5,6,7,8:9,9,9,9\n3,3,3,3:3,3,3,3|4,4,4,4:4,4,4,4\n")
     got = {(r.mate, r.cycle, r.qual, r.base): r.new_qual for r in fasta.read_rescaler(spark, str(tmp_path / "s.txt")).collect()}
-    assert got[1, 0, 2, "A"] == 11 and got[1, 0, 2, "C"] == 2 and got[1, 0, 2, "G"] == 93 and got[2, 0, 3, "T"] == 9 and len(got) == 16
+    assert got[1, 0, 2, "A"] == 11 and got[1, 0, 2, "C"] == 2 and got[1, 0, 2, "G"] == 93 and got[2, 0, 3, "T"] == 9 and got[2, 1, 2, "A"] == 4 and len(got) == 32
     fasta.write_rescaler(fasta.read_rescaler(spark, str(tmp_path / "s.txt")), str(tmp_path / "w"))
     back = {(r.mate, r.cycle, r.qual, r.base): r.new_qual for r in fasta.read_rescaler(spark, str(tmp_path / "w")).collect()}
     assert all(back[k] == v for k, v in got.items())
