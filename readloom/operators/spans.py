@@ -31,10 +31,11 @@ def spans_and_gaps(df: DataFrame, keys: list[str], start: str | Column = "start_
     ignored; keys that have only void intervals (and empty inputs) give no row; null keys form a group of their own;
     repeated rows change nothing; other columns are ignored, whatever their names.
 
-    Sort-based islands: an interval opens an island where its start exceeds the running maximum end before it. The
-    sort is cut in bins of the start position, each bounded to ``2**bin_bits`` rows because equal starts are first
+    Sort-based islands: an interval opens an island where its start exceeds the running maximum end before it; islands are
+    labelled by the cumulative count of such heads, and each is aggregated to its least start and greatest end; the gap before
+    it begins at the running maximum that its head exceeded. The sort is cut in bins of the start position, each bounded to ``2**bin_bits`` rows because equal starts are first
     reduced to their greatest end (a partial aggregate on the map side). What one bin must know of the others is one
-    row a bin: the greatest end before it and the first island after it. No group is gathered in one task.
+    row a bin: the greatest end and the number of islands before it. No group is gathered in one task.
     """
     k = [f"_k{i}" for i in range(len(keys))]
     to_col = lambda c: F.col(c) if isinstance(c, str) else c
@@ -47,21 +48,18 @@ def spans_and_gaps(df: DataFrame, keys: list[str], start: str | Column = "start_
     inside = Window.partitionBy(*k, "_b").orderBy("_s")
     local = base.withColumn("_m", F.max("_x").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
     # bins know their own running maximum; the rest of the way is one row a bin
-    bins = Window.partitionBy(*k).orderBy("_b")
-    carry = (
-        base.groupBy(*k, "_b").agg(F.max("_x").alias("_bx"))
-        .withColumn("_c", F.max("_bx").over(bins.rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("_top", F.max("_bx").over(Window.partitionBy(*k)))
-    )
-    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"c.{c}")) for c in [*k, "_b"]]
-    joined = local.alias("l").join(carry.alias("c"), on, "inner").select(*[F.col(f"l.{c}").alias(c) for c in [*k, "_b", "_s"]], "_c", "_top", F.greatest("_m", "_c").alias("_p"))
-    heads = joined.where(F.col("_p").isNull() | (F.col("_s") > F.col("_p")))
-    # an island ends at the running maximum before the next head: in this bin, else before the first head of a later bin, else at the key's greatest end
-    firsts = heads.groupBy(*k, "_b").agg(F.min(F.struct("_s", "_p"))["_p"].alias("_fp")).withColumn("_np", F.first("_fp").over(bins.rowsBetween(1, 1)))
-    on = [F.col(f"h.{c}").eqNullSafe(F.col(f"f.{c}")) for c in [*k, "_b"]]
+    before = Window.partitionBy(*k).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = base.groupBy(*k, "_b").agg(F.max("_x").alias("_bx")).withColumn("_c", F.max("_bx").over(before))
+    on = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in [*k, "_b"]]
+    joined = local.alias("l").join(carry.alias("c"), on("l", "c"), "inner").select(*[F.col(f"l.{c}").alias(c) for c in [*k, "_b", "_s", "_x"]], F.greatest("_m", "_c").alias("_p"))
+    # islands are labelled by the heads so far: those of earlier bins, and those of this one
+    opens = F.col("_p").isNull() | (F.col("_s") > F.col("_p"))
+    headed = joined.withColumn("_h", opens.cast("bigint")).withColumn("_l", F.sum("_h").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    earlier = headed.groupBy(*k, "_b").agg(F.sum("_h").alias("_n")).withColumn("_o", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     isl = (
-        heads.withColumn("_n", F.lead("_p").over(inside)).alias("h").join(firsts.alias("f"), on, "inner")
-        .select(*[F.col(f"h.{c}").alias(c) for c in k], "_s", "_p", F.coalesce("_n", "_np", "_top").alias("_e"))
+        headed.alias("h").join(earlier.alias("e"), on("h", "e"), "inner")
+        .select(*[F.col(f"h.{c}").alias(c) for c in k], "_s", "_x", (F.col("_o") + F.col("_l")).alias("_i"), F.when(F.col("_h") == 1, F.col("_p")).alias("_g"))
+        .groupBy(*k, "_i").agg(F.min("_s").alias("_s"), F.max("_x").alias("_e"), F.max("_g").alias("_p"))
     )
     both = F.array(
         F.struct(F.lit("span").alias("kind"), F.col("_s").alias("start_pos"), F.col("_e").alias("end_pos")),
