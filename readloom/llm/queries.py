@@ -236,3 +236,19 @@ SELECT f.library_id, f.barcode, array_to_string(a.nuc_counts, ',') AS nuc_counts
 FROM ({_chosen}) f LEFT JOIN (SELECT DISTINCT kf_id, nuc_counts FROM kingfisher) a ON a.kf_id = nuc_counts_kf
 LEFT JOIN (SELECT DISTINCT kf_id, phred_sums FROM kingfisher) b ON b.kf_id = phred_sums_kf LEFT JOIN (SELECT DISTINCT kf_id, max_phreds FROM kingfisher) c ON c.kf_id = max_phreds_kf
 """
+SQL["p1_found"] = """
+WITH u AS (SELECT DISTINCT ON (read_id) read_id, library_id, mate, upper(trim(barcode)) AS b, upper(seq) AS s FROM reads_marked WHERE read_id IS NOT NULL AND library_id IS NOT NULL AND mate IS NOT NULL),
+t AS (SELECT *, length(b) AS n, b[length(b) // 2 + 1 :] || b[: length(b) // 2] AS r FROM u WHERE length(b) > 0 AND length(s) >= 6),
+d AS (SELECT library_id, mate, b, any_value(r) AS r, any_value(n) AS n FROM t GROUP BY ALL),
+near AS (
+  SELECT x.library_id, x.mate, x.b AS bx, y.b AS by FROM d x JOIN d y ON x.library_id = y.library_id AND x.mate = y.mate AND x.b <= y.b AND abs(x.n - y.n) <= 2
+  WHERE levenshtein(x.b, y.b) <= 2 OR levenshtein(x.r, y.b) <= 2 OR levenshtein(x.b, y.r) <= 2
+),
+p AS (
+  SELECT DISTINCT least(x.read_id, y.read_id) AS a, greatest(x.read_id, y.read_id) AS c FROM near q JOIN t x ON x.library_id = q.library_id AND x.mate = q.mate AND x.b = q.bx
+  JOIN t y ON y.library_id = q.library_id AND y.mate = q.mate AND y.b = q.by WHERE x.read_id <> y.read_id
+),
+g AS (SELECT read_id, list_distinct([s[i : i + 5] for i in range(1, length(s) - 4)]) AS g FROM t),
+w AS (SELECT a, c, x.g AS gx, y.g AS gy, len(list_intersect(x.g, y.g)) AS k FROM p JOIN g x ON x.read_id = a JOIN g y ON y.read_id = c)
+SELECT a AS read_id_a, c AS read_id_b FROM w WHERE 2 * k >= len(gx) + len(gy) - k
+"""

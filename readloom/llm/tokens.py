@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.session import ship
@@ -137,6 +139,20 @@ class WordTrie:
         return out
 
 
+def ship_file(spark: SparkSession, path: str) -> None:
+    """Give a vocabulary file to all executors, which needn't have it at that place."""
+    sc = spark.sparkContext
+    done = getattr(sc, "_readloom_files", set())
+    if path not in done:
+        sc.addFile(path)
+        sc._readloom_files = done | {path}
+
+
+def _here(path: str) -> str:
+    """The file, or the copy that :func:`ship_file` brought."""
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
 _tries: dict[str, tuple[WordTrie, dict[str, list[int]]]] = {}
 
 
@@ -144,7 +160,7 @@ def _word_table(path: str) -> tuple[WordTrie, dict[str, list[int]]]:
     """The worker's trie of a vocabulary and the encodings it knows; made anew when it holds too many words."""
     got = _tries.get(path)
     if got is None:
-        got = _tries[path] = (WordTrie(path), {})
+        got = _tries[path] = (WordTrie(_here(path)), {})
     if len(got[1]) > KEEP_WORDS:
         got[1].clear()
         got[0].fits.clear()
@@ -191,6 +207,7 @@ def encode_corpus(docs: DataFrame, doc_id: str, text: str, *, tokenizers: str =
     encoded, of any length; a row repeated is encoded repeatedly; empty tables give no row; other columns are ignored.
     """
     ship(docs.sparkSession)
+    ship_file(docs.sparkSession, f"{tokenizers}/{ranks}")
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(docs[doc_id].alias("id"), docs[text].alias("text")).mapInArrow(_encoder(f"{tokenizers}/{ranks}", False), f"id {kind}, ids array<int>").select(F.col("id").alias(doc_id), "ids")
 
@@ -198,6 +215,7 @@ def encode_corpus(docs: DataFrame, doc_id: str, text: str, *, tokenizers: str =
 def token_counts(docs: DataFrame, keep: list[str], text: str, *, tokenizers: str = TOKENIZERS, ranks: str = RANKS) -> DataFrame:
     """Number of tokens of every text: the columns ``keep`` and ``n_tokens`` (bigint); 0 for null and empty texts."""
     ship(docs.sparkSession)
+    ship_file(docs.sparkSession, f"{tokenizers}/{ranks}")
     src = docs.select(*[docs[c].alias(f"k{i}") for i, c in enumerate(keep)], docs[text].alias("text"))
     kinds = ", ".join(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     return src.mapInArrow(_encoder(f"{tokenizers}/{ranks}", True), f"{kinds}, n_tokens bigint").select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_tokens")
