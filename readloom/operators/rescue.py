@@ -45,8 +45,8 @@ def rescue_parents(names: DataFrame, sig: list[str], name: str, *, mismatch_limi
     return near.groupBy(*[F.col(f"a.{c}").alias(c) for c in sig], F.col(f"a.{name}").alias(name)).agg(F.min("_other").alias("parent"))
 
 
-def rescue_roots(names: DataFrame, sig: list[str], name: str, *, mismatch_limit: int = 2) -> DataFrame:
-    """sig, name, root: where each name ends up when every name is merged into the first greater one nearby, chains included.
+def _moves(names: DataFrame, sig: list[str], name: str, mismatch_limit: int) -> DataFrame:
+    """_s0, _s1, ..., _n, _p: the names that are merged into others and where each ends up, chains included; a written table.
 
     A merged record keeps the greater name, so the merges form a forest over the names; its roots are found by doubling
     pointers, each round written to the shared folder. The number of rounds is the logarithm of the longest chain.
@@ -61,10 +61,19 @@ def rescue_roots(names: DataFrame, sig: list[str], name: str, *, mismatch_limit:
         drop_cut(hop)
         hop = nxt
         if not nxt.where("_moved").limit(1).count():
-            break
-    all_ = names.select(*[F.col(c).alias(i) for c, i in zip(sig, ids)], F.col(name).alias("_m")).where("_m is not null").distinct().alias("x")
-    on = [F.col(f"x.{c}").eqNullSafe(F.col(f"h.{c}")) for c in ids] + [F.col("_m") == F.col("_n")]
-    return all_.join(hop.alias("h"), on, "left").select(*[F.col(f"x.{i}").alias(c) for c, i in zip(sig, ids)], F.col("_m").alias(name), F.coalesce("_p", "_m").alias("root"))
+            return hop
+
+
+def rescue_roots(names: DataFrame, sig: list[str], name: str, *, mismatch_limit: int = 2) -> DataFrame:
+    """sig, name, root: where each name ends up when every name is merged into the first greater one nearby."""
+    every = names.select(*sig, name).where(F.col(name).isNotNull()).distinct()
+    return _rooted(every, _moves(names, sig, name, mismatch_limit), sig, name)
+
+
+def _rooted(rows: DataFrame, moves: DataFrame, sig: list[str], name: str) -> DataFrame:
+    """The rows with the root of their name: its own, unless it is merged into another. Few names are, so the moves are a small side."""
+    on = [F.col(c).eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate(sig)] + [F.col(name) == F.col("_n")]
+    return rows.join(moves, on, "left").select(*rows.columns, F.coalesce("_p", F.col(name)).alias("root"))
 
 
 def rescue(aln: DataFrame, sig: list[str], *, name: str = "barcode", read_id: str = "read_id", mismatch_limit: int = 2, trust_unmasked: bool = False, infer: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -96,16 +105,11 @@ def rescue(aln: DataFrame, sig: list[str], *, name: str = "barcode", read_id: st
         prim = prim.withColumns({"fm": F.coalesce("fm", F.lit(1)), "fa": F.coalesce("fa", F.transform(phred, lambda _: F.lit(1))), "pv": F.coalesce("pv", F.when(rev, F.reverse(phred)).otherwise(phred))})
         if "fp" in prim.columns:
             prim = prim.withColumn("fp", F.coalesce("fp", F.lit(1)))
+    prim = cut(prim, "stacks")  # read several times below, by column
     own = F.concat(F.lit("#"), F.col(read_id).cast("string"))
     alone = any_of(F.col("flag"), UNMAPPED | MATE_UNMAPPED) | (F.lit(False) if infer else F.col(name).isNull())
     m = prim.where(~alone)
-    if infer:
-        m = m.withColumn("root", F.lit("*"))
-    else:
-        roots = rescue_roots(m, sig, name, mismatch_limit=mismatch_limit)
-        r = roots.select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(sig)], F.col(name).alias("_rn"), "root")
-        m = m.join(r, [F.col(c).eqNullSafe(F.col(f"_r{i}")) for i, c in enumerate(sig)] + [F.col(name) == F.col("_rn")]).drop(*[f"_r{i}" for i in range(len(sig))], "_rn")
-    m = cut(m, "stacks")
+    m = m.withColumn("root", F.lit("*")) if infer else _rooted(m, _moves(m, sig, name, mismatch_limit), sig, name)
     key = [*sig, "root"]
     k = [f"_k{i}" for i in range(len(key))]
     multi = cut(m.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").select(*[F.col(c).alias(a) for c, a in zip(key, k)], F.col("_n").alias("n_merged")), "merged")
