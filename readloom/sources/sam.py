@@ -44,12 +44,19 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     g = lambda i: F.get("f", F.lit(i))
     star = lambda c: F.when(c != "*", c)
     tags = F.map_from_entries(_last_of_a_key(F.transform(F.slice("f", F.lit(12), F.greatest(F.size("f") - 11, F.lit(0))), lambda t: F.struct(F.substring(t, 1, 2), F.substring(t, F.lit(6), F.length(t))))))
-    p = raw.withColumn("t", F.when(F.size("f") > 11, tags).otherwise(F.create_map().cast("map<string,string>")))
+    return typed_tags(raw.select(
+        g(0).alias("qname"), g(1).try_cast("int").alias("flag"), star(g(2)).alias("contig"), (g(3).try_cast("int") - 1).alias("pos"), g(4).try_cast("int").alias("mapq"), star(g(5)).alias("cigar"),
+        F.when(g(6) == "=", g(2)).otherwise(star(g(6))).alias("mate_contig"), (g(7).try_cast("int") - 1).alias("mate_pos"), g(8).try_cast("int").alias("isize"), star(g(9)).alias("seq"), star(g(10)).alias("qual"),
+        F.when(F.size("f") > 11, tags).otherwise(F.create_map().cast("map<string,string>")).alias("t"),
+    ))
+
+
+def typed_tags(p: DataFrame) -> DataFrame:
+    """Records with their tags as a map ``t`` of texts: the known tags as columns of their types, all others in ``aux``."""
     tag = lambda n: F.col("t")[n]
     known = [*INT_TAGS, *ARRAY_TAGS, *TEXT_TAGS, "NF", "MF"]
     return p.select(
-        g(0).alias("qname"), g(1).try_cast("int").alias("flag"), star(g(2)).alias("contig"), (g(3).try_cast("int") - 1).alias("pos"), g(4).try_cast("int").alias("mapq"), star(g(5)).alias("cigar"),
-        F.when(g(6) == "=", g(2)).otherwise(star(g(6))).alias("mate_contig"), (g(7).try_cast("int") - 1).alias("mate_pos"), g(8).try_cast("int").alias("isize"), star(g(9)).alias("seq"), star(g(10)).alias("qual"),
+        *[c for c in p.columns if c != "t"],
         *[tag(n).try_cast("int").alias(n.lower()) for n in INT_TAGS],
         *[F.transform(F.split(F.regexp_replace(tag(n), r"^[a-zA-Z],", ""), ","), lambda x: x.try_cast("int")).alias(n.lower()) for n in ARRAY_TAGS],
         *[tag(n).alias(n.lower()) for n in TEXT_TAGS], tag("NF").try_cast("double").alias("nf"), tag("MF").try_cast("double").alias("mf"),

@@ -1,9 +1,10 @@
 import gzip
 import random
+import struct
 
 import pytest
 
-from readloom.sources import bed, fasta, fastq, reports, sam, vcf
+from readloom.sources import bam, bed, fasta, fastq, reports, sam, vcf
 
 FQ = "@r1 1:N:0:ACGT\nACGT\n+\nIIII\n@r2\nNN\n+\n##\n"
 
@@ -85,6 +86,38 @@ def test_sam_round_trip(spark, tmp_path):
         sam.merged_header(spark, [str(tmp_path / "a.sam"), str(tmp_path / "b.sam")], program="x")
 
 
+def packed_bam(records, contigs=("1", "2")):
+    """BAM bytes of (name, flag, contig number, pos, mapq, cigar, mate, mate_pos, isize, seq, quals, tags) in several gzip members."""
+    text = b"@HD\tVN:1.6\n@SQ\tSN:1\tLN:99\n"
+    out = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(contigs))
+    for c in contigs:
+        out += struct.pack("<i", len(c) + 1) + c.encode() + b"\0" + struct.pack("<i", 99)
+    for name, flag, ref, pos, mapq, cigar, mate, mate_pos, size, seq, quals, tags in records:
+        code = ["=ACMGRSVTWYHKDBN".index(x) for x in seq] + [0] * (len(seq) % 2)
+        body = struct.pack("<iiBBHHHiiii", ref, pos, len(name) + 1, mapq, 0, len(cigar), flag, len(seq), mate, mate_pos, size) + name.encode() + b"\0"
+        body += b"".join(struct.pack("<I", n << 4 | "MIDNSHP=X".index(o)) for n, o in cigar) + bytes(a << 4 | b for a, b in zip(code[::2], code[1::2])) + bytes(quals) + tags
+        out += struct.pack("<i", len(body)) + body
+    return b"".join(gzip.compress(out[i : i + 70]) for i in range(0, len(out), 70))
+
+
+def test_bam_has_the_columns_of_sam(spark, tmp_path):
+    tags = b"FMC\x03" + b"PVBI" + struct.pack("<i3I", 3, 40, 300, 3117) + b"NFf" + struct.pack("<f", 0.25) + b"XXZa b\0" + b"XYs" + struct.pack("<h", -5) + b"XAAq"
+    recs = [("q1", 99, 0, 10, 60, [(1, "S"), (2, "M")], 0, 30, 24, "ACN", [40, 41, 2], tags), ("u", 4, -1, -1, 0, [], -1, -1, 0, "", [], b""), ("n", 0, 1, 5, 9, [(2, "M")], 1, 7, 0, "GT", [255, 255], b"")]
+    (tmp_path / "a.bam").write_bytes(packed_bam(recs))
+    got = {r.qname: r for r in bam.read_bam(spark, str(tmp_path / "a.bam")).collect()}
+    q = got["q1"]
+    assert (q.flag, q.contig, q.pos, q.mapq, q.cigar, q.mate_contig, q.mate_pos, q.isize, q.seq, q.qual) == (99, "1", 10, 60, "1S2M", "1", 30, 24, "ACN", "IJ#")
+    assert (q.fm, q.pv, q.nf, q.aux) == (3, [40, 300, 3117], 0.25, {"XX": "a b", "XY": "-5", "XA": "q"})
+    assert (got["u"].contig, got["u"].seq, got["u"].cigar, got["n"].qual, got["n"].contig) == (None, None, None, None, "2")
+    assert bam.bam_header(f"file://{tmp_path}/a.bam")[1] == "@SQ\tSN:1\tLN:99"
+    sam.write_sam(bam.read_bam(spark, str(tmp_path / "a.bam")), str(tmp_path / "s"))
+    again = {r.qname: r for r in sam.read_sam(spark, str(tmp_path / "s")).collect()}
+    assert again["q1"] == q and again["n"] == got["n"]
+    (tmp_path / "x.bam").write_bytes(gzip.compress(b"no such thing"))
+    with pytest.raises(Exception, match="is no BAM file"):
+        bam.read_bam(spark, str(tmp_path / "x.bam")).collect()
+
+
 def test_vcf_round_trip(spark, tmp_path):
     (tmp_path / "a.vcf").write_text("##x\n#CHROM\n1\t5\trs\tA\tC,G\t9.5\tPASS\tDP=7;FLAG;OK=0,0,1\tGT\t0/1\n2\t1\t.\tT\t.\t.\t.\t.\n")
     v = vcf.read_vcf(spark, str(tmp_path / "a.vcf"))
