@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from readloom.functions.flags import READ2, REVERSE, any_of
-from readloom.operators import barcodes, collapse, errors, pileup, reads
+from readloom.operators import barcodes, collapse, errors, pileup, reads, rescue
 from readloom.plans import catalog as c
 from readloom.plans import tools, views
 from readloom.plans.views import alignments, bed, reads_once, reference, variants, with_
@@ -233,6 +233,20 @@ def vet_records(spark: SparkSession, d: str) -> DataFrame:
     return v.select("variant_id", "contig", "ref_pos", F.array_join("allele", ",").alias("alleles"), *[text(f) for f in ("n_pass", "n_failed", "n_duplex", "n_overlap", "quantity", "qss")], "depth_duplex", "disc_overlap")
 
 
+_ucs_key = "contig, su, rev, len, second, mu, lm"
+
+
+@query("rescue_unclipped", with_("aln", extra=f"m AS (SELECT *, {c._ucs} AS su, (flag & 128) <> 0 AS second FROM aln), j AS (SELECT a.*, b.su AS mu, b.len AS lm FROM m a LEFT JOIN m b ON a.qname = b.qname AND a.second <> b.second AND (b.flag & 2304) = 0), n AS (SELECT DISTINCT contig, su, is_rev AS rev, len, second, mu, lm, barcode FROM j WHERE (flag & 2304) = 0)") + f"""
+SELECT {', '.join('a.' + k for k in _ucs_key.split(', '))}, a.barcode, min(b.barcode) AS parent FROM n a JOIN n b ON a.contig = b.contig AND a.su = b.su AND a.rev = b.rev AND a.len = b.len AND a.second = b.second AND a.mu IS NOT DISTINCT FROM b.mu AND a.lm IS NOT DISTINCT FROM b.lm
+AND a.barcode < b.barcode AND hamming(a.barcode, b.barcode) <= 2 GROUP BY ALL""")
+def rescue_unclipped(spark: SparkSession, d: str) -> DataFrame:
+    """Barcodes that nearly agree among reads whose ends agree before clipping, their mates' too."""
+    a = reads.mark_pairs(alignments(spark, d).withColumn("sa", F.lit(None).cast("string"))).withColumn("mate_contig", F.col("contig"))
+    a, sig = rescue.with_signature(a.where(~any_of(F.col("flag"), 2304)), unclipped=True)
+    p = rescue.rescue_parents(a, sig, "barcode")
+    return p.select(F.col("sig_0").alias("contig"), F.col("sig_1").alias("su"), F.col("sig_2").alias("rev"), F.col("sig_3").alias("len"), F.col("sig_4").alias("second"), F.col("sig_6").alias("mu"), F.col("sig_8").alias("lm"), "barcode", "parent")
+
+
 # ---------------------------------------------------------------- round trips through files
 
 
