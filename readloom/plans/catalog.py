@@ -567,7 +567,8 @@ def rescue_realign(spark: SparkSession, d: str) -> DataFrame:
     rec = _rescued(spark, d, trust_unmasked=True)[0].withColumn("sa", F.lit(None).cast("string"))
     again = rescue.route(rec)[1]
     n = F.length("seq").cast("bigint")
-    sums = again.agg(F.count("*").alias("n_reads"), F.sum(n).alias("n_letters"), F.sum(n - F.length(F.replace("seq", F.lit("A"), F.lit("")))).alias("n_a"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    sums = again.agg(F.count("*").alias("n_reads"), zero(n).alias("n_letters"), zero(n - F.length(F.replace("seq", F.lit("A"), F.lit("")))).alias("n_a"))
     return sums.crossJoin(rec.agg(F.sum("nc").alias("nc_sum"))).select("n_reads", "nc_sum", "n_letters", "n_a")  # one row each
 
 
