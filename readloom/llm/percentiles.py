@@ -48,9 +48,18 @@ def _weighted_percentiles(values: DataFrame, keys: list[str], qs: list[float]) -
         open_ = state.where("lo < hi")
         if not open_.limit(1).count():
             return state.select(*keys, "q", "n", "rank", F.col("lo").alias("v"))
-        # count the rows below the midpoints of each interval: the buckets between neighbouring midpoints, with their own ends
-        probe = open_.select(*keys, "lo", "hi", step.alias("w")).distinct().groupBy(*keys).agg(F.collect_list(F.struct("lo", "hi", "w")).alias("iv"))  # at most one interval a percentile
-        met = values.join(probe, keys).select(*keys, "v", "c", F.explode(F.filter("iv", lambda x: (F.col("v") >= x["lo"]) & (F.col("v") <= x["hi"]))).alias("iv")).select(*keys, "v", "c", "iv.lo", "iv.hi", "iv.w")
+        # count the rows below the midpoints of each interval: the buckets between neighbouring midpoints, with their own ends;
+        # a group's intervals are one row, as many as percentiles at most, each the same as another or apart from it
+        iv = open_.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct("lo", "hi", step.alias("w")))).alias("iv"))
+        probe = cut(iv.select(*keys, *[F.get("iv", F.lit(i))[c].alias(f"{c}{i}") for i in range(len(qs)) for c in ("lo", "hi", "w")]), "probe")  # written, so that Spark knows its size
+
+        def own(c: str) -> Column:
+            out = F.lit(None)
+            for i in range(len(qs) - 1, -1, -1):
+                out = F.when((F.col("v") >= F.col(f"lo{i}")) & (F.col("v") <= F.col(f"hi{i}")), F.col(f"{c}{i}")).otherwise(out)
+            return out
+
+        met = values.join(probe, keys).select(*keys, "v", "c", *[own(c).alias(c) for c in ("lo", "hi", "w")]).where(F.col("lo").isNotNull())
         slot = F.expr("v div w - lo div w") if whole else F.least(F.lit(MIDPOINTS), F.floor(F.col("v") / F.col("w") - F.col("lo") / F.col("w")))
         # the greatest value has a slot of its own, so each pass narrows by one value at least whatever rounding does
         slot = F.when(F.col("v") == F.col("lo"), -1).when(F.col("v") == F.col("hi"), 4 * MIDPOINTS).otherwise(slot)
@@ -62,6 +71,7 @@ def _weighted_percentiles(values: DataFrame, keys: list[str], qs: list[float]) -
         )
         nxt = cut(state.where("lo = hi").unionByName(moved), "intervals")
         drop_cut(state)
+        drop_cut(probe)
         state = nxt
 
 
@@ -80,9 +90,10 @@ def exact_percentiles(values: DataFrame, keys: list[str], value: str, qs: list[f
     rank = max(1, ceil(q * n)), so ``value`` is a value of the column and the error is 0. Value intervals are kept per
     group and percentile; each pass counts the rows below the midpoints of every interval straight from the column and
     keeps the part in which the rank falls, narrowed to the values that occur in it, until one value is left. ``values``
-    is read once a pass, so it should be a scan or a written table; what is shuffled are at most 258 sums an interval
-    and task, never values, so a hot group or a continuous column costs no more. The number of passes is at most the bits of the value
-    range over 8.
+    is read once a pass, so it should be a scan or a written table. It meets one row of intervals a group, which Spark broadcasts if its
+    written size allows (beyond, it joins by shuffle and splits hot groups); what is aggregated are at most 259 sums an
+    interval and task, so a hot group or a continuous column costs no more. The number of passes is at most the bits of
+    the value range over 8.
 
     Integers, decimals of up to 18 digits, floats and doubles. Nulls and NaN count for nothing; a group without values
     has no row; rows with a null key are left out; empty inputs give no row; other columns are ignored.
