@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.llm.setjoin import CAP, LEAF, EditCheck, Sets, arrow_letters, close_pairs, distinct, gram_parity, metric_join, near_pivots, rotated, voronoi
+from readloom.llm.setjoin import CAP, LEAF, EditCheck, Sets, arrow_letters, close_pairs, cross_pairs, distinct, gram_parity, metric_join, near_pivots, rotated, voronoi
 from readloom.session import cut, ship
 
 #: Records of one region that a task joins; larger regions are divided by pivots in Spark stages first.
@@ -22,6 +22,8 @@ KEY_TILE = 65536
 PIVOTS, ROUNDS = 512, 6
 #: Halvings of the radius that a hot region may take; what is larger still lies within CAP / 2**DEPTH of one pivot.
 DEPTH = 3
+#: Bits of the two tiles of a pair; bit 0 is a guest by its barcode, those between are guests of windows.
+LEFT, RIGHT = 1 << 60, 1 << 61
 #: Rows that a partition is laid out for, and that Python looks at together.
 PARTITION_ROWS, BATCH_ROWS = 60_000, 20_000
 
@@ -31,8 +33,8 @@ def _piece(n: np.ndarray) -> np.ndarray:
     return np.where((n >= 16) & (n <= 21), 6, np.maximum((n + 1) // 3, 1))
 
 
-def _keys(scope: np.ndarray, flat: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(barcode, role, key): the keys under which barcodes meet those within 2 edits.
+def _keys(scope: np.ndarray, flat: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(barcode, key): the keys under which barcodes meet those within 2 edits, with the role in the last three bits.
 
     The shorter barcode of a pair (of m letters) is cut in three pieces, of which 2 edits leave one intact. If it is the
     first or the last, both barcodes share it at their very start or end; a barcode of n letters enters these for m = n,
@@ -51,7 +53,7 @@ def _keys(scope: np.ndarray, flat: np.ndarray, off: np.ndarray) -> tuple[np.ndar
     start, end = off[:-1], off[1:]
     n, every = end - start, np.arange(len(start))
     p, less = _piece(n), _piece(np.maximum(n - 2, 1))  # of three neighbouring lengths at most two sizes of piece come out
-    rows, roles, keys = [], [], []
+    rows, keys = [], []
     for turn, letters in ((0, flat), (1, rotated(flat, off))):
         run = np.concatenate(([u(0)], np.cumsum((letters.astype(u) + u(1)) * power[:-1], dtype=u)))
 
@@ -60,8 +62,7 @@ def _keys(scope: np.ndarray, flat: np.ndarray, off: np.ndarray) -> tuple[np.ndar
             h = (h ^ (h >> u(32))) * u(0xD6E8FEB86659FD93) + scope[who].view(u)
             h = (h ^ (h >> u(29))) * u(0xBF58476D1CE4E5B9)
             rows.append(who)
-            roles.append(np.full(len(who), role + turn, np.int8))  # noqa: B023
-            keys.append((h ^ (h >> u(32))).view(np.int64))
+            keys.append(((h ^ (h >> u(32))) & ~u(7) | u(role + turn)).view(np.int64))  # noqa: B023
 
         add(0, start, start + p, 1)
         add(0, end - p, end, 2)
@@ -75,17 +76,17 @@ def _keys(scope: np.ndarray, flat: np.ndarray, off: np.ndarray) -> tuple[np.ndar
             long = np.maximum(m - 2 * q, 0)
             at = np.where(long > 0, start[who] + q + shift, start[who])
             add(role, at, at + long, 3 + 16 * m, who)
-    return np.concatenate(rows), np.concatenate(roles), np.concatenate(keys)
+    return np.concatenate(rows), np.concatenate(keys)
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a key of each barcode (w: hash of the scope): (key, role, uid, b, n)."""
+    """One row a key of each barcode (w: hash of the scope): (key, uid, b, n)."""
     for batch in batches:
         if batch.num_rows:
-            row, role, key = _keys(batch.column("w").to_numpy(), *arrow_letters(batch.column("b")))
+            row, key = _keys(batch.column("w").to_numpy(), *arrow_letters(batch.column("b")))
             for a in range(0, len(row), 50_000):
                 t = pa.array(row[a : a + 50_000])
-                yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 50_000]), pa.array(role[a : a + 50_000]), *[batch.column(c).take(t) for c in ("uid", "b", "n")]], ["key", "role", "uid", "b", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 50_000]), *[batch.column(c).take(t) for c in ("uid", "b", "n")]], ["key", "uid", "b", "n"])
 
 
 def _crowds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +94,7 @@ def _crowds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << 16, np.int64)
     for batch in batches:
         if batch.num_rows:
-            total += np.bincount(_keys(batch.column("w").to_numpy(), *arrow_letters(batch.column("b")))[2] & 0xFFFF, minlength=1 << 16)
+            total += np.bincount(_keys(batch.column("w").to_numpy(), *arrow_letters(batch.column("b")))[1] >> 3 & 0xFFFF, minlength=1 << 16)
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "c"])
 
@@ -105,7 +106,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     t = pa.Table.from_batches(some)
     del some
-    key, role, uid = (t[c].to_numpy() for c in ("key", "role", "uid"))
+    key, uid = t["key"].to_numpy(), t["uid"].to_numpy()
     code, ids = pd.factorize(uid)
     first = np.empty(len(ids), np.int64)
     first[code[::-1]] = np.arange(len(code))[::-1]
@@ -117,9 +118,8 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     flat, both = np.concatenate((fp, fr)), np.concatenate((off[:-1], off[:-1] + len(fp)))
     length = np.tile(np.diff(off), 2)
     edits = EditCheck(flat, both, length)
-    key = (key & ~7) | role  # one sort for both
     order = np.argsort(key)
-    key, role = key[order] & ~7, role[order]
+    key, role = key[order] & ~7, key[order] & 7
     node = code[order] + (role & 1).astype(np.int64) * len(ids)
     edge = np.flatnonzero(np.concatenate((key[1:] != key[:-1], [True]))) + 1
     end = edge[np.searchsorted(edge, np.arange(len(key)), "right")]
@@ -180,12 +180,27 @@ def _sets(t: pa.Table, k: int) -> Sets:
 
 
 def _region_join(k: int, threshold: float, leaf: int):
-    """Similar pairs of each group, without those of a common bit in ``mask``."""
+    """Similar pairs of each group, without those of a common bit in ``mask``.
+
+    Groups go through pivots, regions and windows together; only in pairs of tiles of rows that no pivot could divide is
+    every row of the one tile a pivot of its own.
+    """
+
+    def found(group: np.ndarray, mask: np.ndarray, sets: Sets) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        paired = np.isin(group, group[(mask & (LEFT | RIGHT)) != 0])
+        at = np.flatnonzero(~paired)
+        for i, j in metric_join(sets, group[at], at, mask[at], threshold, leaf=leaf):
+            yield at[i], at[j]
+        for g in np.unique(group[paired]):
+            own = np.flatnonzero(group == g)
+            for i, j in cross_pairs(sets, own[(mask[own] & LEFT) != 0], own[(mask[own] & RIGHT) != 0], threshold):
+                ok = (mask[i] & mask[j]) == 0
+                yield i[ok], j[ok]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group, t in _whole_groups(batches):
             rid = t["id"].to_numpy()
-            for i, j in metric_join(_sets(t, k), group, np.arange(len(rid)), t["mask"].to_numpy(), threshold, leaf=leaf):
+            for i, j in found(group, t["mask"].to_numpy(), _sets(t, k)):
                 x, y = rid[i], rid[j]
                 keep = x != y  # a row delivered twice
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[keep]), pa.array(np.maximum(x, y)[keep])], ["a", "b"])
@@ -246,7 +261,7 @@ def _divide_hot(hot: DataFrame, k: int, threshold: float, tile: int, parts: int,
         if large.limit(1).count():
             out.append(claimed.join(large, "grp", "left_anti"))
             again = cut(claimed.join(large, "grp"), "hot")
-            out += _divide_hot(again, k, threshold, tile, parts, cap=cap / 2, depth=depth + 1) if depth < DEPTH else [_tile_pairs(again, tile)]
+            out += _divide_hot(again, k, threshold, tile, parts, cap=cap / 2, depth=depth + 1) if depth < DEPTH else [_tile_pairs(again, 2 * tile)]
         else:
             out.append(claimed)
         rest = dealt.where("pivot is null").drop("pivot")
@@ -257,7 +272,7 @@ def _divide_hot(hot: DataFrame, k: int, threshold: float, tile: int, parts: int,
         stuck = (F.col("was") - F.col("n") < F.greatest(F.lit(1.05 * pivots), F.col("was") / 50)) | F.lit(rounds + 1 >= ROUNDS)
         barren, fruitful = more.where(stuck), more.where(~stuck)
         if barren.limit(1).count():
-            out.append(_tile_pairs(rest.join(barren.select("grp", "n"), "grp"), tile))
+            out.append(_tile_pairs(rest.join(barren.select("grp", "n"), "grp"), 2 * tile))
         if not fruitful.limit(1).count():
             return out
         act = cut(rest.join(fruitful.select("grp", "n"), "grp"), "hot")
@@ -269,7 +284,7 @@ def _tile_pairs(rows: DataFrame, tile: int) -> DataFrame:
     t = F.ceil(F.col("n") / tile).cast("int")
     r = rows.withColumn("_t", F.pmod(F.xxhash64("id", F.lit("t")), t).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), t - 1)))
     pair = F.concat_ws("/", "grp", F.least("_t", "_o").cast("string"), F.greatest("_t", "_o").cast("string"))
-    side = F.when(F.col("_t") < F.col("_o"), F.lit(1 << 60)).when(F.col("_t") > F.col("_o"), F.lit(1 << 61)).otherwise(F.lit(0))
+    side = F.when(F.col("_t") < F.col("_o"), F.lit(LEFT)).when(F.col("_t") > F.col("_o"), F.lit(RIGHT)).otherwise(F.lit(0))
     return r.select(pair.alias("grp"), F.col("mask").bitwiseOR(side).alias("mask"), "id", "s")
 
 
@@ -296,8 +311,9 @@ def near_duplicates(
     region (radius 0); partners lie within 2 edits, and that window is replicated into it - of two neighbouring
     regions the smaller moves. Which barcodes are neighbours is found by equal pieces. Jaccard distance: each such
     region is joined by pivots, Voronoi regions of small radius, triangle-inequality windows and recursion
-    (:func:`readloom.llm.setjoin.metric_join`); no pair is found any other way. A region of more than ``tile`` records is
-    first divided by pivots in Spark stages (:func:`_divide_hot`), so no task holds an unbounded region.
+    (:func:`readloom.llm.setjoin.metric_join`). A region of more than ``tile`` records is
+    first divided by pivots in Spark stages (:func:`_divide_hot`), so no task holds an unbounded region; unrelated rows of one
+    barcode, which no pivot divides, meet tile by tile.
 
     Defined cases: rows with a null scope, id, barcode or sequence, a blank barcode or a sequence of fewer than k letters
     are in no pair; a row delivered twice counts once; equal sequences are similar; empty inputs give no row; other
@@ -317,16 +333,18 @@ def near_duplicates(
     counts = cut(rows.groupBy(*sc, "b").agg(F.count("*").alias("n")).withColumn("uid", F.monotonically_increasing_id()), "barcodes")
     n_codes, n_rows = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     barcodes = counts.select("uid", "b", "n", (F.xxhash64(*sc) if sc else F.lit(0).cast("bigint")).alias("w"))
-    keyed = barcodes.mapInArrow(_keyed, "key bigint, role tinyint, uid bigint, b string, n bigint")
+    keyed = barcodes.mapInArrow(_keyed, "key bigint, uid bigint, b string, n bigint")
+    piece = F.shiftright("key", 3)
     # only where some slot of keys is that full, one of its keys may be
     crowd = barcodes.mapInArrow(_crowds, "slot bigint, c bigint").groupBy("slot").agg(F.sum("c").alias("c")).where(F.col("c") > key_tile)
     if n_codes * 30 > key_tile and crowd.limit(1).count():
-        hot = cut(keyed.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > key_tile), "keys")
+        hot = cut(keyed.groupBy(piece.alias("_p")).agg(F.count("*").alias("c")).where(F.col("c") > key_tile), "keys")
         if hot.limit(1).count():  # such a key is dealt to pairs of parts
             t = F.ceil(F.coalesce("c", F.lit(1)) / key_tile).cast("int")
-            keyed = keyed.join(hot, "key", "left").withColumn("_t", F.pmod(F.xxhash64("uid"), t).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), t - 1)))
-            keyed = keyed.select(F.when(t > 1, F.xxhash64("key", F.least("_t", "_o"), F.greatest("_t", "_o"))).otherwise(F.col("key")).alias("key"), "role", "uid", "b", "n")
-    links = keyed.repartition(max(4 * shuffles, n_codes // 10_000), "key").mapInArrow(_candidates, "x bigint, y bigint, nx bigint, ny bigint").distinct()
+            keyed = keyed.join(hot, piece == F.col("_p"), "left").withColumn("_t", F.pmod(F.xxhash64("uid"), t).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), t - 1)))
+            dealt = F.xxhash64(piece, F.least("_t", "_o"), F.greatest("_t", "_o")).bitwiseAND(F.lit(-8)).bitwiseOR(F.col("key").bitwiseAND(F.lit(7)))
+            keyed = keyed.select(F.when(t > 1, dealt).otherwise(F.col("key")).alias("key"), "uid", "b", "n")
+    links = keyed.repartition(max(4 * shuffles, n_codes // 10_000), piece).mapInArrow(_candidates, "x bigint, y bigint, nx bigint, ny bigint").distinct()
     # the smaller region's records move to the larger region
     less = (F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y")))
     moves = cut(links.select(F.when(less, F.col("x")).otherwise(F.col("y")).alias("src"), F.when(less, F.col("y")).otherwise(F.col("x")).alias("dst"), F.least("nx", "ny").alias("n")), "moves")

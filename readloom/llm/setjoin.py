@@ -213,6 +213,28 @@ def near_pivots(sets: Sets, rows: np.ndarray, pivots: np.ndarray, reach: float)
     return tuple(np.concatenate(z) for z in zip(*out))
 
 
+def cross_pairs(sets: Sets, left: np.ndarray, right: np.ndarray, threshold: float):
+    """Similar pairs of ``left`` times ``right``: every row of ``left`` is a pivot of radius 0, whose window is what is similar to it.
+
+    For rows that no pivot of a greater radius could divide. A window of 1 - threshold is narrow enough for half a sketch.
+    """
+    half = WORDS // 2
+    for a in range(0, len(left), 64):
+        x = left[a : a + 64]
+        for b in range(0, len(right), 4096):
+            y = right[b : b + 4096]
+            d = np.zeros((len(x), len(y)), np.uint16)
+            for w in range(half):
+                d += np.bitwise_count(sets.sketch[x, w][:, None] ^ sets.sketch[y, w][None, :])
+            i, j = np.nonzero(d <= (sets.bound(threshold) * (sets.size[x][:, None] + sets.size[y][None, :]) + 1e-6).astype(np.uint16))
+            i, j = x[i], y[j]
+            ok = sets.may(i, j, threshold)
+            i, j = i[ok], j[ok]
+            ok = sets.similar(i, j, threshold)
+            if ok.any():
+                yield i[ok], j[ok]
+
+
 def voronoi(row: np.ndarray, pivot: np.ndarray, dist: np.ndarray, n_rows: int, cap: float) -> tuple[np.ndarray, np.ndarray]:
     """Of each row its nearest pivot within ``cap`` (-1: none) and the distance to it; ties go to the earlier pivot."""
     home, near = np.full(n_rows, -1, np.int64), np.zeros(n_rows)
