@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from readloom.functions.flags import MATE_REVERSE, MATE_UNMAPPED, NOT_PRIMARY, READ2, REVERSE, UNMAPPED, any_of
 from readloom.functions.phred import fisher_pv
 from readloom.functions.seq import hamming, revcomp
-from readloom.session import cut, drop_cut
+from readloom.operators.stacks import merge_stacks, pack_blocks
+from readloom.session import cut, drop_cut, ship
+
+#: Rows of a stack that one task holds; larger stacks are merged by joins. Buckets of stacks in which rows are counted to find them.
+HOT, BUCKETS = 100_000, 1 << 18
 
 
 def signature(*, single_end: bool = False, unclipped: bool = False) -> list[Column]:
@@ -92,7 +98,9 @@ def rescue(aln: DataFrame, sig: list[str], *, name: str = "barcode", read_id: st
     all records of a stack merge, absent tags are fm 1, fp 1, fa 1 and pv the quality.
 
     fa and pv lie in sequencing order, seq and qual in reference order; members share their strand, which the signature
-    holds. Only stacks with something to merge are taken apart letter by letter, all others pass through as they are. The merge of several
+    holds. Every row is moved once, to the partition of its stack, where near names are found and letters merged in
+    batches of whole stacks (:mod:`readloom.operators.stacks`); stacks of more than HOT rows are merged by joins. Both results are
+    lazy, and bases move only the columns that they need. The merge of several
     p-values is done at once and not pair after pair, so it depends on no order and needs no row-wise fold; for two
     members both are the same.
     """
@@ -105,25 +113,70 @@ def rescue(aln: DataFrame, sig: list[str], *, name: str = "barcode", read_id: st
         prim = prim.withColumns({"fm": F.coalesce("fm", F.lit(1)), "fa": F.coalesce("fa", F.transform(phred, lambda _: F.lit(1))), "pv": F.coalesce("pv", F.when(rev, F.reverse(phred)).otherwise(phred))})
         if "fp" in prim.columns:
             prim = prim.withColumn("fp", F.coalesce("fp", F.lit(1)))
-    prim = cut(prim, "stacks")  # read several times below, by column
     own = F.concat(F.lit("#"), F.col(read_id).cast("string"))
     alone = any_of(F.col("flag"), UNMAPPED | MATE_UNMAPPED) | (F.lit(False) if infer else F.col(name).isNull())
-    m = prim.where(~alone)
+    z = lambda c, d: F.coalesce(F.col(c), F.lit(d)).cast("bigint")
+    prim = prim.withColumns({"fm": z("fm", 1), "rv": z("rv", 0), "np": z("np", 1), "nc": F.col("nc").cast("bigint")})
+    hot = _hot_stacks(prim.where(~alone), sig)
+
+    def records(cols: list[str]) -> DataFrame:
+        m = prim.where(~alone)
+        by = [F.col(c).eqNullSafe(F.col(f"_s{i}")) for i, c in enumerate(sig)]
+        few = m if hot is None else m.join(F.broadcast(hot), by, "left_anti")
+        out = _by_kernel(few.select(*cols), sig, None if infer else name, read_id, mismatch_limit, trust_unmasked)
+        if hot is not None:
+            much = m.join(F.broadcast(hot), by, "left_semi")
+            out = out.unionByName(_by_joins(much, sig, name, read_id, mismatch_limit, trust_unmasked, infer).select(*out.columns))
+        return out.unionByName(prim.where(alone).select(*cols, own.alias("root"), F.lit(1).cast("bigint").alias("n_merged")))
+
+    out = records(prim.columns).withColumn("dr", F.when((F.col("rv") > 0) & (F.col("rv") < F.col("fm")), 1).otherwise(F.coalesce("dr", F.lit(0))).cast("int"))
+    key = [*sig, "root"]
+    codes = _letters(records(list(dict.fromkeys([*sig, *([] if infer else [name]), read_id, "flag", "seq", "qual", "fa", "pv"]))), key)
+    return out, codes.select(*key, "base_pos", F.substring(F.lit("ACGTN"), F.col("code"), F.lit(1)).alias("base"), "fa", "pv", "qual")
+
+
+def _hot_stacks(rows: DataFrame, sig: list[str]) -> DataFrame | None:
+    """_s0, _s1, ...: the stacks of more than HOT rows, a written table; None without any.
+
+    Rows are first counted by buckets of stacks, of which there is a fixed number; stacks are counted one by one only in buckets over HOT.
+    """
+    bucket = F.pmod(F.xxhash64(*sig), F.lit(BUCKETS))
+    full = cut(rows.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT).select("_bucket"), "buckets")
+    if full.isEmpty():
+        drop_cut(full)
+        return None
+    n = rows.join(F.broadcast(full), bucket == F.col("_bucket"), "left_semi").groupBy(*sig).agg(F.count("*").alias("_n"))
+    hot = cut(n.where(F.col("_n") > HOT).select(*[F.col(c).alias(f"_s{i}") for i, c in enumerate(sig)]), "hot")
+    return None if hot.isEmpty() else hot
+
+
+def _by_kernel(m: DataFrame, sig: list[str], name: str | None, read_id: str, limit: int, trust: bool) -> DataFrame:
+    """The records of stacks of up to HOT rows: each row is moved once, in a compressed block, to the partition of its stack, and whole stacks are merged there."""
+    ship(m.sparkSession)
+    types = StructType([StructField(f.name, f.dataType) for f in m.schema] + [StructField("root", StringType()), StructField("n_merged", LongType())])
+    arrow = to_arrow_schema(types)
+    parts = int(m.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = m.withColumn("_bucket", F.pmod(F.xxhash64(*sig), F.lit(2 * parts)).cast("int")).mapInArrow(pack_blocks, "_bucket int, block binary")
+    laid = blocks.repartitionById(parts, (F.col("_bucket") / 2).cast("int")).sortWithinPartitions("_bucket")
+    return laid.mapInArrow(lambda batches: merge_stacks(batches, sig=sig, name=name, read_id=read_id, limit=limit, trust=trust, schema=arrow), types)
+
+
+def _by_joins(m: DataFrame, sig: list[str], name: str, read_id: str, mismatch_limit: int, trust_unmasked: bool, infer: bool) -> DataFrame:
+    """The records of stacks that no task should hold: names, members and letters meet by joins and aggregates."""
+    m = cut(m, "stacks")  # read several times below, by column
+    cols = m.columns
     m = m.withColumn("root", F.lit("*")) if infer else _rooted(m, _moves(m, sig, name, mismatch_limit), sig, name)
     key = [*sig, "root"]
     k = [f"_k{i}" for i in range(len(key))]
     multi = cut(m.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1").select(*[F.col(c).alias(a) for c, a in zip(key, k)], F.col("_n").alias("n_merged")), "merged")
     on = [F.col(c).eqNullSafe(F.col(a)) for c, a in zip(key, k)]
-    z = lambda c, d: F.coalesce(F.col(c), F.lit(d)).cast("bigint")
-    counts = {"fm": z("fm", 1), "rv": z("rv", 0), "np": z("np", 1), "nc": F.col("nc").cast("bigint")}
-    single = m.join(multi, on, "left_anti").unionByName(prim.where(alone).withColumn("root", own)).withColumns({"n_merged": F.lit(1).cast("bigint"), **counts})
+    single = m.join(multi, on, "left_anti").withColumn("n_merged", F.lit(1).cast("bigint"))
     many = m.join(multi, on).drop(*k)
-    cols = prim.columns
     built = ["fm", "rv", "np", "nc", "dr", "seq", "qual", "fa", "pv"]
     rest = [c for c in cols if c not in built and c not in sig]
     rec = many.groupBy(*key).agg(
         F.max("n_merged").alias("n_merged"), F.max_by(F.struct(*rest), F.struct(F.col(name) if not infer else F.lit(0), F.col(read_id))).alias("_lead"),
-        F.sum(z("fm", 1)).alias("fm"), F.sum(z("rv", 0)).alias("rv"), F.sum(z("np", 1)).alias("np"), F.sum(z("nc", 0)).alias("_nc"), F.max(F.col("dr")).alias("dr"),
+        F.sum("fm").alias("fm"), F.sum("rv").alias("rv"), F.sum("np").alias("np"), F.sum(F.coalesce("nc", F.lit(0))).alias("_nc"), F.max(F.col("dr")).alias("dr"),
     )
     g = _letters(many, key).groupBy(*key, "base_pos").agg(
         F.count("*").alias("n"), F.count(F.when(F.col("code") < 5, 1)).cast("int").alias("k"), F.min(F.when(F.col("code") < 5, F.col("code"))).alias("lo"), F.max(F.when(F.col("code") < 5, F.col("code"))).alias("hi"),
@@ -142,9 +195,7 @@ def rescue(aln: DataFrame, sig: list[str], *, name: str = "barcode", read_id: st
         "nc": F.col("_nc") + F.coalesce("_gained", F.lit(0)), "fm": F.col("fm"), "rv": F.col("rv"), "np": F.col("np"), "dr": F.col("dr"),
     }
     merged = rec.join(texts, on, "left").select(*[(F.col(c) if c in sig else new[c] if c in new else F.col(f"_lead.{c}")).alias(c) for c in cols], "root", "n_merged")
-    out = single.select(*cols, "root", "n_merged").unionByName(merged).withColumn("dr", F.when((F.col("rv") > 0) & (F.col("rv") < F.col("fm")), 1).otherwise(F.coalesce("dr", F.lit(0))).cast("int"))
-    codes = _letters(out, key)
-    return out, codes.select(*key, "base_pos", F.substring(F.lit("ACGTN"), F.col("code"), F.lit(1)).alias("base"), "fa", "pv", "qual")
+    return single.select(*cols, "root", "n_merged").unionByName(merged)
 
 
 def _letters(rows: DataFrame, keep: list[str]) -> DataFrame:

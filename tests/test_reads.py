@@ -1,7 +1,11 @@
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from readloom.operators import depth, intervals, pileup, reads, rescue
+from readloom.functions.phred import fisher_pv
+from readloom.operators import depth, intervals, pileup, reads, rescue, stacks
 
 ALN = "read_id int, qname string, flag int, contig string, pos int, endpos int, mapq int, cigar string, seq string, qual string, fm int, fp int, rv int, dr int, np int, nc int, isize int, fa array<int>, pv array<int>, barcode string, sa string, mf double"
 
@@ -175,3 +179,44 @@ def test_errors_against_reference_pieces(spark):
     assert rates == {0: 1, 1: 0, 2: 0, 3: 0}
     by = errors.error_by_region(aln(spark, *rows), ref, regions(spark, (1, "1", p, p + 1), (2, "1", 0, 6), (3, "2", 0, 6)))
     assert {r.region_id: (r.errors, r.obs) for r in by.collect()} == {1: (1, 11), 2: (0, 4)}
+
+
+def _stacks(spark, n=900):
+    r = random.Random(3)
+    word = lambda letters, k: "".join(r.choice(letters) for _ in range(k))
+    rows = []
+    for i in range(n):
+        k = r.choice([0, 1, 5, 5, 5, 7])
+        tags = [[r.choice([None, 0, 1, 2, 40, 300]) if r.random() < 0.1 else r.randint(1, 60) for _ in range(max(0, k - r.choice([0, 0, 0, 1])))] for _ in range(2)]
+        rows.append((i // 2, r.choice(["1", "2", None]), r.choice([10, 11, 12, 13]), r.choice([0, 16, 16, 4, 256]), r.choice([None, word("ACGT", 5), word("AC", 6), word("ACé", 6), ""]), r.choice([None, 1, 2, 5]),
+                     r.choice([None, 0, 1]), r.choice([None, 2]), r.choice([None, None, 1]), r.choice([None, None, 0, 1]), word("AAAAAcN", k), r.choice([None] + 9 * [word("#5I", k)]), tags[0] if r.random() < 0.9 else None, tags[1], f"x{i}"))
+    return spark.createDataFrame(rows, "read_id int, contig string, pos int, flag int, barcode string, fm int, rv int, np int, nc int, dr int, seq string, qual string, fa array<int>, pv array<int>, qname string").dropDuplicates(["read_id", "barcode", "contig", "pos"])
+
+
+@pytest.mark.parametrize("kw", [{}, {"trust_unmasked": True}, {"infer": True}, {"mismatch_limit": 1}])
+def test_rescue_in_stacks_is_the_rescue_by_joins(spark, monkeypatch, kw):
+    a = _stacks(spark).cache()
+    key = lambda d: sorted(str(sorted(x.asDict().items())) for x in d.collect())
+    monkeypatch.setattr(stacks, "BATCH_ROWS", 50)
+    monkeypatch.setattr(stacks, "PAIRS", 40)
+    monkeypatch.setattr(stacks, "BLOCK_ROWS", 70)
+    got = [key(d) for d in rescue.rescue(a, ["contig", "pos"], **kw)]
+    monkeypatch.setattr(rescue, "HOT", 60)
+    some = [key(d) for d in rescue.rescue(a, ["contig", "pos"], **kw)]
+    monkeypatch.setattr(rescue, "HOT", 0)
+    every = [key(d) for d in rescue.rescue(a, ["contig", "pos"], **kw)]
+    assert got == every and some == every and len(got[0]) > 5
+
+
+def test_fisher_in_numbers_is_the_expression(spark):
+    d = spark.range(40 * 600).selectExpr("cast(id % 40 AS int) AS n", "cast(id div 40 * 3 AS bigint) AS s")
+    rows = d.select("n", "s", fisher_pv(F.col("n"), F.col("s")).alias("pv")).collect()
+    n, s, pv = (np.array([r[i] for r in rows]) for i in range(3))
+    assert np.array_equal(stacks.fisher(n, s.astype(float)), pv)
+
+
+def test_rescue_moves_every_read_once(spark):
+    rec, bases = rescue.rescue(_stacks(spark, 40), ["contig", "pos"])
+    for d in rec, bases:
+        assert str(d._jdf.queryExecution().optimizedPlan()).count("Repartition") == 1
+        assert "Join" not in str(d._jdf.queryExecution().optimizedPlan())
